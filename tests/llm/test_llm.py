@@ -420,3 +420,28 @@ def test_pipeline_on_odd_rows(spark, sf):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, sf)
     assert docs.count() > 0
+
+
+# -- the registered queries
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_query_equals_its_sql(spark, sf, name):
+    duckdb = pytest.importorskip("duckdb")
+    c = duckdb.connect()
+    for t in ("documents", "pages"):
+        c.execute(f"create view {t} as select * from '{sf}/{t}.parquet'")
+    df = queries.QUERIES[name](spark, sf)
+    cursor = c.execute(queries.ORACLE_SQL[name])
+    names = [d[0] for d in cursor.description]
+    assert sorted(names) == sorted(df.columns)
+    want = Counter(tuple(r[names.index(x)] for x in sorted(names)) for r in cursor.fetchall())
+    assert Counter(tuple(r[x] for x in sorted(names)) for r in df.collect()) == want
+
+
+@pytest.mark.parametrize("name", sorted(queries.QUERIES))
+def test_query_has_a_row_for_each_row(spark, sf, name):
+    if name == "op3_packing":
+        return
+    table = "pages" if name in ("op1_warc", "op6_url_filters") else "documents"
+    assert queries.QUERIES[name](spark, sf).count() == spark.read.parquet(f"{sf}/{table}.parquet").count()

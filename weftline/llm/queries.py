@@ -102,6 +102,31 @@ ORACLE_SQL: dict[str, str] = {
                CASE WHEN payload_bytes >= 1000 AND page_id <> top THEN 'revisit' ELSE 'response' END AS record_type,
                CASE WHEN payload_bytes >= 1000 AND page_id <> top THEN top END AS refers_to
         FROM t""",
+    "op2_quality_rules": r"""
+        WITH w AS (SELECT doc_id, source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+        p AS (SELECT doc_id, unnest(ws) AS x, generate_subscripts(ws, 1) AS i FROM w),
+        c AS (SELECT doc_id, count(*) AS n_words, CAST(sum(length(x)) AS BIGINT) AS word_chars FROM p GROUP BY doc_id),
+        g AS (SELECT doc_id, i, x || ' ' || lead(x, 1) OVER (PARTITION BY doc_id ORDER BY i) || ' ' || lead(x, 2) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM p),
+        r AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS c FROM g WHERE g IS NOT NULL) WHERE c > 1),
+        h AS (SELECT doc_id, count(DISTINCT j) AS n FROM (SELECT doc_id, i AS j FROM r UNION ALL SELECT doc_id, i + 1 FROM r UNION ALL SELECT doc_id, i + 2 FROM r) GROUP BY doc_id),
+        l AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS ln FROM w),
+        d AS (SELECT doc_id, count(*) - count(DISTINCT ln) AS n FROM l WHERE regexp_matches(ln, '[^\x20\x09-\x0D]') GROUP BY doc_id),
+        s AS (SELECT w.doc_id, w.source, CAST(coalesce(c.n_words, 0) AS BIGINT) AS n_words, CAST(coalesce(c.word_chars, 0) AS BIGINT) AS word_chars,
+                     CAST(length(regexp_replace(w.t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(coalesce(d.n, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(h.n, 0) AS BIGINT) AS n_repeat_words
+              FROM w LEFT JOIN c USING (doc_id) LEFT JOIN d USING (doc_id) LEFT JOIN h USING (doc_id)),
+        f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS f1, n_words > 0 AND 10 * n_symbols > 3 * n_words AS f2,
+                     n_words > 0 AND (word_chars < 2 * n_words OR word_chars > 20 * n_words) AS f3, n_dup_lines > 20 AS f4 FROM s),
+        k AS (SELECT source, 1 AS rule, count(*) AS docs, count(*) FILTER (WHERE f1) AS fails FROM f WHERE source IS NOT NULL GROUP BY source
+              UNION ALL SELECT source, 2, count(*), count(*) FILTER (WHERE f2) FROM f WHERE source IS NOT NULL GROUP BY source
+              UNION ALL SELECT source, 3, count(*), count(*) FILTER (WHERE f3) FROM f WHERE source IS NOT NULL GROUP BY source
+              UNION ALL SELECT source, 4, count(*), count(*) FILTER (WHERE f4) FROM f WHERE source IS NOT NULL GROUP BY source),
+        m AS (SELECT rule, count(*) FILTER (WHERE docs >= 10) AS n, avg(CAST(fails AS DOUBLE) / docs) FILTER (WHERE docs >= 10) AS a, var_samp(CAST(fails AS DOUBLE) / docs) FILTER (WHERE docs >= 10) AS v,
+                     avg(CAST(1 AS DOUBLE) / docs) FILTER (WHERE docs >= 10) AS inv, (sum(fails) + 0.5) / (sum(docs) + 1) AS overall FROM k GROUP BY rule),
+        m2 AS (SELECT rule, n, v, inv, least(greatest(CASE WHEN n > 0 THEN a ELSE overall END, 1e-6), 1 - 1e-6) AS mean FROM m),
+        m3 AS (SELECT rule, mean, CASE WHEN n > 1 AND v - mean * (1 - mean) * inv > 0 THEN least(greatest(mean * (1 - mean) / (v - mean * (1 - mean) * inv) - 1, 1), 10000) ELSE 100 END AS strength FROM m2),
+        bad AS (SELECT DISTINCT source FROM k JOIN m3 ON k.rule = m3.rule WHERE (fails + mean * strength) / (docs + strength) > 0.5)
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, f1 AS base_failed, NOT f1 AND bad.source IS NULL AS kept
+        FROM f LEFT JOIN bad ON f.source = bad.source""",
     "op6_url_filters": """
         WITH h AS (SELECT page_id, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#@]*@)?([^/?#:]*)', 2)) AS host,
                           1704067200 + ((page_id * 7919) % 525600) * 60 AS fetched_s FROM pages),
