@@ -27,7 +27,7 @@ TO_WORDS = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or
 #: Tokens that a shard holds before it is closed; a longer document is a shard of its own.
 SHARD_TOKENS = 2_000_000
 #: Bytes of benchmark text that go to the executors at once.
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 4 << 20
 
 INDEX = "shard string, terms binary, ends binary, positions binary, docs array<string>, a array<long>, b array<long>, starts binary"
 FOUND = "shard string, row int, doc string, a long, b long, n_words long, span_start array<int>, span_end array<int>, items array<string>"
