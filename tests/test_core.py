@@ -169,7 +169,7 @@ def test_hive():
     assert t.delimiter == "\x01" and t.record.field("customer_name").delimiter == "\x01" and t.partitions == ("year", "month") and t.location == "/x"
     assert parse_dml(t.dml)["sales_data"].field("amount").args == (10, 2)
     assert import_hive("CREATE TABLE t (`a b` INT, d DOUBLE, x VARCHAR(9)) STORED AS PARQUET").renames == {"a b": "a_b"}
-    for bad in ("CREATE TABLE t (a UNIONTYPE<int,string>)", "CREATE TABLE t AS SELECT 1", "CREATE TABLE t LIKE u", "ALTER TABLE t", "CREATE VIEW v AS SELECT 1", "CREATE TABLE t (a STRUCT<>)", "CREATE TABLE t (a INT, A INT)", "CREATE TABLE t (a DECIMAL(4,6))", "DROP TABLE t", "CREATE TABLE t (a MONEY)"):
+    for bad in ("CREATE TABLE t (a UNIONTYPE<int,string>)", "CREATE TABLE t AS SELECT 1", "CREATE TABLE t LIKE u", "ALTER TABLE t", "CREATE VIEW v AS SELECT 1", "CREATE TABLE t (a STRUCT<>)", "CREATE TABLE t (a INT, A INT)", "CREATE TABLE t (a DECIMAL(4,6))", "DROP TABLE t", "CREATE TABLE t (a MONEY)", "CREATE TABLE t (a VARCHAR(0))"):
         with pytest.raises(SchemaError):
             import_hive(bad)
 
@@ -200,6 +200,8 @@ def test_cobol():
     assert len(import_cobol("01 A PIC 9(5).\n01 B.\n 05 C PIC X.")) == 2 and import_cobol("01 EMP-ID PIC 9(5).")[0].fields[0].name == "emp_id"
     assert record_bytes(import_cobol("01 R. 05 A PIC S9(4) SIGN IS LEADING SEPARATE.")[0]) == 5
     assert import_cobol("01 R. COPY PART.", lambda n: "05 X PIC X(3).")[0].fields[0].name == "x"
+    both = import_cobol("01 R. 05 A PIC X(4). 05 B REDEFINES A. 10 C PIC 9(2). 10 D PIC X(2). 05 E PIC X.", redefines=True)
+    assert [[f.name for f in r.fields] for r in both] == [["a", "e"], ["b", "e"]] and both[1].name == "r__b" and both[1].record_length == both[0].record_length == 5
     for bad in ("01 R. 05 A PIC Z(4)9.", "01 R. 05 A POINTER.", "01 R. 05 A PIC X. 05 A PIC X.", "01 R. COPY PART.", "01 R. 05 A PIC X. 03 B PIC X.", "01 R. 05 A."):
         with pytest.raises(SchemaError):
             import_cobol(bad)

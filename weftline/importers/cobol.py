@@ -107,7 +107,7 @@ def _digits(picture: str) -> tuple[str, int, int, bool]:
     return ("N" if letters == {"N"} else "X"), len(whole), 0, False
 
 
-def _field(item: _Item, notes: list[str]) -> FieldSpec:
+def _field(item: _Item, notes: list[str], view: str | None = None) -> FieldSpec:
     dims: tuple[int | str | None, ...] = ()
     if item.has("OCCURS"):
         counts = [int(w) for w in item.words[item.words.index("OCCURS") + 1 :][:3] if w.isdigit()]
@@ -116,7 +116,7 @@ def _field(item: _Item, notes: list[str]) -> FieldSpec:
     redefines = item.after("REDEFINES")
     notes_ = (("redefines", _name(redefines)),) if redefines else ()
     if item.children:
-        fields = _fields(item.children, notes)
+        fields = _fields(item.children, notes, view)
         return FieldSpec(_name(item.name), "record", fields=fields, dims=dims, annotations=notes_)
     usage = next((w for w in item.words if re.fullmatch(r"COMP(UTATIONAL)?(-[1-5])?|PACKED-DECIMAL|BINARY|POINTER|INDEX|DISPLAY", w)), "DISPLAY").replace("COMPUTATIONAL", "COMP")
     if usage in ("POINTER", "INDEX"):
@@ -143,14 +143,18 @@ def _field(item: _Item, notes: list[str]) -> FieldSpec:
     return replace(made, annotations=made.annotations + notes_)
 
 
-def _fields(items: list[_Item], notes: list[str]) -> tuple[FieldSpec, ...]:
+def _fields(items: list[_Item], notes: list[str], view: str | None = None) -> tuple[FieldSpec, ...]:
     out: list[FieldSpec] = []
     fillers = 0
     for item in items:
         if item.has("REDEFINES"):
-            notes.append(f"{_name(item.name)} redefines {_name(item.after('REDEFINES') or '')}")
+            target = _name(item.after("REDEFINES") or "")
+            if view == _name(item.name):
+                out = [_field(item, notes, view) if f.name == target else f for f in out]
+            elif view is None:
+                notes.append(f"{_name(item.name)} redefines {target}")
             continue
-        f = _field(item, notes)
+        f = _field(item, notes, view)
         if item.name == "FILLER":
             fillers += 1
             f = replace(f, name=f"filler_{fillers}", annotations=(*f.annotations, ("padding", "true")))
@@ -184,10 +188,16 @@ def record_bytes(record: RecordSpec) -> int:
     return sum(map(_bytes, record.fields))
 
 
-def import_cobol(text: str, copies: Callable[[str], str | None] | None = None) -> list[RecordSpec]:
+def _redefining(item: _Item) -> list[str]:
+    own = [_name(item.name)] if item.has("REDEFINES") else []
+    return own + [n for c in item.children for n in _redefining(c)]
+
+
+def import_cobol(text: str, copies: Callable[[str], str | None] | None = None, redefines: bool = False) -> list[RecordSpec]:
     """A record for each top item of the copybook; ignored statements are in its notes.
 
-    copies gives the text of COPY members. Of REDEFINES the first layout stays.
+    copies gives the text of COPY members. Of REDEFINES the first layout stays; with
+    redefines, a further record for each, named record__item, has the other in its place.
     """
     notes: list[str] = []
     top = _tree(_statements(text, copies), notes)
@@ -200,4 +210,6 @@ def import_cobol(text: str, copies: Callable[[str], str | None] | None = None) -
         fields = _fields(item.children, notes) if item.children else (_field(item, notes),)
         record = RecordSpec(_name(item.name), fields, comment="Generated from COBOL copybook", notes=tuple(notes))
         out.append(with_layout(record))
+        for name in _redefining(item) if redefines else ():
+            out.append(with_layout(replace(record, name=f"{record.name}__{name}", fields=_fields(item.children, [], name))))
     return out

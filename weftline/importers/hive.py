@@ -11,7 +11,7 @@ from ..schema.spec import FieldSpec, RecordSpec, SchemaError, with_layout
 
 # Scalar types with the type and width that they become.
 SCALARS = {
-    "tinyint": ("integer", (1,)), "smallint": ("integer", (2,)), "int": ("integer", (4,)), "integer": ("integer", (4,)), "bigint": ("integer", (8,)),
+    "tinyint": ("integer", (1,)), "smallint": ("integer", (2,)), "int": ("integer", (4,)), "integer": ("integer", (4,)), "bigint": ("integer", (8,)), "long": ("integer", (8,)),
     "float": ("float", (4,)), "real": ("float", (4,)), "double": ("float", (8,)), "boolean": ("integer", (1,)), "string": ("string", ()), "varchar": ("string", ()), "char": ("string", ()),
     "date": ("date", ()), "timestamp": ("datetime", ()), "binary": ("binary", ()), "decimal": ("decimal", (10, 0)), "numeric": ("decimal", (10, 0)), "dec": ("decimal", (10, 0)), "interval": ("string", ()),
 }
@@ -135,6 +135,8 @@ class _Ddl:
             self.need(")")
             args = (given[0], given[1] if len(given) > 1 else 0) if kind == "decimal" else tuple(given)
             comment += f"({','.join(map(str, given))})"
+        if kind == "string" and args == (0,):
+            raise SchemaError(f"{name}: {comment} has no length")
         if kind == "decimal" and not 0 <= args[1] <= args[0] <= 38:
             raise SchemaError(f"{name}: DECIMAL({args[0]},{args[1]}) isn't a type")
         return FieldSpec(name, kind, args, comment=comment)
