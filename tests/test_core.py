@@ -382,3 +382,20 @@ def test_streams(spark, sf, tmp_path):
     q.awaitTermination()
     assert spark.table("windows").agg(F.sum("n")).first()[0] == events.count()
     assert isinstance(w.schema["window_start"].dataType, T.TimestampType)
+
+
+def test_command_line_and_script(spark, tmp_path, capsys):
+    from weftline.__main__ import export_script, main
+
+    for name, text in (("g.mp", SIMPLE), ("g.dml", SIMPLE_DML), ("g.xfr", SIMPLE_XFR)):
+        (tmp_path / name).write_text(text)
+    paths = [str(tmp_path / n) for n in ("g.mp", "g.dml", "g.xfr")]
+    rows = [("c1", "al", 25, Decimal("1.00"), dt.date(2024, 1, 1))]
+    spark.createDataFrame(rows, struct_type(parse_dml(SIMPLE_DML)["customer"])).write.parquet(str(tmp_path / "in"))
+    assert main(["validate", *paths]) == 0 and main(["order", *paths]) == 0 and main(["dml", paths[1]]) == 0
+    assert main(["run", *paths, "--param", f"IN={tmp_path / 'in'}", "--param", f"OUT={tmp_path / 'o'}"]) == 0
+    assert spark.read.parquet(str(tmp_path / "o")).count() == 1
+    script = export_script(paths, str(tmp_path / "p.py"))
+    compile(script, "p.py", "exec")
+    (tmp_path / "t.sql").write_text("CREATE TABLE t (a INT)")
+    assert main(["hive", str(tmp_path / "t.sql")]) == 0 and "integer(4) a" in capsys.readouterr().out
