@@ -154,7 +154,11 @@ def predicted(c: Column, model: Model, spark) -> Column:
 
 
 def with_language(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """docs with lang_pred and score, replacing columns of these names; und for null or letterless texts."""
+    """docs with lang_pred and score, replacing columns of these names.
+
+    Texts that are null, empty or without a letter are und with score 0, and so are all if
+    nothing was learned. Repeated rows are told each; an empty table gives an empty table.
+    """
     ship(docs.sparkSession)
     own = [c for c in docs.columns if c.lower() not in ("lang_pred", "score")]
     (p,) = fresh(docs, "_p")

@@ -111,16 +111,19 @@ def host_verdicts(measured: DataFrame, host_col: str, rules: dict[str, str] = RU
     return hosts.withColumn("host_kept", F.greatest(*[F.col(f"rate_{n}") for n in rules], F.lit(0.0)) <= most)
 
 
-def host_filtered(docs: DataFrame, text_col: str = "text", host_col: str = "source", rules: dict[str, str] = RULES, most: float = 0.5, least_docs: int = 10) -> DataFrame:
+def host_filtered(docs: DataFrame, text_col: str = "text", host_col: str = "source", rules: dict[str, str] = RULES, most: float = 0.5, least_docs: int = 10, keep: list[str] | None = None) -> DataFrame:
     """docs with the columns of STATS, base_failed and kept, replacing columns of these names.
 
+    keep: the columns of docs to return (None: all); what is returned is written once to
+    the shared folder, so leave out texts that aren't needed.
+
     kept is false if the document fails the base rule or its host is rejected. Hosts
     without a verdict (null) reject nothing. Null and empty texts have no words and fail.
     Repeated rows count each. An empty table gives an empty table.
     """
     ship(docs.sparkSession)
     names = [x.split()[0] for x in STATS.split(", ")]
-    own = [c for c in docs.columns if c.lower() not in {*names, "base_failed", "kept"}]
+    own = [c for c in docs.columns if c.lower() not in {*names, "base_failed", "kept"} and (keep is None or c in keep)]
     s, h, bad_host = fresh(docs, "_stats", "_host", "_bad_host")
     host = col(host_col) if host_col in docs.columns else F.lit(None).cast("string")
     measured = materialize(docs.select(*[col(c) for c in own], host.alias(h), stats(col(text_col)).alias(s)).select(*[col(c) for c in own], h, f"{s}.*"))

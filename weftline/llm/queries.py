@@ -21,7 +21,7 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules.host_filtered(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).drop("source", "text")
+    return quality_rules.host_filtered(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), keep=["doc_id"])
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
