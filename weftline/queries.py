@@ -548,13 +548,13 @@ def topo_order(spark, sf):
     return spark.createDataFrame(list(enumerate(parse_graph(_ENRICH).order())), "position int, node string")
 
 
-@query("""SELECT * FROM (VALUES ('c','id','bigint',false), ('c','name','string',true), ('c','bal','decimal(10,2)',true), ('c','tags','array<string>',true), ('hive','transaction_id','bigint',true),
-    ('hive','amount','decimal(10,2)',true), ('hive','items','struct<item:array<string>>',true), ('hive','year','int',true), ('emp','emp_id','decimal(5,0)',true), ('emp','pay','decimal(9,2)',true)) AS v(record, field, type, nullable)""")
+@query("""SELECT * FROM (VALUES ('c','id','bigint',false), ('c','name','string',true), ('c','bal','decimal(10,2)',true), ('c','tags','array<string>',true), ('hive','trade_no','bigint',true),
+    ('hive','amount','decimal(10,2)',true), ('hive','items','struct<item:array<string>>',true), ('hive','year','int',true), ('emp','st_no','decimal(5,0)',true), ('emp','pay','decimal(9,2)',true)) AS v(record, field, type, nullable)""")
 def schema_catalog(spark, sf):
     from .importers import import_cobol, import_hive
 
     records = {"c": parse_dml('DEFINE c BEGIN id integer(8) NOT NULL; name string(20); bal decimal(10,2); string("|")[] tags; END')["c"]}
-    records["hive"] = import_hive("CREATE TABLE h (transaction_id BIGINT, amount DECIMAL(10,2), items ARRAY<STRING>) PARTITIONED BY (year INT)").record
-    records["emp"] = import_cobol("01 EMP.\n 05 EMP-ID PIC 9(5).\n 05 PAY PIC S9(7)V99 COMP-3.")[0]
+    records["hive"] = import_hive("CREATE TABLE h (trade_no BIGINT, amount DECIMAL(10,2), items ARRAY<STRING>) PARTITIONED BY (year INT)").record
+    records["emp"] = import_cobol("01 STAFF.\n 05 ST-NO PIC 9(5).\n 05 PAY PIC S9(7)V99 COMP-3.")[0]
     rows = [(n, f.name, f.dataType.simpleString(), f.nullable) for n, r in records.items() for f in struct_type(r).fields]
     return spark.createDataFrame(rows, "record string, field string, type string, nullable boolean")
