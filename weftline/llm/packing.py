@@ -12,8 +12,10 @@ sequence can be short.
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,8 +28,10 @@ from ._common import col, materialize, ship
 
 #: Id that ends a document.
 END = 0
+#: Fixed value: the pre-tokens of byte-level BPE.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Pieces of text remembered with their ids, a worker.
-REMEMBERED = 400_000
+REMEMBERED = 1_000_000
 #: Rows of two numbers and an offset that are broadcast at most.
 BROADCAST_ROWS = 200_000
 
@@ -38,41 +42,81 @@ class Encoder:
     A space before anything but white space starts a new pre-token of a byte-level BPE,
     so the stretches between such spaces are encoded once and remembered. A text in which
     a space stands before white space or at the end is encoded as a whole.
+
+    New stretches are merged by tiktoken with the ranks that are in the tokenizer's file,
+    where that is a plain byte-level BPE whose ids follow its merges; else, and wherever
+    an added token may stand, by the tokenizer itself.
     """
 
     def __init__(self, path: str):
+        import tiktoken
         from tokenizers import Tokenizer
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.known: dict[str, bytes] = {}
+        self.code = self.dtype.char
+        self.known: dict[str, bytes] = {"": b""}
         self.end = np.array([END], self.dtype).tobytes()
+        with open(path, encoding="utf-8") as f:
+            ranks, self.added = _ranks(json.load(f))
+        self.merge = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_ordinary if ranks else None
 
-    def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
+    def plain(self, text: str) -> bytes:
+        if self.merge is None or any(x in text for x in self.added):
+            return array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+        return array(self.code, self.merge(text)).tobytes()
 
     def encode(self, text: str | None) -> bytes:
         if not text:
             return self.end
         if "\0" in text:
-            return self.whole(text) + self.end
+            return self.plain(text) + self.end
         parts, known = text.replace(" ", "\0 ").split("\0"), self.known
+        out = list(map(known.get, parts))
+        at = -1
         try:
-            return b"".join(map(known.__getitem__, parts)) + self.end
-        except KeyError:
-            pass
-        if any(len(p) == 1 or p[1].isspace() for p in parts[1:]):
-            return self.whole(text) + self.end
-        new = [p for p in dict.fromkeys(parts) if p not in known and p]
-        if len(known) + len(new) > REMEMBERED:
-            known.clear()
-            new = [p for p in dict.fromkeys(parts) if p]
-        for i in range(0, len(new), 4096):
-            for p, e in zip(new[i : i + 4096], self.tokenizer.encode_batch(new[i : i + 4096], add_special_tokens=False), strict=True):
-                known[p] = np.array(e.ids, self.dtype).tobytes()
-        known[""] = b""
-        return b"".join(map(known.__getitem__, parts)) + self.end
+            while True:
+                at = out.index(None, at + 1)
+                p = parts[at]
+                if at and (len(p) == 1 or p[1].isspace()):
+                    return self.plain(text) + self.end
+                found = known.get(p)  # it may have been new a little before
+                if found is None:
+                    if len(known) >= REMEMBERED:
+                        known.clear()
+                        known[""] = b""
+                    found = known[p] = self.plain(p)
+                out[at] = found
+        except ValueError:  # no None is left
+            return b"".join(out) + self.end
+
+
+def _ranks(spec: dict) -> tuple[dict[bytes, int] | None, list[str]]:
+    """(rank of each token's bytes, added tokens) of a tokenizer's file; None if ranks can't stand for its merges."""
+    model, pre = spec.get("model", {}), spec.get("pre_tokenizer") or {}
+    added = [x["content"] for x in spec.get("added_tokens", [])]
+    plain = model.get("type") == "BPE" and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
+    if not plain or spec.get("normalizer") or model.get("dropout") or model.get("ignore_merges") or any(model.get(k) for k in ("unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback")):
+        return None, added
+    # The visible characters that stand for the bytes: printable ones for themselves, others from 256 on.
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    byte_of = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(shown))}
+    ranks = {bytes(map(byte_of.__getitem__, t)): i for t, i in model["vocab"].items() if t not in added}
+    merges = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
+    ids = [model["vocab"].get(a + b, -1) for a, b in merges]
+    ordered = all(x < y for x, y in zip(ids, ids[1:], strict=False)) and min(ids, default=0) >= 0
+    return (ranks if ordered and len(ranks) == len(merges) + 256 else None), added
+
+
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder_of(path: str) -> Encoder:
+    """The worker's own encoder, whose cache outlives a task."""
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
 
 
 def _queues(docs: DataFrame, source_col: str, targets: dict | None, most: int) -> dict:
@@ -95,7 +139,7 @@ def tokenize(docs: DataFrame, tokenizer: str, queues: dict, id_col: str = "doc_i
     """
 
     def encoded(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder, chunk = Encoder(tokenizer), TaskContext.get().partitionId()
+        encoder, chunk = encoder_of(tokenizer), TaskContext.get().partitionId()
         so_far: dict[int, int] = {}
         for pdf in parts:
             ids = [encoder.encode(x) for x in pdf["text"]]
