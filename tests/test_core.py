@@ -243,7 +243,9 @@ def test_plans_are_the_optimizers(spark, sf):
     li = spark.read.parquet(f"{sf}/lineitem.parquet")
     out = core.rollup(core.filter_rows(core.reformat(li, parse_blocks("TRANSFORM t BEGIN out.q = in.l_quantity; out.k = in.l_orderkey; END")["t"].assignments), "q > 45"), "k", "sum(q):q")
     plan = out._jdf.queryExecution().executedPlan().toString()
-    assert "GreaterThan(l_quantity" in plan and "l_comment" not in plan and "Python" not in plan
+    assert "GreaterThan(l_quantity" in plan and "l_shipdate" not in plan and "Python" not in plan
+    dated = core.filter_rows(li, "l_shipdate <= to_timestamp('1995-01-01', 'YYYY-MM-DD')")
+    assert "LessThanOrEqual(l_shipdate" in dated._jdf.queryExecution().executedPlan().toString()
 
 
 # -- graphs and engine

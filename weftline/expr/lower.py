@@ -136,6 +136,9 @@ class Lowering:
         if e.op in _COMPARE:
             if {ka, kb} == {"string", "number"}:  # a string that is no number compares as NULL
                 a, b = (a.try_cast("double"), b) if ka == "string" else (a, b.try_cast("double"))
+            elif ka == kb == "timestamp" and self._zoneless(e.left) != self._zoneless(e.right):
+                # The column stays as it is stored, so that the comparison reaches the scan.
+                a, b = (a, b.cast("timestamp_ntz")) if self._zoneless(e.left) else (a.cast("timestamp_ntz"), b)
             return _COMPARE[e.op](a, b), "boolean"
         if e.op == "+" and "string" in (ka, kb):
             return F.concat(a.cast("string"), b.cast("string")), "string"
@@ -145,6 +148,12 @@ class Lowering:
             a, b = (x.try_cast("double") if k == "string" else x for x, k in ((a, ka), (b, kb)))
         return _ARITHMETIC[e.op](a, b), "number"
 
+    def _zoneless(self, e: Any) -> bool:
+        if not isinstance(e, Ref) or e.space == "out" or len(e.path) > 1:
+            return False
+        name = e.path[0] if e.path[0] in self.columns else self.by_lower.get(e.path[0].lower(), "")
+        return isinstance(self.columns.get(name), T.TimestampNTZType)
+
     def _cast(self, e: Cast) -> tuple[Column, str]:
         c = self.column(e.x)
         if e.type in ("decimal", "numeric"):
