@@ -413,6 +413,20 @@ def test_pipeline(spark, sf):
     check_packing(spark, docs, last)
 
 
+def test_run_equals_its_stages_and_tidies_up(spark, sf):
+    import corpus_pipeline
+    from weftline.llm._common import made
+
+    before = made()
+    got = corpus_pipeline.run(spark, sf)
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    left = [p for p in made() if p not in before]
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, sf)
+    per_doc = lambda df: Counter(rows_of(df.groupBy("doc_id").agg(F.sum("length"), F.max("doc_tokens"))))
+    assert per_doc(got) == per_doc(docs) and len(left) <= 4
+
+
 def test_pipeline_on_odd_rows(spark, sf):
     import corpus_pipeline
 

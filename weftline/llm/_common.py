@@ -17,6 +17,7 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 
 _shipped: set[str] = set()
+_made: list[str] = []
 
 
 def ship(spark: SparkSession) -> None:
@@ -48,9 +49,23 @@ def shared_dir(spark: SparkSession) -> str:
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+    _made.append(path)
     return path
 
 
+def made() -> list[str]:
+    """The paths given out so far."""
+    return list(_made)
+
+
+def remove(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes such paths, once nothing reads them any more."""
+    for path in paths:
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        _made.remove(path)
+
+
 def materialize(df: DataFrame, compression: str = "zstd") -> DataFrame:
     """Cuts lineage: writes df to the shared folder and reads it from there."""
     spark = df.sparkSession
