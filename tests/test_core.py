@@ -93,6 +93,7 @@ def test_formats(picture, want):
         ("record record string(2) city; end address; end", "struct<address:struct<city:string>>"), ("record group string(2) a; end g; end", "struct<g:struct<a:string>>"),
         ('record string(",")[] items; integer[5] scores; decimal("|")[][] m; end', "struct<items:array<string>,scores:array<int>,m:array<array<decimal(38,0)>>>"),
         ("record record integer a; end[3] xs; record integer b; } [int] ys; end", "struct<xs:array<struct<a:int>>,ys:array<struct<b:int>>>"),
+        ("DEFINE x BEGIN a record b string(2); end a NOT NULL; cs record d integer; end[]; END", "struct<a:struct<b:string>,cs:array<struct<d:int>>>"),
         ("record integer n; record string(4) id; } items[n]; end", "struct<n:int,items:array<struct<id:string>>>"),
         ("type t = record string(3) s; end; metadata type = record t one; t[int] many; end;", "struct<one:struct<s:string>,many:array<struct<s:string>>>"),
         ("record packed decimal(9,2) p; ebcdic string(4) e; binary(4) b; double d; float(8) f; end", "struct<p:decimal(9,2),e:string,b:binary,d:double,f:double>"),

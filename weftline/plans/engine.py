@@ -88,8 +88,8 @@ def _options(props: Mapping[str, str]) -> dict[str, str]:
 
 def _read(inputs: dict[str, DataFrame], p: Mapping[str, str], c: Context) -> DataFrame:
     path = _first(p, "filename", "path")
-    if path is None:
-        raise GraphError("a source needs a filename")
+    if path is None and not _options(p):
+        raise GraphError("a source needs a filename or options")
     fmt, delimiter = _first(p, "file_format", "format", default="parquet"), p.get("delimiter")
     if _flag(p.get("stream")):
         from ..streaming.streams import read_stream
@@ -410,8 +410,8 @@ class Engine:
             files.discard(df)
         else:
             path = outputs.get(node.id, outputs.get(node.name)) or _first(p, "filename", "path")
-            if path is None:
-                raise GraphError(f"{node.id}: a sink needs a filename")
+            if path is None and not _options(p):
+                raise GraphError(f"{node.id}: a sink needs a filename or options")
             dop = self.graph.params.get("DOP")
             count = _first(p, "coalesce", default=dop)
             files.write(df, path, _first(p, "file_format", "format", default="parquet"), p.get("mode", "overwrite"), names_of(_first(p, "partition_by", "partitionBy")), int(count) if count else None, int(p["repartition"]) if p.get("repartition") else None, p.get("delimiter"), _flag(p.get("has_header")), _options(p))

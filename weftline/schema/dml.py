@@ -268,6 +268,8 @@ class Parser:
             self.i += 1
             fields = self.fields("end", "}")
             self.need("end", "}")
+            after += self.dims()
+            self.take(name.lower())  # the name may be said again
             return self.finish(FieldSpec(name, "record", fields=fields, encoding=encoding), after + self.dims())
         kind = self.word()
         if kind.lower() not in TYPES and kind.lower() not in self.aliases:

@@ -18,7 +18,7 @@ from . import mainframe
 DELIMITED = {"delimited", "csv", "text", "txt"}
 
 
-def read(spark: SparkSession, path: str, fmt: str = "parquet", schema: T.StructType | RecordSpec | None = None, delimiter: str | None = None, header: bool = False, options: Mapping[str, Any] | None = None) -> DataFrame:
+def read(spark: SparkSession, path: str | None, fmt: str = "parquet", schema: T.StructType | RecordSpec | None = None, delimiter: str | None = None, header: bool = False, options: Mapping[str, Any] | None = None) -> DataFrame:
     """A table of files; with a schema no data are looked at to infer one.
 
     Delimited text takes the delimiter (a comma if none is given) and may have header
@@ -40,7 +40,7 @@ def read(spark: SparkSession, path: str, fmt: str = "parquet", schema: T.StructT
         reader = reader.schema(types)
     if fmt in DELIMITED and not (fmt == "text" and delimiter is None and types is None):
         return reader.option("sep", unescape(delimiter) if delimiter else ",").option("header", header).csv(path)
-    return reader.format(fmt).load(path)
+    return reader.format(fmt).load(path) if path else reader.format(fmt).load()  # tables and queues are named by options
 
 
 def _need(record: RecordSpec | None, fmt: str) -> RecordSpec:
@@ -149,7 +149,7 @@ def read_mixed(spark: SparkSession, path: str, record: RecordSpec) -> DataFrame:
 MODES = {"overwrite", "append", "ignore", "error", "errorifexists"}
 
 
-def write(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite", partition_by: list[str] | None = None, coalesce: int | None = None, repartition: int | None = None, delimiter: str | None = None, header: bool = False, options: Mapping[str, Any] | None = None) -> None:
+def write(df: DataFrame, path: str | None, fmt: str = "parquet", mode: str = "overwrite", partition_by: list[str] | None = None, coalesce: int | None = None, repartition: int | None = None, delimiter: str | None = None, header: bool = False, options: Mapping[str, Any] | None = None) -> None:
     """Writes files. Appends are coalesced and never shuffled for the number of files."""
     if mode not in MODES:
         raise SchemaError(f"mode {mode!r} is none of {', '.join(sorted(MODES))}")
@@ -163,7 +163,7 @@ def write(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite
         fmt, w = "csv", w.option("sep", unescape(delimiter) if delimiter else ",").option("header", header)
     if partition_by:
         w = w.partitionBy(*partition_by)
-    w.format(fmt).save(path)
+    w.format(fmt).save(path) if path else w.format(fmt).save()
 
 
 def discard(df: DataFrame) -> None:
