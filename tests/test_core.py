@@ -240,6 +240,14 @@ def test_null_keys_and_vectors(spark):
     assert core.normalize(nested, "items", flatten=True).columns == ["v", "p", "q"]
 
 
+@pytest.mark.parametrize("order", ["t, v", "t desc, v"])
+def test_scan_in_chunks_equals_scan(spark, order):
+    rows = [(i % 3 if i % 11 else None, (i * 7919) % 101 if i % 13 else None, i, None if i % 5 == 0 else i % 17) for i in range(400)]
+    df = spark.createDataFrame(rows, "k int, t int, v int, x int")
+    spec = "sum(x):s, count(x):c, count(*):n, min(x):lo, max(x):hi"
+    assert Counter(map(tuple, core.scan_chunked(df, "k", order, spec, 7).collect())) == Counter(map(tuple, core.scan(df, "k", order, spec).collect()))
+
+
 def test_plans_are_the_optimizers(spark, sf):
     li = spark.read.parquet(f"{sf}/lineitem.parquet")
     out = core.rollup(core.filter_rows(core.reformat(li, parse_blocks("TRANSFORM t BEGIN out.q = in.l_quantity; out.k = in.l_orderkey; END")["t"].assignments), "q > 45"), "k", "sum(q):q")

@@ -253,6 +253,55 @@ def scan(df: DataFrame, key: str | list[str] | None = None, sort_by: str | list[
     return df.withColumns(made)
 
 
+#: What a running aggregate of a chunk and the aggregate of the chunks before it give together.
+_TOGETHER: dict[str, Callable[[Column, Column], Column]] = {
+    "count": lambda before, here: F.coalesce(before, F.lit(0)) + here,
+    "sum": lambda before, here: F.coalesce(before + here, before, here),
+    "min": lambda before, here: F.least(before, here),
+    "max": lambda before, here: F.greatest(before, here),
+}
+
+
+def scan_chunked(df: DataFrame, key: str | list[str] | None, sort_by: str | list[str], aggregates: str, chunks: int) -> DataFrame:
+    """scan() of sums, counts, minima and maxima for keys too frequent for one task.
+
+    The first sort column, a number, date or timestamp, is cut at quantiles into chunks.
+    Running aggregates are taken by key and chunk; what the chunks before add is a prefix
+    over at most `chunks` rows of a key. Rows are shuffled once, by key and chunk.
+    """
+    keys = _existing(df, names_of(key), "scan")
+    sorts = _sorts(sort_by)
+    first = _existing(df, [sorts[0][0]], "scan")[0]
+    calls = parse_aggregates(aggregates)
+    if any(c.name not in _TOGETHER for _, c in calls):
+        raise OperatorError(f"a scan in chunks takes {', '.join(_TOGETHER)} only")
+    kind = df.schema[first].dataType
+    place = F.col(f"`{first}`").cast("double") if isinstance(kind, T.NumericType) else F.unix_micros(F.col(f"`{first}`").cast("timestamp")).cast("double")
+    cuts = df.agg(F.percentile_approx(place, [i / chunks for i in range(1, chunks)], 10_000).alias("q")).first()["q"] or []
+    rank = F.lit(0)
+    for q in sorted(set(cuts)):
+        rank = rank + F.when(place > q, 1).otherwise(0)
+    if not sorts[0][1]:  # descending: the last chunk comes first, and NULLs after it
+        rank = F.when(place.isNull(), F.lit(1)).otherwise(-rank)
+    else:
+        rank = F.when(place.isNull(), F.lit(-1)).otherwise(rank)
+    low, columns = Lowering(df), df.columns
+    made = {f"__v{i}": (F.lit(1) if c.name == "count" and (not c.args or c.args[0] == Lit("*")) else low.column(c.args[0])) for i, (_, c) in enumerate(calls)}
+    rows = df.withColumns({**made, "__chunk": rank})
+    part = [F.col(f"`{k}`") for k in keys]
+    own = Window.partitionBy(*part, "__chunk").orderBy(*_order(df, sort_by)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sums = rows.groupBy(*part, "__chunk").agg(*[AGGREGATES[c.name](f"__v{i}").alias(f"__t{i}") for i, (_, c) in enumerate(calls)])
+    prior = Window.partitionBy(*part).orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
+    # Sums of counts, and sums, minima and maxima of their own kind.
+    before = sums.select(*[F.col(f"`{k}`").alias(f"__k{i}") for i, k in enumerate(keys)], F.col("__chunk").alias("__c"), *[AGGREGATES["sum" if c.name == "count" else c.name](f"__t{i}").over(prior).alias(f"__b{i}") for i, (_, c) in enumerate(calls)])
+    running = rows.withColumns({f"__r{i}": AGGREGATES[c.name](f"__v{i}").over(own) for i, (_, c) in enumerate(calls)})
+    on = F.col("__chunk") == F.col("__c")
+    for i, k in enumerate(keys):
+        on = on & F.col(f"`{k}`").eqNullSafe(F.col(f"__k{i}"))
+    joined = running.join(before, on, "left")
+    return joined.select(*[F.col(f"`{c}`") for c in columns], *[_TOGETHER[c.name](F.col(f"__b{i}"), F.col(f"__r{i}")).alias(n) for i, (n, c) in enumerate(calls)])
+
+
 # -- order and duplicates
 
 

@@ -164,6 +164,8 @@ def _denormalize(inputs: dict[str, DataFrame], p: Mapping[str, str], c: Context)
 
 @operator("Scan")
 def _scan(inputs: dict[str, DataFrame], p: Mapping[str, str], c: Context) -> DataFrame:
+    if p.get("chunks"):
+        return core.scan_chunked(_one(inputs), _first(p, "key", "partition_by"), p["sort_by"], p.get("aggregates", ""), int(p["chunks"]))
     return core.scan(_one(inputs), _first(p, "key", "partition_by"), p.get("sort_by"), p.get("aggregates", ""), p.get("range"))
 
 

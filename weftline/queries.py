@@ -253,6 +253,12 @@ def scan_multi_agg(spark, sf):
     return core.scan(T(spark, sf, "events"), "user_id, event_type", "ts, event_id", "count(*):n, max(value):top, min(value):low").select("event_id", "n", "top", "low")
 
 
+@query("SELECT event_id, event_type, round(sum(value) OVER w, 3) AS running, count(*) OVER w AS n, min(value) OVER w AS low FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)")
+def scan_in_chunks(spark, sf):
+    out = core.scan_chunked(T(spark, sf, "events"), "event_type", "ts, event_id", "sum(value):running, count(*):n, min(value):low", 16)
+    return out.select("event_id", "event_type", F.round("running", 3).alias("running"), "n", "low")
+
+
 @query("SELECT event_id, CAST(row_number() OVER w AS INTEGER) AS rn, CAST(rank() OVER w AS INTEGER) AS rk, lag(event_id, 1) OVER w AS before FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)")
 def scan_ranks(spark, sf):
     return core.scan(T(spark, sf, "events"), "user_id", "ts, event_id", "row_number():rn, rank():rk, lag(event_id, 1):before").select("event_id", "rn", "rk", "before")
