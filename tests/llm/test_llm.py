@@ -138,7 +138,10 @@ def test_close_pairs_give_all_components(spark, largest):
 
 
 def test_one_of_each(spark, odd, none):
-    got = rows_of(simhash.one_of_each(odd).select("doc_id", "text"))
+    named = odd.withColumn("_metadata", F.lit("m"))
+    kept = simhash.one_of_each(named)
+    assert kept.columns == named.columns
+    got = rows_of(kept.select("doc_id", "text"))
     groups = {(d, c) for d, _, c in rows_of(simhash.duplicate_groups(odd))}
     assert len(got) == len({c for _, c in groups}) and len({d for d, _ in got}) == len(got)
     assert all(any(c == d for x, c in groups if x == d) or d is None for d, _ in got)

@@ -120,6 +120,10 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     folder, where a row's file and index name it.
     """
     ship(docs.sparkSession)
+    hidden = [c for c in docs.columns if c.lower() == "_metadata"]  # the name of what files tell of their rows
+    if hidden:
+        (other,) = fresh(docs, "_metadata_")
+        return one_of_each(docs.withColumnRenamed(hidden[0], other), id_col, text_col, words, max_bits, blocks).withColumnRenamed(other, hidden[0])
     fp, file, at, its_file, its_at = fresh(docs, "_fp", "_file", "_at", "_its_file", "_its_at")
     rows = materialize(docs.withColumn(fp, fingerprints(col(text_col), words)))
     rows = rows.select(*[col(c) for c in rows.columns], F.col("_metadata.file_name").alias(file), F.col("_metadata.row_index").alias(at))
