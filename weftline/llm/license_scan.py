@@ -50,7 +50,7 @@ def unit_verdicts(units: DataFrame, templates: list[tuple[str, str]], least: flo
     tf = materialize(units.select("u", F.explode(_terms(F.col("unit"))).alias("term")).groupBy("u", "term").agg(F.count(F.lit(1)).alias("tf")))
     n = units.select("u").distinct().count()
     idf = tf.groupBy("term").agg((1 + F.log((1.0 + n) / (1.0 + F.count(F.lit(1))))).alias("idf"))
-    own = spark.createDataFrame([(i, text) for i, (_, text) in enumerate(templates)], "i int, text string")
+    own = spark.range(1).select(F.inline(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(text).alias("text")) for i, (_, text) in enumerate(templates)])))
     wanted = own.select("i", F.explode(_terms(F.col("text"))).alias("term")).groupBy("term", "i").agg((1 + F.log(F.count(F.lit(1)))).alias("w"))
     wanted = wanted.groupBy(F.col("term").alias("wt")).agg(F.map_from_entries(F.collect_list(F.struct("i", "w"))).alias("ws"))  # as many as the templates have words
     rare = 1 + log(1.0 + n)
