@@ -144,7 +144,11 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 600, id_col: str =
     if len(set(y.tolist())) < 2:
         net.out[:] = 0
         return net
-    net.train([np.frombuffer(r["c"], np.uint8).reshape(-1, CHUNK) for r in got], y, epochs)
+    texts = [np.frombuffer(r["c"], np.uint8).reshape(-1, CHUNK) for r in got]
+    # A short piece of a good text is good too; without these, few short texts are learned from.
+    r = np.random.default_rng(1)
+    pieces = [np.where(np.arange(CHUNK) < r.integers(4, 160), c[:1], 0).astype(np.uint8) for c, good in zip(texts, y, strict=True) if good]
+    net.train(texts + pieces, np.concatenate([y, np.ones(len(pieces), np.float32)]), epochs)
     return net
 
 
