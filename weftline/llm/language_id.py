@@ -29,8 +29,8 @@ _LETTER = regex.compile(r"\p{L}")
 
 
 def features(text: str) -> np.ndarray:
-    """Hashed counts of the byte trigrams of a whole text, as roots of unit length."""
-    b = np.frombuffer(text.encode("utf-8", "surrogatepass").lower(), np.uint8)
+    """Hashed counts of the byte trigrams of a whole text between two spaces, as roots of unit length."""
+    b = np.frombuffer(b" " + text.encode("utf-8", "surrogatepass").lower() + b" ", np.uint8)
     counts = np.zeros(DIM, np.int64)
     for i in range(0, max(1, len(b) - 2), BLOCK):
         x = b[i : i + BLOCK + 2].astype(np.uint32)
