@@ -10,6 +10,8 @@ import numpy as np
 import public_tokenizers
 import pytest
 import xxhash
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from weftline.llm import components, decontamination, language_id, license_scan, line_dedup, packing, quality_cnn, quality_rules, queries, simhash, url_filters, warc
@@ -80,6 +82,10 @@ def test_line_dedup(spark, sf, odd, table):
     assert Counter(rows_of(got.select("doc_id", "text", "n_lines", "n_dropped"))) == Counter(want)
 
 
+def test_line_dedup_of_nothing(none):
+    assert line_dedup.drop_repeated_lines(none).count() == 0
+
+
 # -- SimHash
 
 
@@ -269,6 +275,21 @@ def test_packing_follows_targets():
     assert spans[0][0] == 0 and spans[-1][1] == 30_000 and all(x[1] == y[0] for x, y in zip(spans, spans[1:], strict=False))
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.one_of(st.integers(0, 5), st.integers(0, 3000)), min_size=1, max_size=7), st.integers(1, 200), st.booleans(), st.randoms())
+def test_schedules_place_each_token_once(totals, window, natural, r):
+    plan = packing.Schedule(totals, window, None if natural else [r.choice([0, 0.1, 1, 3]) for _ in totals])
+    seen = []
+    for q, n in enumerate(totals):
+        cuts = sorted({0, n, *(r.randint(0, n) for _ in range(4))})
+        lo, hi = np.array(cuts[:-1], np.int64), np.array(cuts[1:], np.int64)
+        row, a, b, off = plan.place(q, lo, hi)
+        assert ((a >= lo[row]) & (b <= hi[row]) & (a < b)).all()
+        assert sorted(x for s, e in zip(a, b, strict=True) for x in range(s, e)) == list(range(n))
+        seen += [x for o, s, e in zip(off, a, b, strict=True) for x in range(o, o + e - s)]
+    assert sorted(seen) == list(range(sum(totals)))
+
+
 def test_encoder_equals_the_tokenizer():
     from tokenizers import Tokenizer
 
@@ -434,9 +455,11 @@ def test_pipeline_on_odd_rows(spark, sf):
     import corpus_pipeline
 
     docs = spark.createDataFrame(ODD, SCHEMA).withColumns({"n_chars": F.length("text").cast("long"), "fp": F.lit(1)})
+    empty, unlabelled = docs.limit(0), corpus_pipeline.language(spark, docs.withColumn("lang", F.lit(None).cast("string")), sf)
+    assert Counter(rows_of(unlabelled.select("doc_id"))) == Counter((x[0],) for x in ODD if x[0] not in (3, 4, 8))
     for _, stage in corpus_pipeline.STAGES:
-        docs = stage(spark, docs, sf)
-    assert docs.count() > 0
+        docs, empty = stage(spark, docs, sf), stage(spark, empty, sf)
+    assert docs.count() > 0 and empty.count() == 0
 
 
 # -- the registered queries
