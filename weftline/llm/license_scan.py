@@ -33,8 +33,12 @@ SPEAKS = r"(?i)licen[cs]e|copyright|spdx|permission is hereby|redistribution and
 LICENCE_FILE = r"(?i)(^|/)(licen[cs]e|copying|unlicense)(\.[^/]*)?$"
 
 
+#: A term: letters and digits, with further numbers after points, as in 4.0.
+TERM = r"[\p{L}\p{N}]+(?:\.[0-9]+)*"
+
+
 def _terms(c: Column) -> Column:
-    return F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}.]+|\.(?![0-9])"), lambda x: x != "")
+    return F.regexp_extract_all(F.lower(c), F.lit(TERM), F.lit(0))
 
 
 def _directory(path: Column) -> Column:

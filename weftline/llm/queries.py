@@ -93,6 +93,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (op1_warc, op2_quality_rules, op3_packing, op4_language_id, op5_decontamination, op6_url_filters, op7_quality_cnn, op8_line_dedup, op9_license_scan, op10_simhash)
 }
 
+_TEMPLATES = ", ".join("({}, '{}', '{}')".format(i, name, text.replace("'", "''")) for i, (name, text) in enumerate(license_scan.TEMPLATES))
+
 ORACLE_SQL: dict[str, str] = {
     "op1_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
@@ -127,6 +129,21 @@ ORACLE_SQL: dict[str, str] = {
         bad AS (SELECT DISTINCT source FROM k JOIN m3 ON k.rule = m3.rule WHERE (fails + mean * strength) / (docs + strength) > 0.5)
         SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, f1 AS base_failed, NOT f1 AND bad.source IS NULL AS kept
         FROM f LEFT JOIN bad ON f.source = bad.source""",
+    "op5_decontamination": r"""
+        WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+        i AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws
+              FROM benchmark WHERE item_id IS NOT NULL),
+        iw AS (SELECT DISTINCT item, least(13, len(ws)) AS n, array_to_string(list_slice(ws, k, k + least(13, len(ws)) - 1), ' ') AS w
+               FROM (SELECT item, ws, unnest(range(1, greatest(len(ws) - 13, 0) + 2)) AS k FROM i WHERE len(ws) > 0)),
+        ln AS (SELECT DISTINCT n FROM iw),
+        dw AS (SELECT doc_id, n, k, array_to_string(list_slice(ws, k, k + n - 1), ' ') AS w
+               FROM (SELECT doc_id, ws, n, unnest(range(1, len(ws) - n + 2)) AS k FROM d JOIN ln ON len(ws) >= n)),
+        hit AS (SELECT dw.doc_id, dw.k, dw.n, iw.item FROM dw JOIN iw ON dw.n = iw.n AND dw.w = iw.w),
+        pos AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(k, k + n)) AS p FROM hit) GROUP BY doc_id),
+        it AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM hit) GROUP BY doc_id)
+        SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+               coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated
+        FROM d LEFT JOIN pos ON d.doc_id = pos.doc_id LEFT JOIN it ON d.doc_id = it.doc_id""",
     "op6_url_filters": """
         WITH h AS (SELECT page_id, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#@]*@)?([^/?#:]*)', 2)) AS host,
                           1704067200 + ((page_id * 7919) % 525600) * 60 AS fetched_s FROM pages),
@@ -151,4 +168,30 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_id, count(*) AS n_lines, CAST(sum(CASE WHEN dropped THEN 1 ELSE 0 END) AS BIGINT) AS n_dropped,
                sha256(coalesce(string_agg(CASE WHEN NOT dropped THEN line END, chr(10) ORDER BY pos), '')) AS kept_sha256
         FROM j GROUP BY doc_id""",
+    "op9_license_scan": rf"""
+        WITH f AS (SELECT doc_id, concat_ws('/', source, 'a' || (doc_id // 512), CASE WHEN doc_id % 512 < 64 THEN NULL ELSE 'b' || ((doc_id % 512) // 64) END,
+                          CASE WHEN doc_id % 64 = 0 THEN 'LICENSE' ELSE 'f' || doc_id || '.txt' END) AS path, text FROM documents),
+        d AS (SELECT *, regexp_matches(path, '{license_scan.LICENCE_FILE}') AS is_file, regexp_replace(path, '/?[^/]*$', '') AS folder FROM f),
+        l AS (SELECT DISTINCT text, 'header' AS via, unit FROM (SELECT text, unnest(string_split(text, chr(10))) AS unit FROM d) WHERE regexp_matches(unit, '{license_scan.SPEAKS}')),
+        s AS (SELECT text, via, unit FROM l UNION SELECT text, 'file', text FROM d WHERE is_file AND text IS NOT NULL),
+        u AS (SELECT DISTINCT unit FROM s), n AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM u),
+        tf AS (SELECT unit, term, 1 + ln(count(*)) AS tf FROM (SELECT unit, unnest(regexp_extract_all(lower(unit), '{license_scan.TERM}')) AS term FROM u) GROUP BY unit, term),
+        idf AS (SELECT term, 1 + ln((1 + (SELECT n FROM n)) / (1 + count(*))) AS idf FROM tf GROUP BY term),
+        t(i, licence, body) AS (VALUES {_TEMPLATES}),
+        tt AS (SELECT i, term, 1 + ln(count(*)) AS w FROM (SELECT i, unnest(regexp_extract_all(lower(body), '{license_scan.TERM}')) AS term FROM t) GROUP BY i, term),
+        tn AS (SELECT i, sqrt(sum(power(w * coalesce(idf, 1 + ln(1 + (SELECT n FROM n))), 2))) AS norm FROM tt LEFT JOIN idf ON tt.term = idf.term GROUP BY i),
+        un AS (SELECT unit, sqrt(sum(power(tf * idf, 2))) AS norm FROM tf JOIN idf ON tf.term = idf.term GROUP BY unit),
+        dot AS (SELECT unit, i, sum(tf * idf * w * idf) AS dot FROM tf JOIN idf ON tf.term = idf.term JOIN tt ON tf.term = tt.term GROUP BY unit, i),
+        b AS (SELECT dot.unit, round(dot / (un.norm * tn.norm), 6) AS score, t.licence FROM dot JOIN un ON dot.unit = un.unit JOIN tn ON dot.i = tn.i JOIN t ON dot.i = t.i),
+        b1 AS (SELECT unit, score, licence FROM (SELECT *, row_number() OVER (PARTITION BY unit ORDER BY score DESC, licence DESC) AS r FROM b) WHERE r = 1 AND score >= 0.6),
+        v AS (SELECT s.text, s.via, b1.score, b1.licence FROM s JOIN b1 ON s.unit = b1.unit),
+        header AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY text ORDER BY score DESC, licence DESC) AS r FROM v WHERE via = 'header') WHERE r = 1),
+        most AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY text ORDER BY score DESC, licence DESC, via DESC) AS r FROM v) WHERE r = 1),
+        m AS (SELECT d.doc_id, d.path, d.folder, d.is_file, CASE WHEN is_file THEN most.licence ELSE header.licence END AS licence, CASE WHEN is_file THEN most.score ELSE header.score END AS score,
+                     CASE WHEN is_file THEN most.via ELSE header.via END AS via FROM d LEFT JOIN most ON d.text = most.text LEFT JOIN header ON d.text = header.text),
+        roots AS (SELECT folder AS root, licence, score, path FROM (SELECT *, row_number() OVER (PARTITION BY folder ORDER BY score DESC, licence DESC, path DESC) AS r FROM m WHERE is_file AND licence IS NOT NULL) WHERE r = 1),
+        near AS (SELECT m.doc_id, roots.*, row_number() OVER (PARTITION BY m.doc_id ORDER BY length(root) DESC) AS r FROM m JOIN roots ON m.folder = root OR starts_with(m.folder, root || '/') OR root = '' WHERE m.licence IS NULL)
+        SELECT m.doc_id, m.path, coalesce(m.licence, near.licence) AS licence, coalesce(m.score, near.score) AS licence_score,
+               CASE WHEN m.licence IS NOT NULL THEN m.via WHEN near.licence IS NOT NULL THEN 'inherited' END AS licence_via, CASE WHEN m.licence IS NOT NULL THEN m.path ELSE near.path END AS licence_from
+        FROM m LEFT JOIN near ON m.doc_id = near.doc_id AND near.r = 1""",
 }
