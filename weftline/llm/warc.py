@@ -26,6 +26,8 @@ MAGIC = 0x184D2A5D
 #: Bytes of records after which an archive is closed, and that its dictionary is built from at most.
 ARCHIVE_BYTES, SAMPLE_BYTES, DICT_BYTES = 32 << 20, 2 << 20, 64 << 10
 LEVEL = 3
+#: Bytes of an archive that are decompressed at a time.
+PIECE = 16 << 10
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -117,12 +119,16 @@ def read_records(data: bytes) -> Iterator[bytes]:
             d = zstandard.ZstdCompressionDict(raw, dict_type=kind)
         at += 8 + size
     reader = zstandard.ZstdDecompressor(dict_data=d) if d else zstandard.ZstdDecompressor()
-    rest = memoryview(data)[at:]
-    while len(rest):
-        one = reader.decompressobj()
-        part = one.decompress(rest)
-        yield part
-        rest = rest[len(rest) - len(one.unused_data) :]
+    while at < len(data):
+        one, parts = reader.decompressobj(), []
+        while not one.eof:
+            piece = data[at : at + PIECE]  # what is left over of it is copied, so it is small
+            if not piece:
+                raise ValueError("the archive ends within a record")
+            parts.append(one.decompress(piece))
+            at += len(piece)
+        at -= len(one.unused_data)
+        yield b"".join(parts)
 
 
 def open_fs(uri: str):
