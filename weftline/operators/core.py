@@ -344,9 +344,7 @@ def dedup(df: DataFrame, key: str | list[str] | None = None, which: str = "first
         smallest = (which == "first") == ways.pop()
         whole = F.struct(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(by)], row.alias("row"))
         return df.groupBy(*keys).agg((F.min if smallest else F.max)(whole).alias("__best")).select("__best.row.*")
-    order = [(c if (which == "first") else None) for c in _order(df, sort_by)]
-    if which == "last":
-        order = _order(df, [f"{n} {'desc' if up else 'asc'}" for n, up in sorts])
+    order = _order(df, [f"{n} {'asc' if up == (which == 'first') else 'desc'}" for n, up in sorts])
     w = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn("__rn", F.row_number().over(w)).where("__rn = 1").drop("__rn")
 

@@ -7,7 +7,6 @@ import logging
 import shlex
 import subprocess
 import time
-import uuid
 from collections.abc import Mapping
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import asdict, dataclass, field
@@ -422,7 +421,3 @@ class Engine:
         """The physical plan of each leaf."""
         bound = self.bind(spark, overrides)
         return {n: bound[n]._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")) for n in self.graph.leaves() if n in bound}
-
-
-def scratch(folder: str) -> str:
-    return f"{folder.rstrip('/')}/{uuid.uuid4().hex}"

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -45,10 +46,11 @@ def casts(df: DataFrame, **kinds: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession) -> str:
+    """A new path in the folder that all executors share, removed when the JVM ends."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="weftline-")
-    import uuid
-
-    return f"{base.rstrip('/')}/query-{uuid.uuid4().hex}"
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{base.rstrip('/')}/query-{uuid.uuid4().hex}")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return path.toString()
 
 
 # -- rows
@@ -122,9 +124,6 @@ def filter_in_like_between(spark, sf):
 
 # -- joins
 
-_CUST = {"c_custkey": "o_custkey"}
-
-
 def _orders_customers(spark, sf):
     c = T(spark, sf, "customer", "c_custkey", "c_name").withColumnRenamed("c_custkey", "o_custkey").where("o_custkey % 3 <> 0")
     o = T(spark, sf, "orders", "o_orderkey", "o_custkey").where("o_custkey % 5 <> 0")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators.core import names_of, parse_aggregates, aggregate_column
+from ..operators.core import aggregate_column, names_of, parse_aggregates
 from ..schema.dml import unescape
 
 
