@@ -78,23 +78,28 @@ RULES = {
 }
 
 
-def beta_prior(hosts: DataFrame, failures: str, docs: str, least_docs: int = 10) -> tuple[float, float]:
-    """(alpha, beta) by the method of moments over hosts of at least least_docs documents.
+def beta_priors(hosts: DataFrame, rules: list[str], least_docs: int = 10) -> dict[str, tuple[float, float]]:
+    """(alpha, beta) of each rule by the method of moments over hosts of at least least_docs documents.
 
     What the binomial itself spreads is taken off the variance of the rates. Fewer than
     two hosts, or rates no wider than that: one document's worth for each percent, 100.
     """
-    rate = F.col(failures) / F.col(docs)
-    r = hosts.where(F.col(docs) >= least_docs).agg(F.count("*").alias("n"), F.avg(rate).alias("m"), F.var_samp(rate).alias("v"), F.avg(1 / F.col(docs)).alias("inv")).first()
-    all_ = hosts.agg(F.sum(failures).alias("f"), F.sum(docs).alias("d")).first()
-    overall = ((all_["f"] or 0) + 0.5) / ((all_["d"] or 0) + 1)
-    mean = min(max(r["m"] if r["n"] else overall, 1e-6), 1 - 1e-6)
-    strength = 100.0
-    if r["n"] > 1 and r["v"] is not None:
-        between = r["v"] - mean * (1 - mean) * r["inv"]
-        if between > 0:
-            strength = min(max(mean * (1 - mean) / between - 1, 1.0), 10_000.0)
-    return mean * strength, (1 - mean) * strength
+    large = F.col("docs") >= least_docs
+    asked = [F.sum("docs").alias("d"), F.sum(F.when(large, 1).otherwise(0)).alias("n"), F.avg(F.when(large, 1 / F.col("docs"))).alias("inv")]
+    for name in rules:
+        rate = F.when(large, F.col(f"fail_{name}") / F.col("docs"))
+        asked += [F.sum(f"fail_{name}").alias(f"f_{name}"), F.avg(rate).alias(f"m_{name}"), F.var_samp(rate).alias(f"v_{name}")]
+    r, out = hosts.agg(*asked).first(), {}
+    for name in rules:
+        overall = ((r[f"f_{name}"] or 0) + 0.5) / ((r["d"] or 0) + 1)
+        mean = min(max(r[f"m_{name}"] if r["n"] else overall, 1e-6), 1 - 1e-6)
+        strength = 100.0
+        if (r["n"] or 0) > 1:
+            between = r[f"v_{name}"] - mean * (1 - mean) * r["inv"]
+            if between > 0:
+                strength = min(max(mean * (1 - mean) / between - 1, 1.0), 10_000.0)
+        out[name] = mean * strength, (1 - mean) * strength
+    return out
 
 
 def host_verdicts(measured: DataFrame, host_col: str, rules: dict[str, str] = RULES, most: float = 0.5, least_docs: int = 10) -> DataFrame:
@@ -104,9 +109,8 @@ def host_verdicts(measured: DataFrame, host_col: str, rules: dict[str, str] = RU
     host is nobody's and is left out.
     """
     fails = [F.sum(F.expr(f"CASE WHEN {rule} THEN 1 ELSE 0 END")).alias(f"fail_{name}") for name, rule in rules.items()]
-    hosts = measured.where(col(host_col).isNotNull()).groupBy(col(host_col).alias("host")).agg(F.count(F.lit(1)).alias("docs"), *fails)
-    for name in rules:
-        a, b = beta_prior(hosts, f"fail_{name}", "docs", least_docs)
+    hosts = materialize(measured.where(col(host_col).isNotNull()).groupBy(col(host_col).alias("host")).agg(F.count(F.lit(1)).alias("docs"), *fails))
+    for name, (a, b) in beta_priors(hosts, list(rules), least_docs).items():
         hosts = hosts.withColumn(f"rate_{name}", (F.col(f"fail_{name}") + a) / (F.col("docs") + a + b))
     return hosts.withColumn("host_kept", F.greatest(*[F.col(f"rate_{n}") for n in rules], F.lit(0.0)) <= most)
 
