@@ -486,3 +486,38 @@ def test_query_has_a_row_for_each_row(spark, sf, name):
         return
     table = "pages" if name in ("op1_warc", "op6_url_filters") else "documents"
     assert queries.QUERIES[name](spark, sf).count() == spark.read.parquet(f"{sf}/{table}.parquet").count()
+
+
+@pytest.mark.parametrize("size", [12, 90])
+def test_near_dedup_stage(spark, sf, odd, size):
+    import corpus_pipeline
+    from weftline.llm.near_copies import shingles
+
+    rnd = random.Random(size)
+    base = [f"w{rnd.randrange(10**6)}" for _ in range(200)]
+    texts = {}
+    for i in range(size):  # edits that pile up: the ends of the chain differ
+        base[rnd.randrange(200)] = f"x{i}"
+        texts[i] = " ".join(base)
+    for i in range(size):  # each one by itself: two of these are 0.8 to 0.95 alike
+        w = [f"v{k}" for k in range(150)]
+        for k in rnd.sample(range(150), rnd.randrange(1, 3)):
+            w[k] = f"y{i}.{k}"
+        texts[size + i] = " ".join(w)
+    docs = spark.createDataFrame([(k, v, "en", "a") for k, v in texts.items()], SCHEMA).repartition(3)
+    got = {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, sf).collect()}
+    sets, root = {k: shingles(v) for k, v in texts.items()}, {k: k for k in texts}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in texts:
+        for b in range(a):
+            if len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8:
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    assert got == {find(k) for k in texts} and len(got) < size
+    left = [r["doc_id"] for r in corpus_pipeline.near_dedup(spark, odd, sf).collect()]
+    assert len(left) == 8 and sorted(x for x in left if x is not None) == [1, 2, 3, 5, 6, 8, 9]
