@@ -521,3 +521,12 @@ def test_near_dedup_stage(spark, sf, odd, size):
     assert got == {find(k) for k in texts} and len(got) < size
     left = [r["doc_id"] for r in corpus_pipeline.near_dedup(spark, odd, sf).collect()]
     assert len(left) == 8 and sorted(x for x in left if x is not None) == [1, 2, 3, 5, 6, 8, 9]
+
+
+def test_priors_from_small_hosts(spark):
+    hosts = [(f"large{i}", 80) for i in range(2) for _ in range(1000)] + [(f"small{i}", 10) for i in range(200) for _ in range(9)]
+    measured = spark.createDataFrame([(h, n, 5 * n, 0, 0, 0) for h, n in hosts], "host string, " + quality_rules.STATS)
+    kept = {r["host"]: r["host_kept"] for r in quality_rules.host_verdicts(measured, "host").collect()}
+    assert len(kept) == 202 and all(v == k.startswith("large") for k, v in kept.items())
+    single = spark.createDataFrame([(f"h{i}", 1, *[int(i < 5)] * 4) for i in range(10)], "host string, docs long, " + ", ".join(f"fail_{n} long" for n in quality_rules.RULES))
+    assert all(x == pytest.approx((50, 50)) for x in quality_rules.beta_priors(single, list(quality_rules.RULES)).values())

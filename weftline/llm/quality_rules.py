@@ -78,31 +78,31 @@ RULES = {
 }
 
 
-def beta_priors(hosts: DataFrame, rules: list[str], least_docs: int = 10) -> dict[str, tuple[float, float]]:
-    """(alpha, beta) of each rule by the method of moments over hosts of at least least_docs documents.
+def beta_priors(hosts: DataFrame, rules: list[str]) -> dict[str, tuple[float, float]]:
+    """(alpha, beta) of each rule by the method of moments over all hosts.
 
-    What the binomial itself spreads is taken off the variance of the rates. Fewer than
-    two hosts, or rates no wider than that: one document's worth for each percent, 100.
+    A rate over n documents varies by m (1 - m) (r + (1 - r) / n), where r = 1 / (1 +
+    alpha + beta) is what hosts differ by themselves. Fewer than two hosts, hosts of one
+    document only, or rates no wider than chance: one document's worth for each percent, 100.
     """
-    large = F.col("docs") >= least_docs
-    asked = [F.sum("docs").alias("d"), F.sum(F.when(large, 1).otherwise(0)).alias("n"), F.avg(F.when(large, 1 / F.col("docs"))).alias("inv")]
+    asked = [F.sum("docs").alias("d"), F.count(F.lit(1)).alias("n"), F.avg(1 / F.col("docs")).alias("inv")]
     for name in rules:
-        rate = F.when(large, F.col(f"fail_{name}") / F.col("docs"))
+        rate = F.col(f"fail_{name}") / F.col("docs")
         asked += [F.sum(f"fail_{name}").alias(f"f_{name}"), F.avg(rate).alias(f"m_{name}"), F.var_samp(rate).alias(f"v_{name}")]
     r, out = hosts.agg(*asked).first(), {}
     for name in rules:
         overall = ((r[f"f_{name}"] or 0) + 0.5) / ((r["d"] or 0) + 1)
         mean = min(max(r[f"m_{name}"] if r["n"] else overall, 1e-6), 1 - 1e-6)
         strength = 100.0
-        if (r["n"] or 0) > 1:
-            between = r[f"v_{name}"] - mean * (1 - mean) * r["inv"]
-            if between > 0:
-                strength = min(max(mean * (1 - mean) / between - 1, 1.0), 10_000.0)
+        if r["n"] > 1 and r["inv"] < 1:
+            own = (r[f"v_{name}"] / (mean * (1 - mean)) - r["inv"]) / (1 - r["inv"])
+            if own > 0:
+                strength = min(max(1 / own - 1, 1.0), 10_000.0)
         out[name] = mean * strength, (1 - mean) * strength
     return out
 
 
-def host_verdicts(measured: DataFrame, host_col: str, rules: dict[str, str] = RULES, most: float = 0.5, least_docs: int = 10) -> DataFrame:
+def host_verdicts(measured: DataFrame, host_col: str, rules: dict[str, str] = RULES, most: float = 0.5) -> DataFrame:
     """(host, docs, and for each rule its failures and shrunk rate, host_kept) over STATS columns.
 
     A host is rejected if the shrunk failure rate of a rule is above `most`. The null
@@ -110,12 +110,12 @@ def host_verdicts(measured: DataFrame, host_col: str, rules: dict[str, str] = RU
     """
     fails = [F.sum(F.expr(f"CASE WHEN {rule} THEN 1 ELSE 0 END")).alias(f"fail_{name}") for name, rule in rules.items()]
     hosts = materialize(measured.where(col(host_col).isNotNull()).groupBy(col(host_col).alias("host")).agg(F.count(F.lit(1)).alias("docs"), *fails))
-    for name, (a, b) in beta_priors(hosts, list(rules), least_docs).items():
+    for name, (a, b) in beta_priors(hosts, list(rules)).items():
         hosts = hosts.withColumn(f"rate_{name}", (F.col(f"fail_{name}") + a) / (F.col("docs") + a + b))
     return hosts.withColumn("host_kept", F.greatest(*[F.col(f"rate_{n}") for n in rules], F.lit(0.0)) <= most)
 
 
-def host_filtered(docs: DataFrame, text_col: str = "text", host_col: str = "source", rules: dict[str, str] = RULES, most: float = 0.5, least_docs: int = 10, keep: list[str] | None = None) -> DataFrame:
+def host_filtered(docs: DataFrame, text_col: str = "text", host_col: str = "source", rules: dict[str, str] = RULES, most: float = 0.5, keep: list[str] | None = None) -> DataFrame:
     """docs with the columns of STATS, base_failed and kept, replacing columns of these names.
 
     keep: the columns of docs to return (None: all); what is returned is written once to
@@ -131,7 +131,7 @@ def host_filtered(docs: DataFrame, text_col: str = "text", host_col: str = "sour
     s, h, bad_host = fresh(docs, "_stats", "_host", "_bad_host")
     host = col(host_col) if host_col in docs.columns else F.lit(None).cast("string")
     measured = materialize(docs.select(*[col(c) for c in own], host.alias(h), stats(col(text_col)).alias(s)).select(*[col(c) for c in own], h, f"{s}.*"))
-    bad = host_verdicts(measured, h, rules, most, least_docs).where("NOT host_kept").select(F.concat(F.lit("h:"), F.col("host").cast("string")).alias(bad_host))
+    bad = host_verdicts(measured, h, rules, most).where("NOT host_kept").select(F.concat(F.lit("h:"), F.col("host").cast("string")).alias(bad_host))
     # On another expression than the aggregate's key: a host with a third of the rows can be split.
     joined = measured.join(bad, F.concat(F.lit("h:"), F.col(h).cast("string")) == F.col(bad_host), "left")
     failed = F.expr(rules.get("base", "false"))
