@@ -530,3 +530,16 @@ def test_priors_from_small_hosts(spark):
     assert len(kept) == 202 and all(v == k.startswith("large") for k, v in kept.items())
     single = spark.createDataFrame([(f"h{i}", 1, *[int(i < 5)] * 4) for i in range(10)], "host string, docs long, " + ", ".join(f"fail_{n} long" for n in quality_rules.RULES))
     assert all(x == pytest.approx((50, 50)) for x in quality_rules.beta_priors(single, list(quality_rules.RULES)).values())
+
+
+def test_packing_gives_each_source_a_queue(spark):
+    docs = spark.createDataFrame([(i, " ".join(f"word{i + j}" for j in range(12)), f"s{i % 300:03d}") for i in range(600)], "doc_id long, text string, source string").orderBy("source").coalesce(3)
+    got = packing.pack(docs, queries.TOKENIZER, sequence=16, window=10).collect()
+    at = defaultdict(list)
+    for r in got:
+        at[f"s{r['doc_id'] % 300:03d}"] += range(r["sequence_id"] * 16 + r["offset"], r["sequence_id"] * 16 + r["offset"] + r["length"])
+    total = sum(map(len, at.values()))
+    assert len(at) == 300 and sorted(x for v in at.values() for x in v) == list(range(total))
+    slack = 2 * (160 + 300) / total
+    for v in at.values():  # each source's tokens go evenly through the whole stream
+        assert all(abs(x / total - j / len(v)) <= slack + 1 / len(v) for j, x in enumerate(sorted(v)))

@@ -34,6 +34,8 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 REMEMBERED = 1_000_000
 #: Rows of two numbers and an offset that are broadcast at most.
 BROADCAST_ROWS = 200_000
+#: Numbers of a schedule that a task keeps at most.
+KEPT = 1 << 22
 
 
 class Encoder:
@@ -119,16 +121,12 @@ def encoder_of(path: str) -> Encoder:
     return _encoders[path]
 
 
-def _queues(docs: DataFrame, source_col: str, targets: dict | None, most: int) -> dict:
-    """Number of the queue of each source that has one of its own; all others share queue 0.
-
-    With targets, its sources; else the `most` sources with most rows: a bound on what
-    comes to the driver, not on what is packed.
-    """
+def _queues(docs: DataFrame, source_col: str, targets: dict | None) -> dict:
+    """Number of the queue of each source: of every source, or of those in targets; others share queue 0."""
     if targets is not None:
         return {s: i + 1 for i, s in enumerate(targets)}
-    top = docs.groupBy(col(source_col).alias("s")).count().orderBy(F.desc("count"), "s").limit(most).collect()
-    return {r["s"]: i + 1 for i, r in enumerate(top)}
+    every = docs.groupBy(col(source_col).cast("string").alias("s")).count().orderBy(F.desc("count"), "s").collect()
+    return {r["s"]: i + 1 for i, r in enumerate(every)}
 
 
 def tokenize(docs: DataFrame, tokenizer: str, queues: dict, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
@@ -183,6 +181,8 @@ class Schedule:
         self.taken[1:] = np.cumsum(np.array(phases, np.int64).reshape(len(phases), len(totals)), axis=0)
         self.windows = [max(1, -(-sum(p) // window)) for p in phases]
         self.n = np.array(phases, np.int64).reshape(len(phases), len(totals))
+        self.sums = self.taken.sum(axis=1).tolist()
+        self.kept: dict[tuple[int, int], np.ndarray] = {}
 
     def credit(self, phase: int, queue: int | slice, k: np.ndarray) -> np.ndarray:
         """Tokens that a queue has taken after k windows of a phase: its credit without the deficit."""
@@ -202,6 +202,19 @@ class Schedule:
             k = k + high
         return k
 
+    def within(self, phase: int, k: int) -> np.ndarray:
+        """For each queue what its tokens of window k stand behind their own number in the stream of the phase.
+
+        Of the windows asked for last, as many as fit in KEPT numbers are kept.
+        """
+        if (phase, k) not in self.kept:
+            before, after = self.credit(phase, slice(None), np.array([k, k + 1]))
+            take = after - before
+            while self.kept and (len(self.kept) + 1) * len(take) > KEPT:
+                self.kept.pop(next(iter(self.kept)))
+            self.kept[phase, k] = before.sum() + np.cumsum(take) - take - before
+        return self.kept[phase, k]
+
     def place(self, queue: int, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(row, lo, hi, stream offset) of the segments of [lo, hi) in a queue, cut at the windows."""
         rows, los, his, offs = [], [], [], []
@@ -234,12 +247,11 @@ class Schedule:
             ends = np.where(lasts, b[owner], ends)
             k = self.window_of(p, queue, starts)
             ks, back = np.unique(k, return_inverse=True)
-            before, after = self.credit(p, slice(None), ks), self.credit(p, slice(None), ks + 1)
-            into = before.sum(axis=1) + (after - before)[:, :queue].sum(axis=1) - before[:, queue]
+            into = np.array([self.within(p, x)[queue] for x in ks.tolist()], np.int64)
             rows.append(at[owner])
             los.append(starts + base)
             his.append(ends + base)
-            offs.append(int(self.taken[p].sum()) + into[back] + starts)
+            offs.append(self.sums[p] + into[back] + starts)
         if not rows:
             empty = np.zeros(0, np.int64)
             return empty, empty, empty, empty
@@ -249,7 +261,7 @@ class Schedule:
 PIECES = "doc string, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
 
 
-def pack(docs: DataFrame, tokenizer: str, sequence: int = 1024, window: int = 64, targets: dict | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", most_queues: int = 256, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, sequence: int = 1024, window: int = 64, targets: dict | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", with_ids: bool = False) -> DataFrame:
     """A row for each piece of a document in a sequence of `sequence` tokens.
 
     Columns: id_col, start, length, ids_crc32 (of the little-endian 32-bit ids),
@@ -259,19 +271,19 @@ def pack(docs: DataFrame, tokenizer: str, sequence: int = 1024, window: int = 64
     its share to the others, sources outside targets come last. Sequences are gapless
     and full but for the last.
 
-    Null and empty texts are the id END alone. Null sources, those beyond most_queues
-    and all, where there is no source column, share one queue. Repeated rows and ids,
+    Null and empty texts are the id END alone. Every source has a queue, and so have
+    all null ones; where there is no source column, all rows share one. Repeated rows and ids,
     null ids included, are packed each. An empty table gives an empty table.
     """
     spark = docs.sparkSession
     ship(spark)
     has_source = source_col in docs.columns
-    queues = _queues(docs, source_col, targets, most_queues) if has_source else {}
+    queues = _queues(docs, source_col, targets) if has_source else {}
     stored = materialize(tokenize(docs, tokenizer, queues, id_col, text_col, source_col))
 
     sums = stored.groupBy("chunk", "queue").agg(F.sum("n").alias("tokens"))
     totals = [0] * (len(queues) + 1)
-    for r in sums.groupBy("queue").agg(F.sum("tokens").alias("t")).collect():  # most_queues + 1 at most
+    for r in sums.groupBy("queue").agg(F.sum("tokens").alias("t")).collect():  # a row for each source
         totals[r["queue"]] = r["t"]
     shares = None if targets is None else [0.0, *map(float, targets.values())]
     plan = Schedule(totals, window * sequence, shares)
