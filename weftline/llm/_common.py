@@ -6,6 +6,9 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,7 +20,6 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 
 _shipped: set[str] = set()
-_made: list[str] = []
 
 
 def ship(spark: SparkSession) -> None:
@@ -34,43 +36,68 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(app)
 
 
+#: The paths given out within the innermost scratch() of this thread.
+_within: ContextVar[list[str] | None] = ContextVar("within", default=None)
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """A new path in the folder that driver and executors share, removed when the JVM ends.
+    """A new path in the folder that driver and executors share.
 
-    The folder is the session's spark.checkpoint.dir; where that is unset (tests on
-    one machine), a temporary one.
+    The folder is the session's spark.checkpoint.dir. Where that is unset, a temporary one
+    serves if the master is local; on a cluster that is an error, for executors would not
+    see each other's files. The path goes at the end of the scratch() it is asked for in,
+    else as the JVM ends. The session's settings stay as they are.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="weftline-")
-        spark.sparkContext.setCheckpointDir(base)
-        base = spark.sparkContext.getCheckpointDir()
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = "file://" + tempfile.gettempdir()
     path = f"{base.rstrip('/')}/weftline-{uuid.uuid4().hex}"
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    _made.append(path)
+    if (paths := _within.get()) is not None:
+        paths.append(path)
     return path
 
 
-def made() -> list[str]:
-    """The paths given out so far."""
-    return list(_made)
-
-
 def remove(spark: SparkSession, paths: list[str]) -> None:
     """Deletes such paths, once nothing reads them any more."""
     for path in paths:
         where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-        _made.remove(path)
+        fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        fs.delete(where, True)
+        fs.cancelDeleteOnExit(where)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[list[str]]:
+    """Deletes at its end the shared paths given out within, in this thread, but those taken from the list.
+
+    What an operator returns reads such paths, so write it before the end:
+    `with scratch(spark): operator(docs).write.parquet(...)`.
+    """
+    paths: list[str] = []
+    token = _within.set(paths)
+    try:
+        yield paths
+    finally:
+        _within.reset(token)
+        remove(spark, paths)
+
+
+def handed_on(paths: list[str]) -> None:
+    """Gives paths taken from an inner scratch() to the one around it, if there is one."""
+    if (outer := _within.get()) is not None:
+        outer.extend(paths)
 
 
-def materialize(df: DataFrame, compression: str = "zstd") -> DataFrame:
+def materialize(df: DataFrame, compression: str = "zstd", **options: str) -> DataFrame:
     """Cuts lineage: writes df to the shared folder and reads it from there."""
     spark = df.sparkSession
     path = shared_dir(spark)
-    df.write.option("compression", compression).parquet(path)
+    df.write.options(compression=compression, **options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
