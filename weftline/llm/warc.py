@@ -14,6 +14,7 @@ from collections.abc import Iterator
 from urllib.parse import quote, urlsplit
 
 import pandas as pd
+import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -35,19 +36,30 @@ def _uri(url: str | None) -> str:
     return quote(url or "about:blank", safe="%:/?#[]@!$&'()*+,;=~-._")
 
 
-def record(kind: str, page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None = None, date: str = "1970-01-01T00:00:00Z") -> bytes:
-    """A record of WARC/1.1. Its block is an HTTP head and, in a response, the payload."""
+def record_id(page_id: int | None, url: str | None, digest: str, place: str = "") -> str:
+    """The id of a record; place tells records apart that are alike in all else."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id} {url} {digest} {place}')}>"
+
+
+def record(kind: str, page_id: int | None, url: str | None, payload: bytes, digest: str, place: str = "", refers_to: int | None = None, refers_url: str | None = None, refers_id: str | None = None, date: str = "1970-01-01T00:00:00Z") -> bytes:
+    """A record of WARC/1.1. Its block is an HTTP head and, in a response, the payload.
+
+    A revisit names the page that it refers to, the page's URL and date, and the id of the
+    page's record where only one record is that page's.
+    """
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http + (payload if kind == "response" else b"")
     head = [
-        "WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id} {url} {digest}')}>", f"WARC-Date: {date}",
+        "WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {record_id(page_id, url, digest, place)}", f"WARC-Date: {date}",
         f"WARC-Target-URI: {_uri(url)}", f"WARC-Payload-Digest: sha1:{base64.b32encode(bytes.fromhex(digest)).decode()}", f"WARC-Block-Digest: sha1:{base64.b32encode(hashlib.sha1(block).digest()).decode()}",
         "Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}",
     ]
     if page_id is not None:
         head.append(f"X-Page-ID: {page_id}")
     if kind == "revisit":
-        head += [f"WARC-Profile: {REVISIT}", f"X-Refers-To-Page: {refers_to}"]
+        head += [f"WARC-Profile: {REVISIT}", f"WARC-Refers-To-Target-URI: {_uri(refers_url)}", f"WARC-Refers-To-Date: {date}", f"X-Refers-To-Page: {refers_to}"]
+        if refers_id:
+            head.append(f"WARC-Refers-To: {refers_id}")
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
@@ -140,18 +152,25 @@ def open_fs(uri: str):
 
 
 def deduplicated(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = 1000) -> DataFrame:
-    """(page_id, url, html, digest, keeper): keeper is the page that this one revisits, else null.
+    """(page_id, url, html, digest, keeper, keeper_url, alone, named).
 
-    Of equal payloads of at least `least` bytes the largest page_id is the response. Rows
-    that repeat that id are responses too. Null ids never are the largest.
+    Of equal payloads of at least `least` bytes the largest page_id is the response, and the
+    keeper of the others, which revisit it; a keeper of null is a response. Rows that repeat
+    the largest id are responses too; alone says that there is one of them only, and named
+    that this row is such a one. Null ids never are the largest. Ids are integers of 64 bits.
     """
     html = F.coalesce(col(html_col), F.lit(""))
-    rows = pages.select(col(id_col).alias("page_id"), col(url_col).alias("url"), html.alias("html"), F.sha1(F.encode(html, "UTF-8")).alias("digest"))
-    groups = rows.where(F.octet_length("html") >= least).groupBy("digest").agg(F.max("page_id").alias("top"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    rows = pages.select(col(id_col).cast("long").alias("page_id"), col(url_col).alias("url"), html.alias("html"), F.sha1(F.encode(html, "UTF-8")).alias("digest"))
+    # By digest and id first, so that the size of a group of copies folds before its digest's task.
+    ids = rows.where(F.octet_length("html") >= least).groupBy("digest", "page_id").agg(F.count(F.lit(1)).alias("n"), F.min("url").alias("url"))
+    top = F.max(F.struct("page_id", "n", "url")).alias("top")
+    groups = ids.groupBy("digest").agg(top, F.sum("n").alias("n")).where("n > 1 AND top.page_id IS NOT NULL")
     # By the bytes of the digest, not by its text as above: a group of very many copies can be split.
     kept = groups.select(F.unhex("digest").alias("d"), "top")
     joined = rows.join(kept, F.unhex("digest") == F.col("d"), "left")
-    return joined.select("page_id", "url", "html", "digest", F.when(~F.coalesce(F.col("page_id") == F.col("top"), F.col("top").isNull()), F.col("top")).alias("keeper"))
+    again = F.coalesce(F.col("page_id") != F.col("top.page_id"), F.col("top").isNotNull())
+    only = F.coalesce(F.col("top.n") == 1, F.lit(False))
+    return joined.select("page_id", "url", "html", "digest", F.when(again, F.col("top.page_id")).alias("keeper"), F.when(again, F.col("top.url")).alias("keeper_url"), only.alias("alone"), (only & ~again).alias("named"))
 
 
 def write_archives(pages: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BYTES, **columns) -> int:
@@ -166,7 +185,8 @@ def write_archives(pages: DataFrame, folder: str, archive_bytes: int = ARCHIVE_B
     def of(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         fs, top = open_fs(folder)
         task = TaskContext.get()
-        own, final = f"{top}/_attempt-{task.taskAttemptId()}-{uuid.uuid4().hex}", f"{top}/part-{task.partitionId():08d}"
+        part = f"{task.partitionId():08d}"
+        own, final = f"{top}/_attempt-{task.taskAttemptId()}-{uuid.uuid4().hex}", f"{top}/part-{part}"
         number, rows, archive = 0, 0, Archive()
 
         def flush() -> None:
@@ -177,9 +197,12 @@ def write_archives(pages: DataFrame, folder: str, archive_bytes: int = ARCHIVE_B
             number, archive = number + 1, Archive()
 
         for pdf in parts:
-            for page, url, html, digest, keeper in zip(pdf["page_id"], pdf["url"], pdf["html"], pdf["digest"], pdf["keeper"], strict=True):
-                page, keeper = (None if pd.isna(x) else int(x) for x in (page, keeper))
-                archive.add(record("response" if keeper is None else "revisit", page, url, html.encode("utf-8", "surrogatepass"), digest, keeper))
+            for page, url, html, digest, keeper, keeper_url, alone, named in zip(*(pdf[c] for c in pdf.columns), strict=True):
+                page, keeper = (None if x is None else int(x) for x in (page, keeper))
+                # Only the record that revisits may name has an id that others can work out.
+                place = "" if named else f"{part} {rows}"
+                refers_id = record_id(keeper, keeper_url, digest) if keeper is not None and alone else None
+                archive.add(record("response" if keeper is None else "revisit", page, url, html.encode("utf-8", "surrogatepass"), digest, place, keeper, keeper_url, refers_id))
                 rows += 1
                 if archive.size >= archive_bytes:
                     flush()
@@ -199,7 +222,10 @@ def write_archives(pages: DataFrame, folder: str, archive_bytes: int = ARCHIVE_B
                 fs.delete_dir(own)
         yield pd.DataFrame({"n": [rows]})
 
-    return deduplicated(pages, **columns).mapInPandas(of, "n long").agg(F.sum("n")).first()[0] or 0
+    found = deduplicated(pages, **columns)
+    # Ids as text: pandas would keep nullable numbers as floats and lose digits.
+    found = found.withColumns({c: F.col(c).cast("string") for c in ("page_id", "keeper")})
+    return found.mapInPandas(of, "n long").agg(F.sum("n")).first()[0] or 0
 
 
 RECORDS = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary"
@@ -213,10 +239,10 @@ def read_archives(spark, folder: str, with_payload: bool = True) -> DataFrame:
     """
     ship(spark)
 
-    def of(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in parts:
-            for data in pdf["content"]:
-                found, size = [], 0
+    def of(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            for content in part.column(0):
+                data, found, size = content.as_py(), [], 0
                 for raw in read_records(data):
                     head, block = parse(raw)
                     if head["warc-type"] not in ("response", "revisit"):
@@ -231,21 +257,29 @@ def read_archives(spark, folder: str, with_payload: bool = True) -> DataFrame:
                     found.append((page and int(page), head["warc-target-uri"], head["warc-type"], to and int(to), length, digest, payload if with_payload and not revisit else None))
                     size += len(payload)
                     if size > 8 << 20:
-                        yield _frame(found)
+                        yield _batch(found)
                         found, size = [], 0
-                yield _frame(found)
+                yield _batch(found)
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.warc.zst").load(f"{folder}/part-*").select("content")
-    return files.mapInPandas(of, RECORDS)
+    return files.mapInArrow(of, RECORDS)
 
 
-def _frame(rows: list[tuple]) -> pd.DataFrame:
-    out = pd.DataFrame(rows, columns=[x.split()[0] for x in RECORDS.split(", ")])
-    return out.astype({"page_id": "Int64", "refers_to": "Int64", "payload_bytes": "int64"})
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
+    columns = list(zip(*rows, strict=True)) or [()] * len(kinds)
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[x.split()[0] for x in RECORDS.split(", ")])
 
 
 def archive_and_read(pages: DataFrame, with_payload: bool = False, **columns) -> DataFrame:
-    """Writes pages to archives in the shared folder and reads these back. No rows: none."""
+    """Writes pages to archives in the shared folder and reads these back.
+
+    A record for each row, repeated rows included, each under a record id of its own. Null
+    and empty payloads have no bytes, null URLs are about:blank, null ids are null again. Of
+    equal payloads of 1000 bytes or more those with the largest id are responses, even if
+    several rows have it. Payloads of any length are kept whole, one to a record. No rows:
+    none. Other columns of pages, whatever their names, are not archived.
+    """
     spark = pages.sparkSession
     folder = shared_dir(spark)
     if not write_archives(pages, folder, **columns):
