@@ -15,11 +15,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import col, fresh, ship
+from ._common import col, fresh, materialize, ship
 
 CHUNK, OVERLAP, WIDTH, FILTERS = 512, 64, 6, 8
-#: Chunks of a text that are learned from, at most, evenly spaced.
-LEARNED_CHUNKS = 6
+#: Bytes at which the next stratum of texts begins; each stratum of a class gives as much to the sample.
+STRATA = (64, 256, 1024)
 #: Chunks scored at a time.
 BATCH = 256
 
@@ -89,7 +89,8 @@ class Network:
                 c = np.concatenate([texts[j] for j in at])
                 doc = np.repeat(np.arange(len(at)), [len(texts[j]) for j in at])
                 size = np.bincount(doc, minlength=len(at))[:, None].astype(np.float32)
-                z, where = self.pooled(c)
+                parts = [self.pooled(c[k : k + BATCH]) for k in range(0, len(c), BATCH)]
+                z, where = (np.concatenate(x) for x in zip(*parts, strict=True))
                 h = np.tanh(z)
                 mean = np.zeros((len(at), FILTERS), np.float32)
                 np.add.at(mean, doc, h)
@@ -111,33 +112,41 @@ class Network:
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = 600, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", epochs: int = 30) -> Network:
-    """Learns from about per_class labelled documents of each class (the bound on the sample).
+    """Learns from about per_class labelled documents of each class (the bound on the sample), by all chunks of their texts.
 
-    The sample is drawn by a hash of the id, so that only its texts are looked at. Rows
-    with a null label or id are not learned from; documents with labels of both kinds
-    count once with each. Without rows of both classes the score is one half for any text.
+    A class's rows come in equal parts from texts of each of the STRATA of length, as far as
+    there are so many, for short texts differ from long ones. The sample is drawn by a hash of
+    the id; lengths of all texts are looked at, and the texts of the sample alone. Rows with a null label or id are not learned from; documents with labels of both kinds
+    count once with each; null and empty texts are one chunk of zero bytes. Without rows of
+    both classes, as in empty tables, the score is one half for any text.
     """
     ship(docs.sparkSession)
     known = labels.where(col(label_col).isNotNull() & col(id_col).isNotNull()).select(col(id_col).alias("id"), (col(label_col) > 0).cast("int").alias("y")).distinct()
-    counts = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    size, stratum = F.coalesce(F.octet_length(col(text_col)), F.lit(0)), F.lit(0)
+    for k in STRATA:
+        stratum = stratum + (size >= k).cast("int")
+    # Ids and strata only; the labels are the side without texts.
+    found = materialize(docs.select(col(id_col).alias("id"), stratum.alias("stratum")).join(known, "id"))
+    counts = {(r["y"], r["stratum"]): r["n"] for r in found.groupBy("y", "stratum").agg(F.count("*").alias("n")).collect()}
     net = Network.new()
-    if len(counts) < 2:
+    if len({y for y, _ in counts}) < 2:
         net.out[:] = 0
         return net
     share = F.pmod(F.xxhash64(F.lit("sample"), F.col("id")), F.lit(1 << 20))
     want = F.lit(False)
-    for y, n in counts.items():
-        want = want | ((F.col("y") == y) & (share < min(1 << 20, -(-per_class * (1 << 20) // n))))
-    chosen = known.where(want).limit(4 * per_class + 64)
+    for y in (0, 1):
+        left = per_class
+        mine = sorted(((n, k) for (c, k), n in counts.items() if c == y))
+        for i, (n, k) in enumerate(mine):  # what a small stratum lacks the larger ones give
+            take = -(-left // (len(mine) - i))
+            want = want | ((F.col("y") == y) & (F.col("stratum") == k) & (share < min(1 << 20, -(-take * (1 << 20) // n))))
+            left -= min(take, n)
+    chosen = found.where(want).select("id", "y").distinct().limit(4 * per_class + 64)
     rows = docs.select(col(id_col).alias("id"), col(text_col).alias("text")).join(F.broadcast(chosen), "id").limit(8 * per_class + 64)
 
     def cut(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
-            made = []
-            for text in pdf["text"]:
-                c = chunks(text)
-                made.append(np.ascontiguousarray(c[np.unique(np.linspace(0, len(c) - 1, LEARNED_CHUNKS).astype(int))]).tobytes())
-            yield pd.DataFrame({"id": pdf["id"].astype(str), "y": pdf["y"], "c": made})
+            yield pd.DataFrame({"id": pdf["id"].astype(str), "y": pdf["y"], "c": [np.ascontiguousarray(chunks(x)).tobytes() for x in pdf["text"]]})
 
     got = sorted(rows.mapInPandas(cut, "id string, y int, c binary").collect(), key=lambda r: (r["id"], r["y"], bytes(r["c"])))
     y = np.array([r["y"] for r in got], np.float32)
@@ -145,10 +154,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 600, id_col: str =
         net.out[:] = 0
         return net
     texts = [np.frombuffer(r["c"], np.uint8).reshape(-1, CHUNK) for r in got]
-    # A short piece of a good text is good too; without these, few short texts are learned from.
-    r = np.random.default_rng(1)
-    pieces = [np.where(np.arange(CHUNK) < r.integers(4, 160), c[:1], 0).astype(np.uint8) for c, good in zip(texts, y, strict=True) if good]
-    net.train(texts + pieces, np.concatenate([y, np.ones(len(pieces), np.float32)]), epochs)
+    net.train(texts, y, epochs)
     return net
 
 
@@ -167,7 +173,9 @@ def scored(c: Column, net: Network, spark) -> Column:
 def with_quality(docs: DataFrame, net: Network, text_col: str = "text") -> DataFrame:
     """docs with score and predicted (1 if score >= 0.5, else 0), replacing columns of these names.
 
-    Null and empty texts are one chunk of zero bytes. Repeated rows are scored each.
+    Null and empty texts are one chunk of zero bytes. Texts of any length are scored by all
+    their chunks; repeated rows are scored each and alike, and a score of exactly one half is
+    predicted as 1. An empty table gives an empty table.
     """
     ship(docs.sparkSession)
     own = [c for c in docs.columns if c.lower() not in ("score", "predicted")]
