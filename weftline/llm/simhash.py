@@ -55,18 +55,34 @@ def _masks(blocks: int, max_bits: int) -> list[int]:
     return [m - (1 << 64) if m >> 63 else m for m in found]
 
 
-def close_pairs(prints: DataFrame, max_bits: int = 2, blocks: int = 4, largest: int = 32) -> DataFrame:
-    """(a, b): edges between distinct fingerprints (column fp) at most max_bits apart.
-
-    Whatever max_bits differ leave blocks - max_bits of the blocks equal, so every close
-    pair shares the key of one choice of blocks. Keys of at most `largest` fingerprints
-    are self-joined and the Hamming distance verified. Fingerprints under a larger key
-    are linked without pairs, for max_bits of 2: each stands under itself and its 64
-    one-bit neighbours; those that share one of these (65 at most) are at most 2 apart,
-    and any two at most 2 apart share one, so a star in each gives the same components.
+def _near(max_bits: int) -> list[tuple[int, int]]:
+    """(kept, flipped) masks: two numbers at most max_bits apart have (x & kept) ^ flipped in common for one of these, and any two that do are.
+
+    Of an even number of bits, half are flipped in either; of an odd one, one is blanked first.
+    """
+    bits, found = [1 << i for i in range(64)], []
+    for blank in bits if max_bits % 2 else [0]:
+        rest = [b for b in bits if b != blank]
+        found += [(~blank, sum(x)) for k in range(max_bits // 2 + 1) for x in combinations(rest, k)]
+    return [(k, f - (1 << 64) if f >> 63 else f) for k, f in ((k + (1 << 64) if k < -(1 << 63) else k, f) for k, f in found)]
+
+
+def close_pairs(prints: DataFrame, max_bits: int = 2, blocks: int | None = None, largest: int = 32) -> DataFrame:
+    """(a, b): edges between distinct fingerprints (column fp) at most max_bits apart, which connect all that are.
+
+    Whatever max_bits differ leave blocks - max_bits of the blocks (None: max_bits + 2 of
+    them) equal, so every close pair shares the key of one choice of blocks. Keys of at most
+    `largest` fingerprints are self-joined and the Hamming distance verified. Fingerprints
+    under a larger key are linked without pairs: each stands under all numbers of _near()
+    (65 for two bits, 4096 for three, 2081 for four); those that share one are at most
+    max_bits apart and any two at most max_bits apart share one, so a star in each gives
+    the same components. No fingerprints: no pairs.
     """
+    blocks = max_bits + 2 if blocks is None else blocks
+    if not 0 < max_bits < blocks <= 64:
+        raise ValueError("max_bits is positive and less than the number of blocks, which is 64 at most")
     masks = _masks(blocks, max_bits)
-    keyed = F.array(*[F.struct(F.lit(i).cast("byte").alias("c"), F.col("fp").bitwiseAND(F.lit(m)).alias("k")) for i, m in enumerate(masks)])
+    keyed = F.array(*[F.struct(F.lit(i).cast("short").alias("c"), F.col("fp").bitwiseAND(F.lit(m)).alias("k")) for i, m in enumerate(masks)])
     rows = prints.select("fp", F.explode(keyed).alias("x")).select("fp", "x.c", "x.k")
     sizes = rows.groupBy("c", "k").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("c").alias("sc"), F.col("k").alias("sk"), "n")
     # On k alone with c as a residual: a hot key can then be split.
@@ -77,18 +93,20 @@ def close_pairs(prints: DataFrame, max_bits: int = 2, blocks: int = 4, largest:
     pairs = a.join(b, ["c", "k"]).where((F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits)).select("a", "b").distinct()
 
     large = shared.where(F.col("n") > largest).select("fp").distinct()
-    if max_bits != 2:
-        if large.limit(1).count():
-            raise ValueError("keys above `largest` are linked exactly for max_bits=2 only; raise blocks or largest")
-        return pairs
-    near = F.array(F.lit(0).cast("long"), *[F.lit((1 << i) - (1 << 64) if i == 63 else 1 << i) for i in range(64)])
-    stands = large.select("fp", F.explode(near).alias("bit")).select("fp", F.col("fp").bitwiseXOR(F.col("bit")).alias("at"))
-    stars = stands.groupBy("at").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1)  # 65 at most
+    # One number of _near() for each of `ways`, made in rows rather than in an expression of thousands.
+    kept, flipped = zip(*_near(max_bits), strict=True)
+    if max_bits % 2 == 0:
+        at = F.explode(F.transform(F.lit(list(flipped)), lambda m: F.col("fp").bitwiseXOR(m))).alias("at")
+        stands = large.select("fp", F.lit(0).cast("long").alias("way"), at)
+    else:
+        ways = F.arrays_zip(F.lit(list(kept)).alias("kept"), F.lit(list(flipped)).alias("flipped"))
+        stands = large.select("fp", F.explode(ways).alias("m")).select("fp", F.col("m.kept").alias("way"), F.col("fp").bitwiseAND(F.col("m.kept")).bitwiseXOR(F.col("m.flipped")).alias("at"))
+    stars = stands.groupBy("way", "at").agg(F.collect_set("fp").alias("fps")).where(F.size("fps") > 1)  # as many at most as _near() has numbers
     links = stars.select(F.array_min("fps").alias("a"), F.explode("fps").alias("b")).where("a != b").distinct()
     return pairs.unionByName(links)
 
 
-def components_of(slim: DataFrame, max_bits: int = 2, blocks: int = 4) -> DataFrame:
+def components_of(slim: DataFrame, max_bits: int = 2, blocks: int | None = None) -> DataFrame:
     """(cfp, root, component_id) for every fingerprint of slim(id, fp)."""
     prints = materialize(slim.groupBy("fp").agg(F.min("id").alias("least")))
     roots = connected_components(close_pairs(prints.select("fp"), max_bits, blocks))
@@ -97,14 +115,15 @@ def components_of(slim: DataFrame, max_bits: int = 2, blocks: int = 4) -> DataFr
     return rooted.join(least, F.bitwise_not("root") == F.col("k")).select(F.col("fp").alias("cfp"), "root", "component_id")
 
 
-def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, max_bits: int = 2, blocks: int = 4) -> DataFrame:
+def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, max_bits: int = 2, blocks: int | None = None) -> DataFrame:
     """(id_col, fingerprint long, component_id), a row for each row of docs.
 
     component_id is the smallest id reachable over fingerprints that differ in at most
     max_bits bits. Texts without words, null ones included, have fingerprint zero and are
     linked like any other. Repeated rows share fingerprint and component. A null id is
     ignored for component_id, which is null only if all ids of a component are. Exact
-    copies are folded by fingerprint before anything is joined.
+    copies are folded by fingerprint before anything is joined. Texts of any length are read
+    as a whole. An empty table gives an empty table; other columns are not looked at.
     """
     ship(docs.sparkSession)
     slim = materialize(docs.select(col(id_col).alias("id"), fingerprints(col(text_col), words).alias("fp")))
@@ -112,7 +131,7 @@ def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     return found.select(F.col("id").alias(id_col), F.col("fp").alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, max_bits: int = 2, blocks: int = 4) -> DataFrame:
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, max_bits: int = 2, blocks: int | None = None) -> DataFrame:
     """docs, with one row of each component: that with the smallest id (null last).
 
     Of several rows with that id, repeated rows included, one stays, by the hash of its
