@@ -143,6 +143,24 @@ def test_close_pairs_give_all_components(spark, largest):
     assert {x: got.get(x, x) for x in fps} == want
 
 
+@pytest.mark.parametrize(("bits", "largest"), [(1, 1), (3, 2), (3, 32), (4, 3)])
+def test_close_pairs_of_more_or_fewer_bits(spark, bits, largest):
+    r = random.Random(bits)
+    fps = {0, -1}
+    for _ in range(3):
+        base = r.getrandbits(64)
+        for _ in range(14):
+            x = base
+            for _ in range(r.randrange(bits + 2)):
+                x ^= 1 << r.randrange(64)
+            fps.add(x - (1 << 64) if x >> 63 else x)
+    edges = simhash.close_pairs(spark.createDataFrame([(x,) for x in fps], "fp long"), bits, largest=largest)
+    assert all(((a ^ b) % (1 << 64)).bit_count() <= bits for a, b in rows_of(edges))
+    want = components_brute(fps, lambda x, y: ((x ^ y) % (1 << 64)).bit_count() <= bits)
+    got = dict(rows_of(components.connected_components(edges)))
+    assert {x: got.get(x, x) for x in fps} == want
+
+
 def test_one_of_each(spark, odd, none):
     named = odd.withColumn("_metadata", F.lit("m"))
     kept = simhash.one_of_each(named)
@@ -189,7 +207,7 @@ def test_decontamination(spark, sf, odd, block):
     items = spark.read.parquet(f"{sf}/benchmark.parquet").select("item_id", "text")
     more = [(900, "w5x5 w6x6"), (901, None), (902, ""), (903, "!!"), (None, "shared line"), (904, "SHARED  line"), (900, "no id"), (905, "the same the same")]
     items = items.unionByName(spark.createDataFrame(more, "item_id long, text string"))
-    found = decontamination.find(decontamination.build_index(docs, shard_tokens=20_000), items, block_bytes=block)
+    found = decontamination.find(decontamination.build_index(docs, shard_tokens=20_000), items, block_chars=block)
     got = found.select(F.col("doc").cast("long"), "n_words", decontamination.n_hit(), "items", "span_start", "span_end").collect()
     want = contamination_brute([(r["doc_id"], r["text"]) for r in docs.collect()], [(r["item_id"], r["text"]) for r in items.collect()])
     assert Counter((r[0], r[1], r[2], tuple(r[3])) for r in got) == Counter(x[:4] for x in want)
@@ -356,6 +374,97 @@ def test_quality_network(spark, odd, none):
     assert {r["score"] for r in quality_cnn.with_quality(odd, net).collect()} == {0.5}
 
 
+def vote_brute(model, text):
+    """(language, score) by counting trigrams in a dict and asking every weight by itself."""
+    import math
+
+    b = b" " + text.encode().lower() + b" "
+    counts = defaultdict(int)
+    for i in range(max(1, len(b) - 2)):
+        x = (b[i : i + 3] + b"   ")[:3]
+        counts[(int.from_bytes(x, "big") * 2654435761 % (1 << 32)) >> 19] += 1
+    n = sum(counts.values())
+    odds = lambda w: 1 / (1 + math.exp(-model.steep * (sum(float(w[k]) * math.sqrt(v / n) for k, v in counts.items()) + float(w[-1]))))
+    family, p = model.families[0], 1.0
+    if model.family_weights is not None:
+        each = [odds(w) for w in model.family_weights]
+        family, p = model.families[each.index(max(each))], max(each) / sum(each)
+    won = dict.fromkeys(model.members[family], 0.0)
+    for (x, y), w in model.pair_weights.items():
+        if x in won and y in won:
+            won[x] += odds(w)
+            won[y] += 1 - odds(w)
+    best = max(sorted(won), key=won.get)
+    return best, p * (won[best] / (len(won) - 1) if len(won) > 1 else 1)
+
+
+def test_language_votes_equal_brute_force(spark, sf):
+    docs = documents(spark, sf).where("text IS NOT NULL").select("doc_id", "text", "lang")
+    model = language_id.fit(docs)
+    assert set(model.members["germanic"]) == {"de", "en"} and set(model.members["romance"]) == {"es", "fr"}
+    texts = [*(r["text"] for r in docs.limit(40).collect()), "a", "é", "ab c"]
+    for text in texts:
+        want = vote_brute(model, text)
+        got = model.predict(text)
+        assert got[0] == want[0] and got[1] == pytest.approx(want[1], abs=1e-3)
+
+
+def test_svm_separates():
+    r = np.random.default_rng(2)
+    x = [(np.sort(r.choice(language_id.DIM, 20, replace=False)).astype(np.uint16), r.random(20).astype(np.float32)) for _ in range(60)]
+    truth = r.normal(size=language_id.DIM)
+    y = np.array([1.0 if truth[at] @ v > 0 else -1.0 for at, v in x])
+    w = language_id.train_svm(x, y, cost=100.0, rounds=200)
+    assert all(np.sign(w[at] @ v + w[-1]) == k for (at, v), k in zip(x, y, strict=True))
+
+
+def test_every_language_is_learned(spark):
+    rows = [(i, f"{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}q " * 12, f"l{i % 300:03d}") for i in range(1200)]
+    model = language_id.fit(spark.createDataFrame([(i, t.replace("q", str(i % 300)), v) for i, t, v in rows], "doc_id long, text string, lang string"), families={f"l{i:03d}": f"f{i // 30}" for i in range(300)}, most_rows=900)
+    assert sum(map(len, model.members.values())) == 300
+
+
+def score_brute(net, text):
+    """The network's formula, byte by byte."""
+    import math
+
+    raw, total, n, at = text.encode(), [0.0] * quality_cnn.FILTERS, 0, 0
+    while True:
+        chunk = raw[at : at + quality_cnn.CHUNK].ljust(quality_cnn.CHUNK, b"\0")
+        for f in range(quality_cnn.FILTERS):
+            best = max(sum(float(net.tables[k][chunk[i + k]][f]) for k in range(quality_cnn.WIDTH)) for i in range(quality_cnn.CHUNK - quality_cnn.WIDTH + 1))
+            total[f] += math.tanh(best + float(net.bias[f]))
+        n += 1
+        if at + quality_cnn.CHUNK >= len(raw):
+            break
+        at += quality_cnn.CHUNK - quality_cnn.OVERLAP
+    return 1 / (1 + math.exp(-(sum(t / n * float(w) for t, w in zip(total, net.out, strict=True)) + net.offset)))
+
+
+@pytest.mark.parametrize("n", [0, 3, 511, 512, 513, 961, 1500])
+def test_quality_scores_equal_brute_force(n):
+    net = quality_cnn.Network.new(4)
+    text = "".join(chr(97 + i * i % 26) for i in range(n))
+    assert net.score(text) == pytest.approx(score_brute(net, text), abs=1e-4)
+
+
+def test_quality_gradient():
+    net, r = quality_cnn.Network.new(1), random.Random(1)
+    texts = [quality_cnn.chunks("".join(r.choice("ab" if i % 2 else "yz") for _ in range(700))) for i in range(40)]
+    y = np.array([i % 2 for i in range(40)], np.float32)
+    net.train(texts, y, epochs=15)
+    assert net.score("ab" * 300) > 0.8 and net.score("yz" * 300) < 0.2
+
+
+def test_quality_of_nothing(spark, none):
+    labels = spark.createDataFrame([(1, 1), (2, 0), (None, 1), (3, None)], "doc_id long, quality int")
+    docs = spark.createDataFrame([(1, "good"), (2, "bad"), (2, "bad"), (3, None)], "doc_id long, text string").withColumns({"id": F.lit("i"), "y": F.lit(3), "stratum": F.lit(0), "predicted": F.lit(1)})
+    net = quality_cnn.fit(docs, labels, epochs=2)
+    assert quality_cnn.with_quality(docs, net).count() == 4
+    assert quality_cnn.with_quality(none, net).count() == 0
+    assert quality_cnn.fit(docs, labels.limit(0)).score("x") == 0.5
+
+
 def test_chunks_cover_the_whole_text():
     for n in (0, 1, 511, 512, 513, 960, 961, 5000):
         c = quality_cnn.chunks("".join(chr(97 + i % 26) for i in range(n)))
@@ -387,6 +496,35 @@ def test_warc(spark, sf):
     assert warc.archive_and_read(pages.limit(0)).count() == 0
 
 
+def test_warc_of_large_ids_repeats_and_long_payloads(spark):
+    big, long = 1 << 53, "<p>é" * 700_000
+    rows = [(big + i, f"http://a/{i}", long) for i in (1, 3, 5)] + [(None, "http://n/", long), (big + 7, "http://b/", "y" * 1000), (big + 7, "http://b/", "y" * 1000), (2, "http://c/", "y" * 1000), (3, "http://c/", "z"), (3, "http://c/", "z")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({"digest": F.lit("clash"), "keeper": F.lit(1.5), "top": F.lit("t"), "n": F.lit(0)})
+    got = Counter((r["page_id"], r["record_type"], r["refers_to"], r["payload_bytes"]) for r in warc.archive_and_read(pages).collect())
+    size = 3 * 700_000 + 2 * 700_000
+    assert got == Counter({
+        (big + 5, "response", None, size): 1, (big + 3, "revisit", big + 5, size): 1, (big + 1, "revisit", big + 5, size): 1, (None, "revisit", big + 5, size): 1,
+        (big + 7, "response", None, 1000): 2, (2, "revisit", big + 7, 1000): 1, (3, "response", None, 1): 2,
+    })
+
+
+def test_warc_revisits_can_be_resolved(spark, tmp_path):
+    same = "q" * 1500
+    rows = [(1, "http://a/1", same), (2, "http://a/2", same), (2, "http://a/2", "other"), (2, "http://a/2", "other"), *[(5, "http://r/", "r" * 1500)] * 2, (4, "http://r/", "r" * 1500)]
+    warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3), f"file://{tmp_path}")
+    heads = [warc.parse(x)[0] for f in tmp_path.glob("part-*/*.warc.zst") for x in warc.read_records(f.read_bytes())]
+    heads = [h for h in heads if h["warc-type"] != "warcinfo"]
+    by_id = {h["warc-record-id"]: h for h in heads}
+    assert len(by_id) == len(rows)
+    for h in heads:
+        if h["warc-type"] == "revisit":
+            assert h["warc-refers-to-target-uri"] == {"1": "http://a/2", "4": "http://r/"}[h["x-page-id"]] and h["warc-refers-to-date"]
+            assert ("warc-refers-to" in h) == (h["x-page-id"] == "1")
+            if "warc-refers-to" in h:
+                to = by_id[h["warc-refers-to"]]
+                assert to["warc-type"] == "response" and to["x-page-id"] == "2" and to["warc-payload-digest"] == h["warc-payload-digest"]
+
+
 def test_archive_has_a_dictionary_in_front():
     a = warc.Archive()
     records = [warc.record("response", i, f"http://a/{i}", f"<html><body>some page number {i} of many</body>".encode() * 20, "00" * 20) for i in range(3000)]
@@ -437,18 +575,42 @@ def test_pipeline(spark, sf):
     check_packing(spark, docs, last)
 
 
-def test_run_equals_its_stages_and_tidies_up(spark, sf):
+def test_pipelines_in_two_threads(spark, sf):
+    import os
+    from concurrent.futures import ThreadPoolExecutor
+
     import corpus_pipeline
-    from weftline.llm._common import made
+    from weftline.llm._common import scratch
+
+    per_doc = lambda df: Counter(rows_of(df.groupBy("doc_id").agg(F.sum("length"), F.max("doc_tokens"))))
+
+    def whole(_):
+        with scratch(spark) as paths:
+            got = per_doc(corpus_pipeline.run(spark, sf))
+            left = [p for p in paths if os.path.exists(p.removeprefix("file:"))]
+        return got, len(left), any(os.path.exists(p.removeprefix("file:")) for p in paths)
 
-    before = made()
-    got = corpus_pipeline.run(spark, sf)
+    with ThreadPoolExecutor(2) as pool:
+        results = list(pool.map(whole, range(2)))
     docs = spark.read.parquet(f"{sf}/documents.parquet")
-    left = [p for p in made() if p not in before]
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, sf)
-    per_doc = lambda df: Counter(rows_of(df.groupBy("doc_id").agg(F.sum("length"), F.max("doc_tokens"))))
-    assert per_doc(got) == per_doc(docs) and len(left) <= 4
+    want = per_doc(docs)
+    assert all(got == want and 0 < left <= 4 and not after for got, left, after in results)
+
+
+def test_shared_folder(spark):
+    from unittest.mock import patch
+
+    from weftline.llm import _common
+
+    before = spark.sparkContext.getCheckpointDir()
+    with _common.scratch(spark) as paths:
+        assert _common.materialize(spark.range(3)).count() == 3 and len(paths) == 1
+    assert spark.sparkContext.getCheckpointDir() == before
+    if not before and not spark.conf.get("spark.checkpoint.dir", None):
+        with patch.object(type(spark.sparkContext), "master", "spark://far:7077"), pytest.raises(RuntimeError):
+            _common.shared_dir(spark)
 
 
 def test_pipeline_on_odd_rows(spark, sf):

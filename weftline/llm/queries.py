@@ -122,10 +122,9 @@ ORACLE_SQL: dict[str, str] = {
               UNION ALL SELECT source, 2, count(*), count(*) FILTER (WHERE f2) FROM f WHERE source IS NOT NULL GROUP BY source
               UNION ALL SELECT source, 3, count(*), count(*) FILTER (WHERE f3) FROM f WHERE source IS NOT NULL GROUP BY source
               UNION ALL SELECT source, 4, count(*), count(*) FILTER (WHERE f4) FROM f WHERE source IS NOT NULL GROUP BY source),
-        m AS (SELECT rule, count(*) FILTER (WHERE docs >= 10) AS n, avg(CAST(fails AS DOUBLE) / docs) FILTER (WHERE docs >= 10) AS a, var_samp(CAST(fails AS DOUBLE) / docs) FILTER (WHERE docs >= 10) AS v,
-                     avg(CAST(1 AS DOUBLE) / docs) FILTER (WHERE docs >= 10) AS inv, (sum(fails) + 0.5) / (sum(docs) + 1) AS overall FROM k GROUP BY rule),
-        m2 AS (SELECT rule, n, v, inv, least(greatest(CASE WHEN n > 0 THEN a ELSE overall END, 1e-6), 1 - 1e-6) AS mean FROM m),
-        m3 AS (SELECT rule, mean, CASE WHEN n > 1 AND v - mean * (1 - mean) * inv > 0 THEN least(greatest(mean * (1 - mean) / (v - mean * (1 - mean) * inv) - 1, 1), 10000) ELSE 100 END AS strength FROM m2),
+        m AS (SELECT rule, count(*) AS n, least(greatest(avg(CAST(fails AS DOUBLE) / docs), 1e-6), 1 - 1e-6) AS mean, var_samp(CAST(fails AS DOUBLE) / docs) AS v, avg(CAST(1 AS DOUBLE) / docs) AS inv FROM k GROUP BY rule),
+        m2 AS (SELECT rule, mean, CASE WHEN n > 1 AND inv < 1 THEN (v / (mean * (1 - mean)) - inv) / (1 - inv) END AS own FROM m),
+        m3 AS (SELECT rule, mean, CASE WHEN own > 0 THEN least(greatest(1 / own - 1, 1), 10000) ELSE 100 END AS strength FROM m2),
         bad AS (SELECT DISTINCT source FROM k JOIN m3 ON k.rule = m3.rule WHERE (fails + mean * strength) / (docs + strength) > 0.5)
         SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, f1 AS base_failed, NOT f1 AND bad.source IS NULL AS kept
         FROM f LEFT JOIN bad ON f.source = bad.source""",
