@@ -280,19 +280,66 @@ def test_packing(spark, sf, odd, none, window):
 
 
 def test_packing_follows_targets():
-    plan = packing.Schedule([0, 10_000, 10_000, 10_000], 1000, [0, 0.5, 0.3, 0.2])
-    for k in range(20):
-        took = [int(plan.credit(0, q, np.array([k + 1]))[0] - plan.credit(0, q, np.array([k]))[0]) for q in range(4)]
-        assert all(abs(x - y) <= 1 for x, y in zip(took, [0, 500, 300, 200], strict=True))
-        deficit = [(k + 1) * y - int(plan.credit(0, q, np.array([k + 1]))[0]) for q, y in enumerate([0, 500, 300, 200])]
-        assert all(abs(d) <= 1 for d in deficit)
+    totals, want = [0, 10_000, 10_000, 10_000], [0, 0.5, 0.3, 0.2]
+    plan = packing.Schedule(totals, 1000, want)
+    credit = lambda q, k: int(plan.credit(q, np.array([k]))[0])
+    for k in range(20):  # until the first queue is dry
+        for q, share in enumerate(want):
+            assert abs(credit(q, k + 1) - credit(q, k) - 1000 * share) <= 1
+            assert -1e-6 <= (k + 1) * 1000 * share - credit(q, k + 1) < 1  # the deficit carried
+    for k in range(20, 23):  # its share goes to the others as three to two
+        assert abs(credit(2, k + 1) - credit(2, k) - 600) <= 1 and abs(credit(3, k + 1) - credit(3, k) - 400) <= 1
     for q in range(4):
-        row, lo, hi, off = plan.place(q, np.array([0]), np.array([[0, 10_000, 10_000, 10_000][q]]))
-        assert int((hi - lo).sum()) == [0, 10_000, 10_000, 10_000][q]
+        row, lo, hi, off = plan.place(q, np.array([0]), np.array([totals[q]]))
+        assert int((hi - lo).sum()) == totals[q]
     spans = sorted((int(o), int(o + h - x)) for q in range(4) for _, x, h, o in zip(*plan.place(q, np.array([0]), np.array([10_000 if q else 0])), strict=True))
     assert spans[0][0] == 0 and spans[-1][1] == 30_000 and all(x[1] == y[0] for x, y in zip(spans, spans[1:], strict=False))
 
 
+def robin_brute(totals, window, weights):
+    """Deficit round-robin window by window: tokens of each queue in each, with exact fractions."""
+    from fractions import Fraction
+
+    taken, left = [Fraction(0)] * len(totals), list(map(Fraction, totals))
+    out = []
+    while sum(left):
+        before, room = list(taken), Fraction(window)
+        while room and sum(left):
+            live = [Fraction(w) if x else Fraction(0) for w, x in zip(weights, left, strict=True)]
+            if not sum(live):
+                live = [Fraction(n) if x else Fraction(0) for n, x in zip(totals, left, strict=True)]
+            step = min(room / sum(live), *(x / w for x, w in zip(left, live, strict=True) if w))
+            for q, w in enumerate(live):
+                taken[q] += step * w
+                left[q] -= step * w
+            room -= step * sum(live)
+        out.append([int(y) - int(x) for x, y in zip(before, taken, strict=True)])
+    return out
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.integers(0, 500), min_size=1, max_size=6), st.integers(20, 200), st.randoms())
+def test_schedules_equal_window_by_window(totals, window, r):
+    weights = [r.choice([0, 1, 2, 5]) for _ in totals]
+    plan = packing.Schedule(totals, window, [float(w) for w in weights])
+    want = robin_brute(totals, window, weights)
+    assert plan.windows == len(want)
+    got = np.array([plan.credit(slice(None), k) for k in range(plan.windows + 1)])
+    sums = np.cumsum(np.array([[0] * len(totals), *want]), axis=0)
+    assert np.abs(got - sums).max() <= 1 and (got[-1] == totals).all()  # a fraction may round either way
+
+
+def test_packing_reports_the_shares_of_windows(spark):
+    docs = [(i, " ".join(f"w{(i * 7 + j) % 50}" for j in range(40)), "big" if i % 10 else "small") for i in range(800)]
+    docs = spark.createDataFrame(docs, "doc_id long, text string, source string").repartition(5)
+    got = packing.pack(docs, TOKENIZER, sequence=64, window=8, targets={"big": 0.8, "small": 0.2})
+    shares = {(r["window"], r["source"]): r["share"] for r in packing.window_shares(got).collect()}
+    dry = max(w for w, s in shares if s == "small")
+    assert dry > 5 and all(abs(shares[w, "small"] - 0.2) < 0.02 for w in range(dry)) and all(shares.get((w, "big"), 0) > 0.99 for w in range(dry + 1, max(shares)[0] + 1))
+    tempered = packing.window_shares(packing.pack(docs, TOKENIZER, sequence=64, window=8, targets=0.5)).where("window < 8 AND source = 'small'").collect()
+    assert all(abs(r["share"] - 0.25) < 0.03 for r in tempered) and len(tempered) == 8
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.one_of(st.integers(0, 5), st.integers(0, 3000)), min_size=1, max_size=7), st.integers(1, 200), st.booleans(), st.randoms())
 def test_schedules_place_each_token_once(totals, window, natural, r):

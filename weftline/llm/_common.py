@@ -10,6 +10,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
 from pathlib import Path
+from urllib.parse import urlsplit
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -125,3 +126,11 @@ def ascii_lower(c: Column) -> Column:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip(os.sep)}/{name}.parquet")
+
+
+def open_fs(uri: str):
+    """(file system, path) of pyarrow for a folder that all executors share."""
+    from pyarrow import fs
+
+    parts = urlsplit(uri)
+    return fs.FileSystem.from_uri("file://" + parts.path if parts.scheme in ("", "file") else uri)

@@ -3,11 +3,14 @@
 Texts are tokenised once and their ids stored in the shared folder. The tokens of a
 source, in the order of the stored table, are its queue. Time goes in windows; in each,
 a queue is credited its share of the window's tokens, takes the whole tokens of its
-credit, and carries the rest, its deficit, to the next window. Since the credit after k
-windows is k times the quantum, the deficit is known for every k without looking at the
-windows before: each partition starts anywhere with the deficits carried so far. The
-windows, end to end, are one stream that is cut into sequences, so that only the last
-sequence can be short.
+credit, and carries the rest, its deficit, to the next window. The share of a queue that
+has run dry goes to the others in proportion. What a queue is credited after k windows has
+a closed form, so the deficit is known for every k without looking at the windows before:
+each partition starts anywhere with the deficits carried so far. The windows, end to end,
+are one stream that is cut into sequences, so that only the last sequence can be short.
+
+The stored ids are never shuffled. A task looks up where the queues of its own chunks
+stand in a small table beside them, so nothing that grows with the corpus is broadcast.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import col, materialize, ship
+from ._common import col, materialize, open_fs, shared_dir, ship
 
 #: Id that ends a document.
 END = 0
@@ -32,8 +35,8 @@ END = 0
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Pieces of text remembered with their ids, a worker.
 REMEMBERED = 1_000_000
-#: Rows of two numbers and an offset that are broadcast at most.
-BROADCAST_ROWS = 200_000
+#: Chunks whose queues' places are stored together.
+TOGETHER = 64
 #: Numbers of a schedule that a task keeps at most.
 KEPT = 1 << 22
 
@@ -159,145 +162,151 @@ def tokenize(docs: DataFrame, tokenizer: str, queues: dict, id_col: str = "doc_i
 class Schedule:
     """Deficit round-robin in closed form: what each queue has taken after k windows.
 
-    totals: tokens of each queue. targets: wanted share of each; None: that of its
-    tokens, so that all queues end together. Otherwise the schedule goes in phases; one
-    ends as a queue runs dry, whose share the others then take in proportion.
+    totals: tokens of each queue. weights: wanted share of each, in any unit; None: that of
+    its tokens, so that all queues end together. At time t a queue has taken min(n, w t)
+    tokens, so that shares of dry queues go to the others in proportion; time is where the
+    sum of these is k windows. Queues without a weight come last, in proportion to their
+    tokens. Everything is kept in a few numbers for each queue.
     """
 
-    def __init__(self, totals: list[int], window: int, targets: list[float] | None = None):
-        self.window, left = window, list(totals)
-        phases = [list(left)] if targets is None else []
-        while targets is not None and sum(left):
-            weight = [max(t, 0.0) if x else 0.0 for t, x in zip(targets, left, strict=True)]
-            if not sum(weight):  # only queues without a target are left
-                phases.append(list(left))
-                break
-            first = min((x / w, j) for j, (x, w) in enumerate(zip(left, weight, strict=True)) if w)
-            take = [min(x, int(w * first[0])) for x, w in zip(left, weight, strict=True)]
-            take[first[1]] = left[first[1]]
-            phases.append(take)
-            left = [x - y for x, y in zip(left, take, strict=True)]
-        self.taken = np.zeros((len(phases) + 1, len(totals)), np.int64)  # before each phase
-        self.taken[1:] = np.cumsum(np.array(phases, np.int64).reshape(len(phases), len(totals)), axis=0)
-        self.windows = [max(1, -(-sum(p) // window)) for p in phases]
-        self.n = np.array(phases, np.int64).reshape(len(phases), len(totals))
-        self.sums = self.taken.sum(axis=1).tolist()
-        self.kept: dict[tuple[int, int], np.ndarray] = {}
-
-    def credit(self, phase: int, queue: int | slice, k: np.ndarray) -> np.ndarray:
-        """Tokens that a queue has taken after k windows of a phase: its credit without the deficit."""
-        total, n = self.windows[phase], self.n[phase, queue]
-        whole, rest = n // total, n % total  # k * rest stays below 2**63 for 3 billion windows
-        if isinstance(queue, slice):
-            return k[:, None] * whole + k[:, None] * rest // total
-        return k * whole + k * rest // total
-
-    def window_of(self, phase: int, queue: int, x: np.ndarray) -> np.ndarray:
-        """The window in which a queue gives token x of a phase: the last k with credit(k) <= x."""
-        total = self.windows[phase]
-        k = np.clip((x * (total / max(1, int(self.n[phase, queue])))).astype(np.int64), 0, total - 1)
-        while (low := self.credit(phase, queue, k) > x).any():
-            k = k - low
-        while (high := (k + 1 < total) & (self.credit(phase, queue, k + 1) <= x)).any():
-            k = k + high
-        return k
-
-    def within(self, phase: int, k: int) -> np.ndarray:
-        """For each queue what its tokens of window k stand behind their own number in the stream of the phase.
+    def __init__(self, totals: list[int], window: int, weights: list[float] | None = None):
+        self.window, self.n = window, np.array(totals, np.int64)
+        w = np.maximum(self.n if weights is None else np.array(weights, np.float64), 0).astype(np.float64)
+        self.rate = np.where(self.n > 0, w, 0.0)
+        self.late = (self.rate == 0) & (self.n > 0)
+        first = np.flatnonzero(self.rate > 0)
+        dry = self.n[first] / self.rate[first]
+        order = np.argsort(dry, kind="stable")
+        # Between the times at which two queues run dry, the sum is gone + t * speed.
+        self.edges = dry[order]
+        self.gone = np.concatenate([[0], np.cumsum(self.n[first][order])])
+        self.speed = np.append(np.cumsum(self.rate[first][order][::-1])[::-1], 0.0)
+        self.taken = np.maximum.accumulate(self.gone[1:] + self.edges * self.speed[1:]) if len(first) else np.zeros(0)
+        self.early, self.total = int(self.gone[-1]), int(self.n.sum())
+        self.windows = -(-self.total // window)
+        self.kept: dict[int, np.ndarray] = {}
+
+    def credit(self, queue: int | slice, k: np.ndarray | int) -> np.ndarray:
+        """Tokens that a queue, or each queue, has taken after k windows: its credit without the deficit."""
+        all_taken = np.minimum(np.asarray(k, np.int64) * self.window, self.total)
+        c = np.minimum(all_taken, self.early).astype(np.float64)
+        n, rate, late = self.n[queue], self.rate[queue], self.late[queue]
+        if len(self.edges):
+            i = np.minimum(np.searchsorted(self.taken, c), len(self.edges) - 1)
+            t = np.clip((c - self.gone[i]) / self.speed[i], np.where(i > 0, self.edges[i - 1], 0.0), self.edges[i])
+        else:
+            t = np.zeros_like(c)
+        early = np.where(all_taken >= self.early, n, np.minimum(n, np.floor(rate * t).astype(np.int64)))
+        share = np.maximum(all_taken - self.early, 0) / max(1, self.total - self.early)
+        return np.where(late, np.where(all_taken >= self.total, n, np.minimum(n, np.floor(n * share).astype(np.int64))), early)
+
+    def window_of(self, queue: int, x: np.ndarray) -> np.ndarray:
+        """The window in which a queue gives its token x: the last k with credit(k) <= x, by bisection."""
+        lo, hi = np.zeros(len(x), np.int64), np.full(len(x), self.windows, np.int64)
+        while len(x) and (hi - lo > 1).any():
+            m = (lo + hi) // 2
+            below = self.credit(queue, m) <= x
+            lo, hi = np.where(below, m, lo), np.where(below, hi, m)
+        return lo
+
+    def within(self, k: int) -> np.ndarray:
+        """For each queue what its tokens of window k stand behind their own number in the stream.
 
         Of the windows asked for last, as many as fit in KEPT numbers are kept.
         """
-        if (phase, k) not in self.kept:
-            before, after = self.credit(phase, slice(None), np.array([k, k + 1]))
+        if k not in self.kept:
+            before, after = self.credit(slice(None), k), self.credit(slice(None), k + 1)
             take = after - before
             while self.kept and (len(self.kept) + 1) * len(take) > KEPT:
                 self.kept.pop(next(iter(self.kept)))
-            self.kept[phase, k] = before.sum() + np.cumsum(take) - take - before
-        return self.kept[phase, k]
+            self.kept[k] = before.sum() + np.cumsum(take) - take - before
+        return self.kept[k]
 
     def place(self, queue: int, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(row, lo, hi, stream offset) of the segments of [lo, hi) in a queue, cut at the windows."""
-        rows, los, his, offs = [], [], [], []
-        for p in range(len(self.windows)):
-            base, n = self.taken[p, queue], self.n[p, queue]
-            a, b = np.maximum(lo - base, 0), np.minimum(hi - base, n)
-            at = np.flatnonzero(a < b)
-            if not len(at):
-                continue
-            a, b = a[at], b[at]
-            first, last = self.window_of(p, queue, a), self.window_of(p, queue, b - 1)
-            # A queue that gets under a token a window: look at its tokens, else at the windows.
-            many = np.minimum(last - first, b - a - 1)
-            r = np.repeat(np.arange(len(at)), many)
-            j = np.arange(len(r)) - np.repeat(np.cumsum(many) - many, many) + 1
-            by_token = (last - first > b - a - 1)[r]
-            cut = np.where(by_token, a[r] + j, self.credit(p, queue, np.minimum(first[r] + j, self.windows[p])))
-            new = np.ones(len(r), bool)
-            if by_token.any():
-                new = ~by_token | (self.window_of(p, queue, cut) != self.window_of(p, queue, np.maximum(cut - 1, 0)))
-            inside = new & (cut > a[r]) & (cut < b[r])
-            starts = np.concatenate([a, cut[inside]])
-            owner = np.concatenate([np.arange(len(at)), r[inside]])
-            order = np.lexsort((starts, owner))
-            starts, owner = starts[order], owner[order]
-            fresh = np.concatenate([[True], (starts[1:] != starts[:-1]) | (owner[1:] != owner[:-1])])
-            starts, owner = starts[fresh], owner[fresh]
-            ends = np.concatenate([starts[1:], [0]])
-            lasts = np.concatenate([owner[1:] != owner[:-1], [True]])
-            ends = np.where(lasts, b[owner], ends)
-            k = self.window_of(p, queue, starts)
-            ks, back = np.unique(k, return_inverse=True)
-            into = np.array([self.within(p, x)[queue] for x in ks.tolist()], np.int64)
-            rows.append(at[owner])
-            los.append(starts + base)
-            his.append(ends + base)
-            offs.append(self.sums[p] + into[back] + starts)
-        if not rows:
-            empty = np.zeros(0, np.int64)
-            return empty, empty, empty, empty
-        return tuple(np.concatenate(x) for x in (rows, los, his, offs))
-
-
-PIECES = "doc string, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
-
-
-def pack(docs: DataFrame, tokenizer: str, sequence: int = 1024, window: int = 64, targets: dict | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", with_ids: bool = False) -> DataFrame:
+        at = np.flatnonzero(lo < hi)
+        a, b = lo[at], hi[at]
+        first, last = self.window_of(queue, a), self.window_of(queue, b - 1)
+        # A queue that gets under a token a window: look at its tokens, else at the windows.
+        many = np.minimum(last - first, b - a - 1)
+        r = np.repeat(np.arange(len(at)), many)
+        j = np.arange(len(r)) - np.repeat(np.cumsum(many) - many, many) + 1
+        by_token = (last - first > b - a - 1)[r]
+        cut = np.where(by_token, a[r] + j, self.credit(queue, np.minimum(first[r] + j, self.windows)))
+        inside = (cut > a[r]) & (cut < b[r])
+        m = np.flatnonzero(by_token & inside)
+        inside[m] = self.window_of(queue, cut[m]) != self.window_of(queue, cut[m] - 1)
+        starts = np.concatenate([a, cut[inside]])
+        owner = np.concatenate([np.arange(len(at)), r[inside]])
+        order = np.lexsort((starts, owner))
+        starts, owner = starts[order], owner[order]
+        new = np.ones(len(starts), bool)
+        new[1:] = (starts[1:] != starts[:-1]) | (owner[1:] != owner[:-1])
+        starts, owner = starts[new], owner[new]
+        ends = b[owner]
+        ends[:-1] = np.where(owner[1:] == owner[:-1], starts[1:], ends[:-1])
+        ks, back = np.unique(self.window_of(queue, starts), return_inverse=True)
+        into = np.array([self.within(x)[queue] for x in ks.tolist()], np.int64)
+        return at[owner], starts, ends, into[back] + starts
+
+
+def _bases(folder: str, chunk: int) -> dict[int, int]:
+    """Tokens before a chunk in each of its queues, from the table beside the ids."""
+    import pyarrow.dataset as ds
+
+    fs, top = open_fs(folder)
+    found = ds.dataset(f"{top}/together={chunk // TOGETHER}", filesystem=fs, format="parquet").to_table(columns=["queue", "base"], filter=ds.field("chunk") == chunk)
+    return dict(zip(found["queue"].to_pylist(), found["base"].to_pylist(), strict=True))
+
+
+PIECES = "doc string, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source string, window long, ids binary"
+
+
+def pack(docs: DataFrame, tokenizer: str, sequence: int = 1024, window: int = 64, targets: dict | float | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", with_ids: bool = False) -> DataFrame:
     """A row for each piece of a document in a sequence of `sequence` tokens.
 
     Columns: id_col, start, length, ids_crc32 (of the little-endian 32-bit ids),
-    doc_tokens, sequence_id, offset, and with_ids the ids as binary of such numbers.
-    window counts sequences; targets maps sources to wanted shares (None: the corpus'
-    own). All documents are packed whatever the targets: a source that runs dry leaves
-    its share to the others, sources outside targets come last. Sequences are gapless
-    and full but for the last.
+    doc_tokens, sequence_id, offset, source, window, and with_ids the ids as binary of such
+    numbers. window counts sequences. targets maps sources to wanted shares, or is a power
+    that the sources' tokens are raised to for theirs (1 or None: the corpus' own shares, 0:
+    equal ones). All documents are packed whatever the targets: a source that runs dry
+    leaves its share to the others, sources outside targets come last, their source told as
+    null. Sequences are gapless and full but for the last.
 
     Null and empty texts are the id END alone. Every source has a queue, and so have
     all null ones; where there is no source column, all rows share one. Repeated rows and ids,
-    null ids included, are packed each. An empty table gives an empty table.
+    null ids included, are packed each; a queue's ties are in the order of the table. Texts
+    of any length are cut at the ends of sequences. An empty table gives an empty table; other
+    columns, whatever their names, are not looked at.
     """
     spark = docs.sparkSession
     ship(spark)
     has_source = source_col in docs.columns
-    queues = _queues(docs, source_col, targets) if has_source else {}
+    queues = _queues(docs, source_col, targets if isinstance(targets, dict) else None) if has_source else {}
     stored = materialize(tokenize(docs, tokenizer, queues, id_col, text_col, source_col))
 
     sums = stored.groupBy("chunk", "queue").agg(F.sum("n").alias("tokens"))
     totals = [0] * (len(queues) + 1)
     for r in sums.groupBy("queue").agg(F.sum("tokens").alias("t")).collect():  # a row for each source
         totals[r["queue"]] = r["t"]
-    shares = None if targets is None else [0.0, *map(float, targets.values())]
-    plan = Schedule(totals, window * sequence, shares)
+    if isinstance(targets, dict):
+        weights = [0.0, *map(float, targets.values())]
+    else:
+        weights = None if targets is None else [float(t) ** targets if t else 0.0 for t in totals]
+    plan, names = Schedule(totals, window * sequence, weights), [None, *queues]
     before = Window.partitionBy("queue").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    bases = materialize(sums.select(F.col("chunk").alias("bc"), F.col("queue").alias("bq"), F.coalesce(F.sum("tokens").over(before), F.lit(0)).alias("base")))
-    if bases.count() <= BROADCAST_ROWS:  # else a join by chunk and queue, which no more than a chunk's rows share
-        bases = F.broadcast(bases)
-    placed = stored.join(bases, (F.col("chunk") == F.col("bc")) & (F.col("queue") == F.col("bq"))).select("doc", "queue", (F.col("base") + F.col("start")).alias("lo"), "n", "ids", "width")
+    bases = sums.select("chunk", "queue", F.coalesce(F.sum("tokens").over(before), F.lit(0)).alias("base"), F.expr(f"chunk DIV {TOGETHER}").alias("together"))
+    folder = shared_dir(spark)
+    bases.repartition("together").write.partitionBy("together").parquet(folder)
     kind = stored.schema["doc"].dataType.simpleString()
 
     def pieces(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, base = -1, {}
         for pdf in parts:
-            for queue, g in pdf.groupby("queue"):
-                lo = g["lo"].to_numpy(np.int64)
+            for (chunk, queue), g in pdf.groupby(["chunk", "queue"]):
+                if chunk != now:
+                    now, base = chunk, _bases(folder, int(chunk))
+                lo = base[int(queue)] + g["start"].to_numpy(np.int64)
                 n = g["n"].to_numpy(np.int64)
                 row, a, b, off = plan.place(int(queue), lo, lo + n)
                 # Cut the segments at the ends of the sequences.
@@ -323,7 +332,13 @@ def pack(docs: DataFrame, tokenizer: str, sequence: int = 1024, window: int = 64
                     piece = buf[s : s + k]
                     crc.append(zlib.crc32(piece))
                     made.append(piece.tobytes() if with_ids else None)
-                yield pd.DataFrame({"doc": docs_[r], "start": start, "length": y - x, "ids_crc32": crc, "doc_tokens": n[r], "sequence_id": seq, "offset": x - seq * sequence, "ids": made})
+                yield pd.DataFrame({"doc": docs_[r], "start": start, "length": y - x, "ids_crc32": crc, "doc_tokens": n[r], "sequence_id": seq, "offset": x - seq * sequence, "source": names[int(queue)], "window": seq // window, "ids": made})
 
-    out = placed.select(F.col("doc").cast("string").alias("doc"), "queue", "lo", "n", "ids", "width").mapInPandas(pieces, PIECES)
-    return out.select(F.col("doc").cast(kind).alias(id_col), *["start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"], *["ids"] * with_ids)
+    out = stored.select(F.col("doc").cast("string").alias("doc"), "chunk", "queue", "start", "n", "ids", "width").mapInPandas(pieces, PIECES)
+    return out.select(F.col("doc").cast(kind).alias(id_col), *["start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "source", "window"], *["ids"] * with_ids)
+
+
+def window_shares(pieces: DataFrame) -> DataFrame:
+    """(window, source, tokens, share): what each source has in each window of pack()."""
+    per = pieces.groupBy("window", "source").agg(F.sum("length").alias("tokens"))
+    return per.withColumn("share", F.col("tokens") / F.sum("tokens").over(Window.partitionBy("window")))

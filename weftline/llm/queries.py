@@ -13,6 +13,9 @@ from ._common import table
 
 #: The tokenizer that documents are packed with.
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+#: Shares of the sources when packing: in proportion to their tokens to this power, so that
+#: large ones give less to a window than the corpus has of them, and small ones more.
+TEMPER = 0.7
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,7 +28,7 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), TOKENIZER)
+    return packing.pack(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), TOKENIZER, targets=TEMPER)
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ import hashlib
 import struct
 import uuid
 from collections.abc import Iterator
-from urllib.parse import quote, urlsplit
+from urllib.parse import quote
 
 import pandas as pd
 import pyarrow as pa
@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import col, shared_dir, ship
+from ._common import col, open_fs, shared_dir, ship
 
 #: First four bytes of the skippable frame with the dictionary.
 MAGIC = 0x184D2A5D
@@ -143,14 +143,6 @@ def read_records(data: bytes) -> Iterator[bytes]:
         yield b"".join(parts)
 
 
-def open_fs(uri: str):
-    """(file system, path) of pyarrow for a folder that all executors share."""
-    from pyarrow import fs
-
-    parts = urlsplit(uri)
-    return fs.FileSystem.from_uri("file://" + parts.path if parts.scheme in ("", "file") else uri)
-
-
 def deduplicated(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = 1000) -> DataFrame:
     """(page_id, url, html, digest, keeper, keeper_url, alone, named).
 
