@@ -2,8 +2,9 @@
 
 Lines are exploded, their normalised keys hashed to 128 bits, distinct documents
 counted for each hash, and the positions to drop sent back to their document, whose
-remaining lines are joined again in order of position. Only hashes, ids and positions
-pass through the shuffles by hash; a text is shuffled once, by its document.
+remaining lines are joined again in order of position. The hashes are written once and
+read for both sides of their join; they, ids and positions alone pass through the shuffles
+by hash. A text is shuffled once, by its document.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import LAST_ID, ascii_lower, col, fresh
+from ._common import LAST_ID, ascii_lower, col, fresh, materialize
 
 #: What is stripped at both ends of a line: space and \x09 to \x0D.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -29,13 +30,17 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     with a text: rows that repeat both count as one document and are all treated alike;
     rows of one id with different texts count as one document when documents are
     counted, and all of them keep the lines of which this id is the smallest. A null id
-    ranks after every other id. An empty table gives an empty table.
+    ranks after every other id; ids that aren't integers are an error. Texts of any length
+    are cut as a whole. An empty table gives an empty table. Other columns are kept, whatever
+    their names.
     """
+    if docs.select(col(id_col)).schema[0].dataType.typeName() not in ("byte", "short", "integer", "long"):
+        raise TypeError(f"{id_col} must be an integer: the smallest id keeps a line")
     did, text, hashed, its_id, its_hash, drop = fresh(docs, "_id", "_text", "_hash", "_its_id", "_its_hash", "_drop")
     rows = docs.select("*", F.coalesce(col(id_col).cast("long"), F.lit(LAST_ID)).alias(did), F.coalesce(col(text_col), F.lit("")).alias(text)).withColumn(hashed, F.xxhash64(text))
     lines = rows.select(F.col(did).alias("d"), F.col(hashed).alias("h"), F.posexplode(F.split(text, "\n")).alias("pos", "line"))
     lines = lines.select("d", "h", "pos", ascii_lower(F.btrim("line", F.lit(BLANKS))).alias("key")).where(F.length("key") >= min_chars)
-    lines = lines.select("d", "h", "pos", F.xxhash64("key").alias("a"), F.xxhash64(F.lit(7), "key").alias("b"))
+    lines = materialize(lines.select("d", "h", "pos", F.xxhash64("key").alias("a"), F.xxhash64(F.lit(7), "key").alias("b")), "lz4")
 
     # Two levels: a key that a third of all documents hold meets as one row a task.
     holders = lines.select("a", "b", "d").distinct().groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.min("d").alias("keep"))
