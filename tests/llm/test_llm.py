@@ -84,6 +84,8 @@ def test_line_dedup(spark, sf, odd, table):
 
 def test_line_dedup_of_nothing(none):
     assert line_dedup.drop_repeated_lines(none).count() == 0
+    with pytest.raises(TypeError):
+        line_dedup.drop_repeated_lines(none.withColumn("doc_id", F.col("doc_id").cast("string")))
 
 
 # -- SimHash
@@ -595,9 +597,33 @@ def test_listed_as_of(spark):
     assert url_filters.listed(caps.limit(0), entries).count() == 0 and url_filters.listed(caps, entries.limit(0)).where("listed_by IS NULL").count() == len(c)
 
 
+def test_listed_with_outlying_times_and_long_urls(spark):
+    r = random.Random(5)
+    moment = lambda: r.choice([0, 1, 2_000_000_000, 253_402_300_799, -62_135_596_800, r.randrange(-(10**10), 2 * 10**11), r.randrange(10**9, 10**9 + 10**8)])
+    entries = [(f"d{r.randrange(4)}.com", moment(), r.random() < 0.6) for _ in range(60)]
+    caps = [(i, f"http://{r.choice(['', 'x.', 'y.x.'])}d{r.randrange(5)}.com/" + "p" * (100_000 if i == 3 else 3), moment()) for i in range(300)]
+    caps += [(900 + i, f"http://{d}/", t + k) for i, (d, t, _) in enumerate(entries) for k in (0, -1)]
+    as_time = lambda df, c: df.withColumn(c, F.timestamp_seconds(c))
+    got = url_filters.listed(as_time(spark.createDataFrame(caps, "i int, url string, fetched long"), "fetched"), as_time(spark.createDataFrame(entries, "domain string, at long, active boolean"), "at"))
+    want = []
+    for i, url, t in caps:
+        host, found = url.split("/")[2], None
+        for k in range(host.count(".")):
+            d = host.split(".", k)[-1]
+            mine = [(at, on) for x, at, on in entries if x == d and at <= t]
+            last = max((at for at, _ in mine), default=None)
+            if found is None and any(on for at, on in mine if at == last):
+                found = d
+        want.append((i, found))
+    assert Counter(rows_of(got.select("i", "listed_by"))) == Counter(want) and any(x for _, x in want)
+    longest = url_filters.in_buckets(spark.createDataFrame([("d", -62_135_596_800_000_000, 1 << 62)], "domain string, since long, until long"))
+    assert longest.count() < 200
+
+
 def test_license_scan(spark):
     mit, apache = "Released under the MIT License.", "Licensed under the Apache License, Version 2.0."
-    rows = [("r/LICENSE", f"{mit}"), ("r/a/x.py", "no words on it"), ("r/a/b/LICENSE.txt", license_scan.TEMPLATES[5][1]), ("r/a/b/y.py", f"# {apache}\ncode code"), ("r/a/b/c/z.py", "code"), ("r/a/b/c/z.py", "code"), ("other/q.py", "code"), (None, "code"), (None, mit), ("r/n.py", None), ("r/e.py", ""), ("s/LICENSE", "no licence text at all, only talk")]
+    GPL = next(t for n, t in license_scan.TEMPLATES if n == "GPL-3.0" and t.startswith("This program"))  # noqa: N806
+    rows = [("r/LICENSE", f"{mit}"), ("r/a/x.py", "no words on it"), ("r/a/b/LICENSE.txt", GPL), ("r/a/b/y.py", f"# {apache}\ncode code"), ("r/a/b/c/z.py", "code"), ("r/a/b/c/z.py", "code"), ("other/q.py", "code"), (None, "code"), (None, mit), ("r/n.py", None), ("r/e.py", ""), ("s/LICENSE", "no licence text at all, only talk")]
     got = license_scan.scan(spark.createDataFrame(rows, "path string, text string").withColumns({"licence": F.lit(1), "via": F.lit(2), "given": F.lit(3)}))
     assert Counter(rows_of(got.select("path", "licence", "licence_via", "licence_from"))) == Counter([
         ("r/LICENSE", "MIT", "header", "r/LICENSE"), ("r/a/x.py", "MIT", "inherited", "r/LICENSE"), ("r/a/b/LICENSE.txt", "GPL-3.0", "header", "r/a/b/LICENSE.txt"), ("r/a/b/y.py", "Apache-2.0", "header", "r/a/b/y.py"),
@@ -606,6 +632,41 @@ def test_license_scan(spark):
     assert license_scan.scan(spark.createDataFrame([], "path string, text string")).count() == 0
 
 
+def wrapped(text, width, mark=""):
+    import textwrap
+
+    return "\n".join(mark + x for x in textwrap.wrap(text, width))
+
+
+def test_licences_in_wrapped_headers_and_whole_files(spark):
+    mit, bsd = (next(t for n, t in license_scan.TEMPLATES if n == k and len(t) > 900) for k in ("MIT", "BSD-3-Clause"))
+    grant, mpl = license_scan._GRANT_MIT, next(t for n, t in license_scan.TEMPLATES if n == "MPL-2.0" and "obtain" in t)
+    code = "\n\nint main(void) {\n  return 0;\n}\n"
+    rows = [
+        ("a/x.c", "/*\n" + wrapped(grant, 70, " * ") + "\n */" + code), ("b/x.c", wrapped(mpl, 60, "// ") + code), ("c/x.py", wrapped("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", 45, "# ") + "\nimport os\nprint(os.name)"),
+        ("d/LICENSE", "Copyright 2020 Somebody Unknown\n" + wrapped(bsd, 72)), ("d/deep/er/y.c", "code"), ("e/LICENSE.md", wrapped(mit, 75)), ("f/x.rs", "// SPDX-License-Identifier: Apache-2.0" + code), ("g/x.rs", "// SPDX-License-Identifier: Nobodys-1.0" + code),
+        ("h/x.md", "We licensed the picture to a museum under the terms of a contract."), ("i/x.md", "Creative Commons Attribution 4.0 International"), ("j/x.md", "CC BY-NC 4.0"), ("k/x.txt", LONG + "\n" + "word " * 300_000), ("l/LICENSE", "GNU GENERAL PUBLIC LICENSE\n   Version 3, 29 June 2007\n\n" + "other words that nobody knows " * 500),
+    ]
+    got = {r["path"]: (r["licence"], r["licence_via"]) for r in license_scan.scan(spark.createDataFrame(rows, "path string, text string")).collect()}
+    assert got == {
+        "a/x.c": ("MIT", "header"), "b/x.c": ("MPL-2.0", "header"), "c/x.py": ("MPL-2.0", "header"), "d/LICENSE": ("BSD-3-Clause", got["d/LICENSE"][1]), "d/deep/er/y.c": ("BSD-3-Clause", "inherited"), "e/LICENSE.md": ("MIT", got["e/LICENSE.md"][1]),
+        "f/x.rs": ("Apache-2.0", "header"), "g/x.rs": (None, None), "h/x.md": (None, None), "i/x.md": ("CC-BY-4.0", "header"), "j/x.md": ("CC-BY-NC-4.0", "header"), "k/x.txt": (None, None), "l/LICENSE": ("GPL-3.0", "header"),
+    }
+
+
+def test_units_left_out_are_below_the_threshold(spark):
+    """No run that signs and counts of terms rule out reaches the threshold when its cosine is worked out."""
+    r, w = random.Random(9), license_scan.Weights(license_scan.TEMPLATES, 0.6)
+    units = []
+    for _ in range(400):
+        words = r.choice(license_scan.TEMPLATES)[1].split()
+        units.append(" ".join(r.sample(words, r.randint(1, len(words))) + r.choices(["zebra", "the", "of", "license", "quux"], k=r.randrange(4))))
+    df = spark.createDataFrame([(str(i), x) for i, x in enumerate(units)], "u string, unit string")
+    every = {x["u"] for x in license_scan.unit_verdicts(df, license_scan.TEMPLATES, w, 0.6).collect()}
+    asked = {x["u"] for x in df.where(F.rlike("unit", F.lit(w.signs)) & w.possible(F.col("unit"))).collect()}
+    assert len(every) > 40 and every <= asked and len(asked) < 400
+
+
 # -- the pipeline
 
 

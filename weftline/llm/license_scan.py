@@ -1,40 +1,76 @@
 """Licence scan in DataFrame operations only: TF-IDF cosine to templates, then inheritance.
 
-What is compared is every line of a file that speaks of a licence, and the whole text of
-licence files. A file without a licence of its own inherits that of the nearest directory
-above it that has a licence file.
+What is compared is every run of one to four neighbouring lines of a file, every block of
+lines between blank ones, and the whole text of licence files. Weights come from the
+templates alone, so the verdict of a text doesn't depend on other texts, and which runs can
+reach the threshold at all is known from a few words: the others are never cut into terms.
+A file without a licence of its own inherits that of the nearest directory above it that has
+a licence file.
 """
 
 from __future__ import annotations
 
-from math import log
+from collections import Counter
+from math import log, sqrt
 
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._common import col, fresh, materialize
 
-# Notices and first sentences of public licences, as their stewards word them.
+# Titles, notices, identifiers and texts of public licences, as their stewards word them.
+_WARRANTY_BSD = "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+_CONDITIONS_BSD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+_ENDORSE_BSD = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+_GRANT_MIT = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:"
+_REST_MIT = "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
 TEMPLATES = [
     ("MIT", "Released under the MIT License."),
+    ("MIT", "The MIT License (MIT)"),
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction"),
+    ("MIT", _GRANT_MIT),
+    ("MIT", f"MIT License Copyright (c) {_GRANT_MIT} {_REST_MIT}"),
+    ("MIT", "SPDX-License-Identifier: MIT"),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("ISC", "SPDX-License-Identifier: ISC"),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License."),
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/"),
+    ("Apache-2.0", "SPDX-License-Identifier: Apache-2.0"),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
     ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("GPL-3.0", "SPDX-License-Identifier: GPL-3.0-or-later"),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991"),
+    ("GPL-2.0", "SPDX-License-Identifier: GPL-2.0-only"),
     ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
+    ("BSD-3-Clause", f"BSD 3-Clause License Copyright (c) All rights reserved. {_CONDITIONS_BSD} {_ENDORSE_BSD} {_WARRANTY_BSD}"),
+    ("BSD-3-Clause", "SPDX-License-Identifier: BSD-3-Clause"),
+    ("BSD-2-Clause", f"BSD 2-Clause License Copyright (c) All rights reserved. {_CONDITIONS_BSD} {_WARRANTY_BSD}"),
+    ("BSD-2-Clause", "SPDX-License-Identifier: BSD-2-Clause"),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
+    ("MPL-2.0", "Mozilla Public License Version 2.0"),
+    ("MPL-2.0", "SPDX-License-Identifier: MPL-2.0"),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
+    ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
+    ("CC-BY-NC-4.0", "Attribution-NonCommercial 4.0 International"),
+    ("CC-BY-4.0", "Licensed under CC BY 4.0."),
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
-    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
-]
-#: A line that has one of these speaks of a licence.
-SPEAKS = r"(?i)licen[cs]e|copyright|spdx|permission is hereby|redistribution and use"
+    ("CC-BY-4.0", "Creative Commons Attribution 4.0 International"),
+    ("Unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
+]
 #: Names of licence files, before a dot or the end.
 LICENCE_FILE = r"(?i)(^|/)(licen[cs]e|copying|unlicense)(\.[^/]*)?$"
-
-
 #: A term: letters and digits, with further numbers after points, as in 4.0.
 TERM = r"[\p{L}\p{N}]+(?:\.[0-9]+)*"
+#: What stands between two blocks: lines without a letter or digit.
+BETWEEN = r"\n(?:[^\p{L}\p{N}\n]*\n)+"
+#: Neighbouring lines that are compared together, at most, besides the whole block.
+LINES = 4
 
 
 def _terms(c: Column) -> Column:
@@ -45,55 +81,104 @@ def _directory(path: Column) -> Column:
     return F.regexp_replace(path, r"/?[^/]*$", "")
 
 
-def unit_verdicts(units: DataFrame, templates: list[tuple[str, str]], least: float) -> DataFrame:
-    """(u, licence, score) for each of units(u, unit) whose best cosine is at least `least`.
+class Weights:
+    """What follows from the templates: the weight of each term in each, and what a unit needs to be near one.
 
-    Weights are (1 + ln tf) * (1 + ln((1 + N) / (1 + df))), df over all units.
+    A term weighs (1 + ln tf) * (1 + ln((1 + N) / (1 + df))), df counted over the N templates;
+    a term of none of them has a df of 0.
     """
+
+    def __init__(self, templates: list[tuple[str, str]], least: float):
+        counts = [Counter(regex.findall(TERM, text.lower())) for _, text in templates]
+        df = Counter(t for c in counts for t in c)
+        self.idf = {t: 1 + log((1 + len(counts)) / (1 + n)) for t, n in df.items()}
+        self.rare = 1 + log(1 + len(counts))
+        self.vectors, self.needed, signs = [], [], set()
+        for c in counts:
+            w = {t: (1 + log(n)) * self.idf[t] for t, n in c.items()}
+            norm = sqrt(sum(x * x for x in w.values()))
+            w = {t: x / norm for t, x in w.items()}
+            self.vectors.append(w)
+            # A unit's cosine is at most the length of the part of the template that it shares:
+            # so it has one of the terms that are left when the most common ones, as long as
+            # they are too short together, are taken away, and at least so many terms in all.
+            bound, gone, left = (least - 1e-6) ** 2, 0.0, set(w)
+            for t in sorted(w, key=lambda t: (-df[t], t)):
+                if gone + w[t] ** 2 >= bound:
+                    break
+                gone += w[t] ** 2
+                left.discard(t)
+            signs |= left
+            total, n = 0.0, 0
+            for x in sorted(w.values(), reverse=True):
+                if total >= bound:
+                    break
+                total, n = total + x * x, n + 1
+            self.needed.append((sorted(w), n))
+        #: A unit without one of these is below `least` for every template.
+        self.signs = r"(?iu)(?<![\p{L}\p{N}])(?:" + "|".join(regex.escape(t) for t in sorted(signs)) + r")(?![\p{L}\p{N}])"
+
+    def possible(self, unit: Column) -> Column:
+        """Whether a unit can reach `least` at all."""
+        has = F.array_distinct(_terms(unit))
+        enough = F.array(*[F.struct(F.array(*map(F.lit, t)).alias("t"), F.lit(n).alias("n")) for t, n in self.needed])
+        return F.exists(enough, lambda x: F.size(F.array_intersect(has, x["t"])) >= x["n"])
+
+
+def unit_verdicts(units: DataFrame, templates: list[tuple[str, str]], weights: Weights, least: float) -> DataFrame:
+    """(u, best: score and licence) for each of units(u, unit) whose best cosine is at least `least`."""
     spark = units.sparkSession
-    tf = materialize(units.select("u", F.explode(_terms(F.col("unit"))).alias("term")).groupBy("u", "term").agg(F.count(F.lit(1)).alias("tf")))
-    n = units.select("u").distinct().count()
-    idf = tf.groupBy("term").agg((1 + F.log((1.0 + n) / (1.0 + F.count(F.lit(1))))).alias("idf"))
-    own = spark.range(1).select(F.inline(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(text).alias("text")) for i, (_, text) in enumerate(templates)])))
-    wanted = own.select("i", F.explode(_terms(F.col("text"))).alias("term")).groupBy("term", "i").agg((1 + F.log(F.count(F.lit(1)))).alias("w"))
-    wanted = wanted.groupBy(F.col("term").alias("wt")).agg(F.map_from_entries(F.collect_list(F.struct("i", "w"))).alias("ws"))  # as many as the templates have words
-    rare = 1 + log(1.0 + n)
-    norms = wanted.join(idf, F.col("wt") == F.col("term"), "left").select(F.explode("ws").alias("i", "w"), F.coalesce("idf", F.lit(rare)).alias("idf")).groupBy("i").agg(F.sqrt(F.sum((F.col("w") * F.col("idf")) ** 2)).alias("norm"))
-    norm = {r["i"]: r["norm"] for r in norms.collect()}
-    # By another expression than the aggregate's key: a frequent term can be split.
-    keyed = idf.select(F.concat(F.lit("t:"), "term").alias("kt"), "idf")
-    weighed = tf.join(keyed, F.concat(F.lit("t:"), "term") == F.col("kt")).select("u", "term", ((1 + F.log("tf")) * F.col("idf")).alias("w"), "idf")
-    weighed = weighed.join(F.broadcast(wanted), F.col("term") == F.col("wt"), "left")
-    dots = [F.sum(F.col("w") * F.coalesce(F.element_at("ws", F.lit(i)), F.lit(0.0)) * F.col("idf")).alias(f"d{i}") for i in norm]
+    tf = units.select("u", F.explode(_terms(F.col("unit"))).alias("term")).groupBy("u", "term").agg(F.count(F.lit(1)).alias("tf"))
+    rows = [(t, x, {i: v[t] for i, v in enumerate(weights.vectors) if t in v}) for t, x in sorted(weights.idf.items())]
+    wanted = spark.createDataFrame(rows, "wt string, idf double, ws map<int,double>")  # as many rows as the templates have words
+    weighed = tf.join(F.broadcast(wanted), F.col("term") == F.col("wt"), "left").select("u", ((1 + F.log("tf")) * F.coalesce("idf", F.lit(weights.rare))).alias("w"), "ws")
+    dots = [F.sum(F.col("w") * F.coalesce(F.element_at("ws", F.lit(i)), F.lit(0.0))).alias(f"d{i}") for i in range(len(templates))]
     sums = weighed.groupBy("u").agg(F.sqrt(F.sum(F.col("w") ** 2)).alias("norm"), *dots)
     # Rounded, so that the order in which tasks add makes no ties or orders of its own.
-    best = F.greatest(*[F.struct(F.round(F.coalesce(F.col(f"d{i}"), F.lit(0.0)) / (F.col("norm") * x), 6).alias("score"), F.lit(templates[i][0]).alias("licence")) for i, x in norm.items()], F.struct(F.lit(0.0).alias("score"), F.lit("").alias("licence")))
+    each = [F.struct(F.round(F.col(f"d{i}") / F.col("norm"), 6).alias("score"), F.lit(name).alias("licence")) for i, (name, _) in enumerate(templates)]
+    best = F.greatest(*each, F.struct(F.lit(0.0).alias("score"), F.lit("").alias("licence")))
     return sums.select("u", best.alias("best")).where(F.col("best.score") >= least).select("u", "best")
 
 
+def _runs(block: Column) -> Column:
+    """The runs of 1 to LINES neighbouring lines of a block, and the whole block."""
+    lines = F.split(block, "\n")
+
+    def of(k: Column) -> Column:
+        starts = F.when(F.size(lines) >= k, F.sequence(F.lit(1), F.size(lines) - k + 1)).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.array_join(F.slice(lines, i, k), "\n"))
+
+    return F.concat(F.flatten(F.transform(F.sequence(F.lit(1), F.lit(LINES)), of)), F.array(block))
+
+
 def scan(files: DataFrame, path_col: str = "path", text_col: str = "text", templates: list[tuple[str, str]] = TEMPLATES, least: float = 0.6) -> DataFrame:
     """files without their text, with licence, licence_score, licence_via and licence_from.
 
-    licence_via is header (a line of the file), file (the whole text of a licence file) or
-    inherited; licence_from is the path that the licence was found in. The highest cosine
-    counts, of equal ones the last name in order; of licence files in one directory
-    likewise. Without a licence the four columns, which replace others of these names, are
-    null. Null and empty texts have no licence of their own; null paths inherit none and
-    are no licence files. Repeated rows are told each; the verdict of a text is found once.
+    licence_via is header (a run of lines or a block of the file), file (the whole text of a
+    licence file) or inherited; licence_from is the path that the licence was found in. The
+    highest cosine counts, of equal ones the last name in order; of licence files in one
+    directory likewise. Without a licence the four columns, which replace others of these
+    names, are null. Null and empty texts have no licence of their own; null paths inherit
+    none and are no licence files. Texts of any length are compared as a whole. Repeated rows
+    are told each; the verdict of a text is found once. An empty table gives an empty table;
+    other columns are kept, whatever their names.
     """
+    weights = Weights(templates, least)
     a, b, is_file, folder, va, vb, header, best_any, mine_, kd, given = fresh(files, "_a", "_b", "_is_file", "_folder", "_va", "_vb", "_header", "_any", "_mine", "_kd", "_given")
     made = ["licence", "licence_score", "licence_via", "licence_from"]
     own = [c for c in files.columns if c != text_col and c.lower() not in made]
     path, text = col(path_col), col(text_col)
     rows = files.select(*[col(c) for c in own], F.xxhash64(text).alias(a), F.xxhash64(F.lit(7), text).alias(b), F.coalesce(path.rlike(LICENCE_FILE), F.lit(False)).alias(is_file), _directory(path).alias(folder))
     texts = files.where(text.isNotNull()).select(F.xxhash64(text).alias("a"), F.xxhash64(F.lit(7), text).alias("b"), text.alias("text"), F.coalesce(path.rlike(LICENCE_FILE), F.lit(False)).alias("whole"))
-    lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(SPEAKS))
-    # Only texts that speak of a licence at all are cut into lines.
-    said = texts.where(F.col("text").rlike(SPEAKS)).select("a", "b", F.lit("header").alias("via"), F.explode(F.array_distinct(lines)).alias("unit"))
-    said = said.unionByName(texts.where("whole").select("a", "b", F.lit("file").alias("via"), F.col("text").alias("unit")))
+    sign = F.lit(weights.signs)
+    # Only texts and blocks that can have a licence in them are cut into runs of lines.
+    signed = texts.where(F.rlike("text", sign))
+    blocks = signed.select("a", "b", F.explode(F.array_distinct(F.split("text", BETWEEN))).alias("block")).where(F.rlike("block", sign) & weights.possible(F.col("block")))
+    said = blocks.select("a", "b", F.explode(F.array_distinct(_runs(F.col("block")))).alias("unit")).where(F.rlike("unit", sign)).where(weights.possible(F.col("unit")))
+    said = said.select("a", "b", F.lit("header").alias("via"), "unit").unionByName(signed.where("whole").select("a", "b", F.lit("file").alias("via"), F.col("text").alias("unit")))
     said = materialize(said.select("a", "b", "via", F.concat(F.hex(F.xxhash64("unit")), F.hex(F.xxhash64(F.lit(7), "unit"))).alias("u"), "unit"))
     units = said.groupBy("u").agg(F.first("unit").alias("unit"))
-    found = unit_verdicts(units, templates, least).select(F.concat(F.lit("u:"), "u").alias("ku"), "best")
+    found = unit_verdicts(units, templates, weights, least).select(F.concat(F.lit("u:"), "u").alias("ku"), "best")
     verdict = said.select("a", "b", "via", "u").join(found, F.concat(F.lit("u:"), "u") == F.col("ku"))
     top = F.max(F.struct("best.score", "best.licence", "via"))
     verdict = verdict.groupBy("a", "b").agg(F.max(F.when(F.col("via") == "header", F.struct("best.score", "best.licence", "via"))).alias("header"), top.alias("any"))

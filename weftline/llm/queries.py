@@ -174,15 +174,17 @@ ORACLE_SQL: dict[str, str] = {
         WITH f AS (SELECT doc_id, concat_ws('/', source, 'a' || (doc_id // 512), CASE WHEN doc_id % 512 < 64 THEN NULL ELSE 'b' || ((doc_id % 512) // 64) END,
                           CASE WHEN doc_id % 64 = 0 THEN 'LICENSE' ELSE 'f' || doc_id || '.txt' END) AS path, text FROM documents),
         d AS (SELECT *, regexp_matches(path, '{license_scan.LICENCE_FILE}') AS is_file, regexp_replace(path, '/?[^/]*$', '') AS folder FROM f),
-        l AS (SELECT DISTINCT text, 'header' AS via, unit FROM (SELECT text, unnest(string_split(text, chr(10))) AS unit FROM d) WHERE regexp_matches(unit, '{license_scan.SPEAKS}')),
-        s AS (SELECT text, via, unit FROM l UNION SELECT text, 'file', text FROM d WHERE is_file AND text IS NOT NULL),
-        u AS (SELECT DISTINCT unit FROM s), n AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM u),
+        bl AS (SELECT DISTINCT text, block FROM (SELECT text, unnest(regexp_split_to_array(text, '{license_scan.BETWEEN}')) AS block FROM d)),
+        ln AS (SELECT text, block, string_split(block, chr(10)) AS ls FROM bl),
+        rn AS (SELECT text, array_to_string(list_slice(ls, i, i + k - 1), chr(10)) AS unit FROM (SELECT text, ls, k, unnest(range(1, len(ls) - k + 2)) AS i FROM ln, (SELECT unnest(range(1, {license_scan.LINES} + 1)) AS k) WHERE len(ls) >= k)),
+        s AS (SELECT text, 'header' AS via, unit FROM rn UNION SELECT text, 'header', block FROM bl UNION SELECT text, 'file', text FROM d WHERE is_file AND text IS NOT NULL),
+        u AS (SELECT DISTINCT unit FROM s),
         tf AS (SELECT unit, term, 1 + ln(count(*)) AS tf FROM (SELECT unit, unnest(regexp_extract_all(lower(unit), '{license_scan.TERM}')) AS term FROM u) GROUP BY unit, term),
-        idf AS (SELECT term, 1 + ln((1 + (SELECT n FROM n)) / (1 + count(*))) AS idf FROM tf GROUP BY term),
-        t(i, licence, body) AS (VALUES {_TEMPLATES}),
+        t(i, licence, body) AS (VALUES {_TEMPLATES}), n AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM t),
         tt AS (SELECT i, term, 1 + ln(count(*)) AS w FROM (SELECT i, unnest(regexp_extract_all(lower(body), '{license_scan.TERM}')) AS term FROM t) GROUP BY i, term),
-        tn AS (SELECT i, sqrt(sum(power(w * coalesce(idf, 1 + ln(1 + (SELECT n FROM n))), 2))) AS norm FROM tt LEFT JOIN idf ON tt.term = idf.term GROUP BY i),
-        un AS (SELECT unit, sqrt(sum(power(tf * idf, 2))) AS norm FROM tf JOIN idf ON tf.term = idf.term GROUP BY unit),
+        idf AS (SELECT term, 1 + ln((1 + (SELECT n FROM n)) / (1 + count(*))) AS idf FROM tt GROUP BY term),
+        tn AS (SELECT i, sqrt(sum(power(w * idf, 2))) AS norm FROM tt JOIN idf ON tt.term = idf.term GROUP BY i),
+        un AS (SELECT unit, sqrt(sum(power(tf * coalesce(idf, 1 + ln(1 + (SELECT n FROM n))), 2))) AS norm FROM tf LEFT JOIN idf ON tf.term = idf.term GROUP BY unit),
         dot AS (SELECT unit, i, sum(tf * idf * w * idf) AS dot FROM tf JOIN idf ON tf.term = idf.term JOIN tt ON tf.term = tt.term GROUP BY unit, i),
         b AS (SELECT dot.unit, round(dot / (un.norm * tn.norm), 6) AS score, t.licence FROM dot JOIN un ON dot.unit = un.unit JOIN tn ON dot.i = tn.i JOIN t ON dot.i = t.i),
         b1 AS (SELECT unit, score, licence FROM (SELECT *, row_number() OVER (PARTITION BY unit ORDER BY score DESC, licence DESC) AS r FROM b) WHERE r = 1 AND score >= 0.6),
