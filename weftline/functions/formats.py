@@ -10,15 +10,20 @@ _AS = {"YYYY": "yyyy", "yyyy": "yyyy", "YY": "yy", "yy": "yy", "MMM": "MMM", "MO
 
 
 def spark_format(picture: str) -> str:
-    """MM after the hours, whatever stands between, is minutes; elsewhere the month."""
+    """MM after the hours, whatever stands between, is minutes; elsewhere the month. With AM or PM hours are of twelve."""
     out, hours, minutes = [], False, False
-    for part in _PART.findall(picture):
+    parts = _PART.findall(picture)
+    twelve = any(x in ("AM", "PM") for x in parts)
+    for part in parts:
         if part in ("MM", "mm"):
             if hours and not minutes or part == "mm":
                 out.append("mm")
                 minutes = True
             else:
                 out.append("MM")
+        elif part == "HH" and twelve:
+            out.append("hh")
+            hours = True
         elif part.startswith("FF"):
             out.append("S" * int(part[2:] or 3))
         else:

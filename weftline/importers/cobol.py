@@ -7,7 +7,7 @@ from collections import Counter
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
-from ..schema.spec import FieldSpec, RecordSpec, SchemaError, with_layout
+from ..schema.spec import FieldSpec, RecordSpec, SchemaError, total_width, with_layout
 
 _PICTURE = re.compile(r"(S?)((?:[9XANV](?:\(\d+\))?)+)$", re.I)
 
@@ -135,7 +135,7 @@ def _field(item: _Item, notes: list[str], view: str | None = None) -> FieldSpec:
         if usage in ("COMP-3", "PACKED-DECIMAL"):
             made = replace(made, encoding="packed")
         elif usage in ("COMP", "COMP-4", "COMP-5", "BINARY"):
-            made = replace(made, encoding=None, annotations=(("usage", "binary"),))
+            made = replace(made, encoding=None, annotations=(("usage", "binary"), *((("signed", "yes"),) if signed else ())))
         else:
             made = replace(made, encoding="ascii")
             if signed and item.has("SEPARATE"):
@@ -165,27 +165,22 @@ def _fields(items: list[_Item], notes: list[str], view: str | None = None) -> tu
     return tuple(out)
 
 
-def _bytes(f: FieldSpec) -> int:
-    notes = dict(f.annotations)
-    if f.fields:
-        n = sum(map(_bytes, f.fields))
-    elif f.type == "decimal" and f.encoding == "packed":
-        n = (f.args[0] + 2) // 2
-    elif f.type == "decimal" and notes.get("usage") == "binary":
-        n = 2 if f.args[0] <= 4 else 4 if f.args[0] <= 9 else 8
-    elif f.type == "string" and notes.get("charset"):
-        n = 2 * f.args[0]
-    else:
-        n = f.args[0] + ("sign" in notes)
-    for d in f.dims:
-        if not isinstance(d, int):
+def record_bytes(record: RecordSpec) -> int:
+    """Bytes of a record; a vector whose length another field tells has none."""
+    n = 0
+    for f in record.fields:
+        w = total_width(f)
+        if w is None:
             raise SchemaError(f"{f.name} has no fixed length")
-        n *= d
+        n += w
     return n
 
 
-def record_bytes(record: RecordSpec) -> int:
-    return sum(map(_bytes, record.fields))
+def _in_encoding(f: FieldSpec, encoding: str) -> FieldSpec:
+    """Text and digits of a field in the record's encoding; packed, binary and wide ones have their own."""
+    fields = tuple(_in_encoding(x, encoding) for x in f.fields)
+    plain = f.encoding == "ascii" or f.type == "string" and f.encoding is None
+    return replace(f, fields=fields, encoding=encoding if plain else f.encoding)
 
 
 def _redefining(item: _Item) -> list[str]:
@@ -193,9 +188,11 @@ def _redefining(item: _Item) -> list[str]:
     return own + [n for c in item.children for n in _redefining(c)]
 
 
-def import_cobol(text: str, copies: Callable[[str], str | None] | None = None, redefines: bool = False) -> list[RecordSpec]:
+def import_cobol(text: str, copies: Callable[[str], str | None] | None = None, redefines: bool = False, encoding: str | None = None) -> list[RecordSpec]:
     """A record for each top item of the copybook; ignored statements are in its notes.
 
+    encoding (ascii or ebcdic) is that of text and unpacked digits in the records' files.
+
     copies gives the text of COPY members. Of REDEFINES the first layout stays; with
     redefines, a further record for each, named record__item, has the other in its place.
     """
@@ -208,8 +205,10 @@ def import_cobol(text: str, copies: Callable[[str], str | None] | None = None, r
     out = []
     for item in top:
         fields = _fields(item.children, notes) if item.children else (_field(item, notes),)
-        record = RecordSpec(_name(item.name), fields, comment="Generated from COBOL copybook", notes=tuple(notes))
-        out.append(with_layout(record))
+        record = RecordSpec(_name(item.name), fields, comment="from a COBOL copybook", notes=tuple(notes))
+        out.append(record)
         for name in _redefining(item) if redefines else ():
-            out.append(with_layout(replace(record, name=f"{record.name}__{name}", fields=_fields(item.children, [], name))))
-    return out
+            out.append(replace(record, name=f"{record.name}__{name}", fields=_fields(item.children, [], name)))
+    if encoding:
+        out = [replace(r, encoding=encoding, fields=tuple(_in_encoding(f, encoding) for f in r.fields)) for r in out]
+    return [with_layout(r) for r in out]

@@ -234,5 +234,5 @@ def import_hive(ddl: str, newline_field: bool = False) -> HiveTable:
     all_ = [*fields, *(replace(p, comment=f"{p.comment}, partition") for p in partitions)]
     if newline_field:
         all_.append(FieldSpec("newline", "string", delimiter="\n"))
-    record = with_layout(RecordSpec(name, tuple(all_), comment=f"Generated from Hive Table: {name}"))
+    record = with_layout(RecordSpec(name, tuple(all_), comment=f"from Hive table {name}"))
     return HiveTable(name, record, stored, delimiter, tuple(p.name for p in partitions), location, d.renames)

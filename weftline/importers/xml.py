@@ -44,20 +44,20 @@ def _sampled(nodes: list[ET.Element], name: str) -> FieldSpec:
     """The field that all these elements of one name fit."""
     attributes = dict.fromkeys(_local(k) for n in nodes for k in n.attrib)
     children = dict.fromkeys(_local(c.tag) for n in nodes for c in n)
-    comment = f"Mapping for the '{name}' element"
+    comment = f"element {name}"
     if not attributes and not children:
         return _scalar(name, [n.text or "" for n in nodes], comment)
     fields = []
     for a in attributes:
         values = [v for n in nodes for k, v in n.attrib.items() if _local(k) == a]
-        fields.append(_scalar(a if a not in children else f"{a}_attr", values, f"Mapping for the '{a}' attribute"))
+        fields.append(_scalar(a if a not in children else f"{a}_attr", values, f"attribute {a} of {name}"))
     for c in children:
         found = [[x for x in n if _local(x.tag) == c] for n in nodes]
         f = _sampled([x for xs in found for x in xs], c)
         fields.append(replace(f, dims=(None,)) if max(map(len, found)) > 1 else f)
     texts = [(n.text or "") for n in nodes]
     if not children and any(t.strip() for t in texts):
-        fields.append(_scalar("_value", texts, f"Text of the '{name}' element"))
+        fields.append(_scalar("_value", texts, f"text of {name}"))
     return FieldSpec(name, "record", fields=tuple(fields), comment=comment)
 
 
@@ -156,4 +156,4 @@ def import_xml(text: str) -> tuple[RecordSpec, str]:
     else:
         f, mode = _sampled([root], _local(root.tag)), "sample"
     fields = f.fields if f.type == "record" else (f,)
-    return with_layout(RecordSpec(f.name, fields, encoding="utf8", comment="Generated from XML")), mode
+    return with_layout(RecordSpec(f.name, fields, encoding="utf8", comment="from an XML sample or schema")), mode

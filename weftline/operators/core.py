@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..expr import ExprError, Lowering, compile_assignments, compile_expression, parse_expression
-from ..expr.parser import Call, Lit, Parser, Ref
+from ..expr.parser import Call, If, Lit, Parser, Ref
 from ..functions.registry import AGGREGATES, RANKS
 
 
@@ -149,13 +149,21 @@ def lookup(df: DataFrame, table: DataFrame, key: str | list[str], match: str = "
 
 
 def parse_aggregates(text: str) -> list[tuple[str, Any]]:
-    """(alias, call) of `fn(expression):alias, ...`; the alias is fn_column if it isn't given."""
+    """(alias, call) of `fn(expression) filter (where condition):alias, ...`; the alias is fn_column if it isn't given."""
     p, out = Parser(text), []
     while p.tokens[p.i].kind != "end":
-        call = p.expression()
+        call, condition = p.expression(), None
+        if p.take("filter"):
+            p.need("(")
+            p.need("where")
+            condition = p.expression()
+            p.need(")")
         alias = p.name() if p.take(":") or p.take("as") else None
         if not isinstance(call, Call):
             raise OperatorError(f"{text!r}: an aggregate must be a call")
+        if condition is not None:
+            args = (Lit(1),) if not call.args or call.args[0] == Lit("*") else call.args
+            call = Call(call.name, (If(((condition, args[0]),), Lit(None)), *args[1:]))
         if alias is None:
             arg = call.args[0] if call.args else None
             alias = f"{call.name}_{arg.path[-1]}" if isinstance(arg, Ref) else call.name
@@ -187,10 +195,12 @@ def _with_aggregates(tree: Any, hidden: list[tuple[str, Call]]) -> Any:
     return tuple(_with_aggregates(x, hidden) for x in tree) if isinstance(tree, tuple) else tree
 
 
-def rollup(df: DataFrame, group_by: str | list[str] | None = None, aggregates: str | None = None, having: str | None = None, sets: str | None = None) -> DataFrame:
+def rollup(df: DataFrame, group_by: str | list[str] | None = None, aggregates: str | None = None, having: str | None = None, sets: str | None = None, pivot: str | None = None) -> DataFrame:
     """Grouped aggregates; without any the count of rows; without keys one row.
 
-    Arguments are expressions, and having may name aggregates. sets: rollup or cube.
+    Arguments are expressions, and having may name aggregates. sets: rollup or cube. pivot
+    is `column: value, value`: a column for each of the values, or for each value and
+    aggregate, named value or value_alias.
     """
     keys = _existing(df, names_of(group_by), "group by")
     wanted = parse_aggregates(aggregates) if aggregates else [("count", Call("count", (Lit("*"),)))]
@@ -201,6 +211,11 @@ def rollup(df: DataFrame, group_by: str | list[str] | None = None, aggregates: s
     if sets not in (None, "rollup", "cube"):
         raise OperatorError(f"grouping sets {sets!r} are neither rollup nor cube")
     grouped = df.rollup(*keys) if sets == "rollup" else df.cube(*keys) if sets == "cube" else df.groupBy(*keys)
+    if pivot:
+        name, _, values = pivot.partition(":")
+        if tree is not None or not names_of(values):
+            raise OperatorError("a pivot needs the values that become columns, and takes no having")
+        grouped = grouped.pivot(_existing(df, [name.strip()], "pivot")[0], names_of(values))
     out = grouped.agg(*columns)
     if tree is not None:
         out = out.filter(compile_expression(tree, out)).select(*keys, *[n for n, _ in wanted])

@@ -7,7 +7,7 @@ import logging
 import shlex
 import subprocess
 import time
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import asdict, dataclass, field
 from datetime import datetime
@@ -153,7 +153,7 @@ def _match(inputs: dict[str, DataFrame], p: Mapping[str, str], c: Context) -> Da
 
 @operator("Rollup", "Aggregate")
 def _rollup(inputs: dict[str, DataFrame], p: Mapping[str, str], c: Context) -> DataFrame:
-    return core.rollup(_one(inputs), _first(p, "group_by", "key"), p.get("aggregates"), p.get("having"), p.get("sets"))
+    return core.rollup(_one(inputs), _first(p, "group_by", "key"), p.get("aggregates"), p.get("having"), p.get("sets"), p.get("pivot"))
 
 
 @operator("DenormalizeSorted", "Denormalize")
@@ -240,14 +240,51 @@ def _two(inputs: dict[str, DataFrame], first: tuple[str, ...], second: tuple[str
 
 
 SINKS = {"outputfile", "output", "trash", "runprogram"}
+#: Operators that write what they pass on.
+STORES = {"intermediatefile"}
+_FILE = "filename path file_format format delimiter has_header"
+_KEYED, _FRAME = "key group_by", "window_partition window_order window_range requires_window"
+#: Settings that any operator may have, and those of each; own operators take what they like.
+COMMON = set("schema description comment label".split())
+SETTINGS = {
+    name: COMMON | set(known.split())
+    for names, known in {
+        "inputfile input lookupfile": f"{_FILE} stream watermark delay is_lookup key",
+        "outputfile output": f"{_FILE} mode partition_by partitionBy coalesce repartition",
+        "intermediatefile": f"{_FILE} mode",
+        "trash replicate": "",
+        "runprogram": "command program",
+        "reformat": f"transform_file transform {_FRAME}",
+        "filter filterbyexpression": "condition transform_file",
+        "join": "join_key on key join_type how condition suffix broadcast left_input right_input",
+        "lookup": "key lookup_key join_key match sort_by suffix lookup_file",
+        "matchsorted": "key on suffix",
+        "rollup aggregate": f"{_KEYED} aggregates having sets pivot",
+        "denormalizesorted denormalize": f"{_KEYED} collect sort_by alias",
+        "scan": "key partition_by sort_by aggregates range chunks",
+        "sort": "key sort_by order",
+        "sortwithingroups": "group_by group sort_by key global",
+        "dedupsorted dedup": "key which keep sort_by",
+        "gather": "",
+        "concatenate": "ordered",
+        "intersect except union": "distinct",
+        "normalize": "array_field explode item_alias outer with_index flatten",
+        "limit topk": "n key order",
+        "sample": "fraction seed",
+    }.items()
+    for name in names.split()
+}
 
 
 class Engine:
-    """A graph with its schemas and transforms. bind() is lazy; run() runs the sinks."""
+    """A graph with its schemas and transforms. bind() is lazy; run() runs the sinks.
 
-    def __init__(self, graph: Graph, schemas: dict[str, RecordSpec] | None = None, blocks: dict[str, Block] | None = None, clock: datetime | None = None, conform: bool = True, allow_programs: bool = False):
+    strict: settings that an operator doesn't know are errors, else warnings of the report.
+    """
+
+    def __init__(self, graph: Graph, schemas: dict[str, RecordSpec] | None = None, blocks: dict[str, Block] | None = None, clock: datetime | None = None, conform: bool = True, allow_programs: bool = False, strict: bool = True):
         self.graph, self.schemas, self.blocks = graph, schemas or {}, blocks or {}
-        self.clock, self.conform, self.allow_programs = clock, conform, allow_programs
+        self.clock, self.conform, self.allow_programs, self.strict = clock, conform, allow_programs, strict
 
     @classmethod
     def from_text(cls, graph: str, schemas: str = "", transforms: str = "", params: Mapping[str, str] | None = None, **more: Any) -> Engine:
@@ -276,8 +313,10 @@ class Engine:
             found.append(str(why))
         for n in self.graph.nodes.values():
             kind = n.type.lower()
-            if kind not in REGISTRY and kind not in SINKS | {"intermediatefile"}:
+            if kind not in REGISTRY and kind not in SINKS | STORES:
                 found.append(f"{n.id}: no operator {n.type!r}")
+            if self.strict:
+                found += self._unknown(n)
             if kind not in ("inputfile", "input", "lookupfile", "runprogram") and not self.graph.inputs(n.id):
                 found.append(f"{n.id}: {n.type} has no input")
             context = Context(None, self.schemas, self.blocks)  # type: ignore[arg-type]
@@ -289,12 +328,23 @@ class Engine:
                         found.append(f"{n.id}: {why}")
         return found
 
+    def _unknown(self, node) -> list[str]:
+        known = SETTINGS.get(node.type.lower())
+        return [f"{node.id}: {node.type} has no setting {k!r}" for k in node.props if known is not None and k not in known and not k.startswith("option.")]
+
     def bind(self, spark: SparkSession, overrides: Mapping[str, DataFrame] | None = None, context: Context | None = None) -> dict[str, DataFrame]:
-        """The DataFrame of each node, sinks excepted. overrides: DataFrames in place of nodes, by id or name."""
-        wrong = [x for x in self.validate()]
+        """The DataFrame of each node, sinks excepted, without running anything.
+
+        overrides: DataFrames in place of nodes, by id or name. An intermediate file passes
+        its input on; only run() writes it.
+        """
+        return self._bound(overrides, context or self.context(spark), lambda ident, df: df)
+
+    def _bound(self, overrides: Mapping[str, DataFrame] | None, c: Context, made: Callable[[str, DataFrame], DataFrame]) -> dict[str, DataFrame]:
+        """bind() in which made(node, its DataFrame) is what the node's successors see."""
+        wrong = self.validate()
         if wrong:
             raise GraphError("; ".join(wrong))
-        c = context or self.context(spark)
         out: dict[str, DataFrame] = {}
         for ident in self.graph.order():
             node = self.graph.nodes[ident]
@@ -306,14 +356,12 @@ class Engine:
             if kind == "runprogram":
                 continue
             inputs = self._inputs(ident, out)
-            if kind in SINKS:
-                out[ident] = _one(inputs)
-                continue
             try:
-                if kind == "intermediatefile":
-                    out[ident] = self._checkpoint(node.props, _one(inputs), c)
-                else:
-                    out[ident] = REGISTRY[kind](inputs, {**node.props, "__type": node.type}, c)
+                if kind in SINKS:
+                    out[ident] = _one(inputs)
+                    continue
+                df = _one(inputs) if kind in STORES else REGISTRY[kind](inputs, {**node.props, "__type": node.type}, c)
+                out[ident] = made(ident, df)
             except (ExprError, ParseError, SchemaError, OperatorError, GraphError) as why:
                 raise GraphError(f"{ident} ({node.name}): {why}") from why
             except KeyError as why:
@@ -344,32 +392,38 @@ class Engine:
             except PySparkException as why:
                 raise GraphError(f"an unnamed intermediate file needs a checkpoint folder: {why}") from why
         fmt = _first(props, "file_format", "format", default="parquet")
-        files.write(df, path, fmt)
+        files.write(df, path, fmt, props.get("mode", "overwrite"))
         return c.spark.read.schema(df.schema).format(fmt).load(path)
 
     def run(self, spark: SparkSession, overrides: Mapping[str, DataFrame] | None = None, outputs: Mapping[str, str] | None = None, retries: int = 0, parallel: int = 1, persist: bool = True) -> RunReport:
         """Runs every sink. outputs: paths in place of those of sinks, by id or name.
 
-        A node that feeds several sinks is kept in memory and on disk until all have run.
+        Each node is bound once, and an intermediate file is written once. A node that feeds
+        several sinks is kept in memory and on disk until all have run. How many files a sink
+        writes is left to the plan unless it has coalesce or repartition; DOP is a hint for
+        other engines.
         Sinks run one after another or up to `parallel` at once; a failed overwrite is
         tried again up to `retries` times, an append never is.
         """
         c = self.context(spark)
         report = RunReport(self.graph.name, self.graph.order())
         kept: list[DataFrame] = []
-        over = dict(overrides or {})
-        if persist:
-            bound = self.bind(spark, over, c)
-            for ident in report.order:
-                node = self.graph.nodes[ident]
-                if ident in bound and self._sinks_below(ident) > 1 and len(self.graph.successors(ident)) > 1 and node.type.lower() not in ("inputfile", "input", "lookupfile", "intermediatefile", "replicate"):
-                    bound = self.bind(spark, over, self.context(spark)) if kept else bound
-                    over[ident] = bound[ident].persist(StorageLevel.MEMORY_AND_DISK)
-                    kept.append(over[ident])
-                    report.persisted.append(ident)
-        bound = self.bind(spark, over, c)
+        sources = ("inputfile", "input", "lookupfile", "replicate")
+
+        def made(ident: str, df: DataFrame) -> DataFrame:
+            kind = self.graph.nodes[ident].type.lower()
+            if kind in STORES:
+                return self._checkpoint(self.graph.nodes[ident].props, df, c)
+            if persist and kind not in sources and self._sinks_below(ident) > 1 and len(self.graph.successors(ident)) > 1:
+                df = df.persist(StorageLevel.MEMORY_AND_DISK)
+                kept.append(df)
+                report.persisted.append(ident)
+            return df
+
+        bound = self._bound(overrides, c, made)
         report.passed_through = sorted(set(c.notes))
         report.warnings = [f"function {n} is Spark's own" for n in report.passed_through if n not in FUNCTIONS]
+        report.warnings += [x for n in self.graph.nodes.values() for x in self._unknown(n)]
 
         def one(ident: str) -> None:
             node, began = self.graph.nodes[ident], time.monotonic()
@@ -413,8 +467,7 @@ class Engine:
             path = outputs.get(node.id, outputs.get(node.name)) or _first(p, "filename", "path")
             if path is None and not _options(p):
                 raise GraphError(f"{node.id}: a sink needs a filename or options")
-            dop = self.graph.params.get("DOP")
-            count = _first(p, "coalesce", default=dop)
+            count = p.get("coalesce")
             files.write(df, path, _first(p, "file_format", "format", default="parquet"), p.get("mode", "overwrite"), names_of(_first(p, "partition_by", "partitionBy")), int(count) if count else None, int(p["repartition"]) if p.get("repartition") else None, p.get("delimiter"), _flag(p.get("has_header")), _options(p))
 
     def explain(self, spark: SparkSession, overrides: Mapping[str, DataFrame] | None = None) -> dict[str, str]:

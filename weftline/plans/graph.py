@@ -221,12 +221,18 @@ def downstream_frame(edges: DataFrame, start: Iterable[str] | None = None, max_r
     found = steps.select(F.col("s").alias("origin"), F.col("t").alias("reached"))
     if start is not None:
         found = found.where(F.col("origin").isin(list(start)))
-    n = found.count()
+    n, kept = found.count(), None
     for _ in range(max_rounds):
         more = found.join(steps, found["reached"] == steps["s"]).select("origin", F.col("t").alias("reached"))
         found = found.unionByName(more).where("origin <> reached").distinct()
-        found = found.checkpoint() if edges.sparkSession.sparkContext.getCheckpointDir() else found.cache()
+        if edges.sparkSession.sparkContext.getCheckpointDir():
+            found, before = found.checkpoint(), None
+        else:
+            found, before = found.cache(), kept
+            kept = found
         now = found.count()
+        if before is not None:
+            before.unpersist()
         if now == n:
             return found
         n = now

@@ -61,7 +61,7 @@ class RecordSpec:
         return next(f for f in self.fields if f.name == name)
 
 
-#: Bytes of types whose width isn't an argument; of text, pictures and packed numbers see width().
+#: Bytes of types whose width isn't an argument; of text, pictures, packed and binary numbers see width().
 WIDTHS = {"integer": 4, "long": 8, "float": 4, "double": 8, "boolean": 1, "date": 10, "datetime": 19}
 
 
@@ -75,9 +75,15 @@ def width(f: FieldSpec) -> int | None:
     if f.type == "decimal":
         if not f.args:
             return None
-        return f.args[0] // 2 + 1 if f.encoding == "packed" else f.args[0]
+        notes, n = dict(f.annotations), f.args[0]
+        if f.encoding == "packed":
+            return n // 2 + 1
+        if notes.get("usage") == "binary":
+            return 2 if n <= 4 else 4 if n <= 9 else 8
+        return n + ("sign" in notes)  # a sign of its own is a character more
     if f.type in ("string", "binary"):
-        return f.args[0] if f.args else None
+        wide = dict(f.annotations).get("charset") == "UTF-16BE"
+        return f.args[0] * (2 if wide else 1) if f.args else None
     if f.type in ("date", "datetime") and f.format:
         return len(f.format)
     return f.args[0] if f.args else WIDTHS.get(f.type)
@@ -169,13 +175,18 @@ def struct_type(fields: tuple[FieldSpec, ...] | RecordSpec, lossy: bool = False)
 
 
 def resolve(schemas: dict[str, RecordSpec], name: str) -> RecordSpec:
-    """By exact name, then without suffix, then the first declared that begins with it, then any that it begins with."""
+    """By exact name, then without suffix, then the one that begins with it, then the one that it begins with.
+
+    Several that begin alike are an error: which is meant can't be told.
+    """
     if name in schemas:
         return schemas[name]
     stem = name.rsplit(".", 1)[0] if "." in name else name
     if stem in schemas:
         return schemas[stem]
-    for found in ([s for n, s in schemas.items() if n.lower().startswith(stem.lower())], [s for n, s in schemas.items() if stem.lower().startswith(n.lower())]):
+    for found in ([n for n in schemas if n.lower().startswith(stem.lower())], [n for n in schemas if stem.lower().startswith(n.lower())]):
+        if len(found) > 1:
+            raise SchemaError(f"schema {name!r} may be any of {', '.join(found)}")
         if found:
-            return found[0]
+            return schemas[found[0]]
     raise SchemaError(f"no schema {name!r} among {', '.join(schemas) or 'none'}")

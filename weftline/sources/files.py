@@ -30,8 +30,9 @@ def read(spark: SparkSession, path: str | None, fmt: str = "parquet", schema: T.
         return read_fixed(spark, path, _need(record, fmt))
     if fmt in ("mainframe", "ebcdic", "cobol"):
         return mainframe.read_mainframe(spark, path, _need(record, fmt))
+    corrupt = {k: (options or {}).get(k) for k in ("mode", "columnNameOfCorruptRecord")}
     if fmt == "mixed":
-        return read_mixed(spark, path, _need(record, fmt))
+        return read_mixed(spark, path, _need(record, fmt), corrupt["mode"] or "permissive", corrupt["columnNameOfCorruptRecord"])
     if fmt in DELIMITED and record is not None:
         return read_delimited(spark, path, record, delimiter, header)
     reader = spark.read.options(**{k: str(v) for k, v in (options or {}).items()})
@@ -117,10 +118,17 @@ def _moved(f: FieldSpec, by: int) -> FieldSpec:
     return replace(f, offset=(f.offset or 0) + by)
 
 
-def read_mixed(spark: SparkSession, path: str, record: RecordSpec) -> DataFrame:
-    """Lines in which some fields have a width and others each their own delimiter, by one anchored pattern."""
+def read_mixed(spark: SparkSession, path: str, record: RecordSpec, mode: str = "permissive", corrupt_column: str | None = None) -> DataFrame:
+    """Lines in which some fields have a width and others each their own delimiter, by one anchored pattern.
+
+    A line that doesn't fit is a row of NULLs, with the line itself in corrupt_column if that
+    is named (permissive), or fails the job (failfast).
+    """
     import re
 
+    if mode.lower() not in ("permissive", "failfast"):
+        raise SchemaError(f"mode {mode!r} is neither permissive nor failfast")
+
     fields = [f for f in record.fields if f.name != "newline"]
     pattern = "^"
     for i, f in enumerate(fields):
@@ -138,19 +146,27 @@ def read_mixed(spark: SparkSession, path: str, record: RecordSpec) -> DataFrame:
             pattern += f"(.{{{width(f)}}})"
     pattern += "$"
     value = F.col("value")
-    rows = spark.read.text(path).where(value.rlike(pattern))
+    fits = value.rlike(pattern)
+    if mode.lower() == "failfast":
+        fits = F.coalesce(fits, F.lit(False)) | F.raise_error(F.concat(F.lit(f"a line doesn't fit {record.name}: "), value)).cast("boolean")
     made = []
     for i, f in enumerate(fields):
-        c = F.regexp_extract(value, pattern, i + 1)
+        c = F.when(fits, F.regexp_extract(value, pattern, i + 1))
         made.append(parsed(F.rtrim(c) if f.delimiter is None and f.type == "string" else c, f).alias(f.name))
-    return conditioned(rows.select(*made), record)
+    if corrupt_column:
+        made.append(F.when(~fits, value).alias(corrupt_column))
+    return conditioned(spark.read.text(path).select(*made), record)
 
 
 MODES = {"overwrite", "append", "ignore", "error", "errorifexists"}
 
 
 def write(df: DataFrame, path: str | None, fmt: str = "parquet", mode: str = "overwrite", partition_by: list[str] | None = None, coalesce: int | None = None, repartition: int | None = None, delimiter: str | None = None, header: bool = False, options: Mapping[str, Any] | None = None) -> None:
-    """Writes files. Appends are coalesced and never shuffled for the number of files."""
+    """Writes files, as many as the plan has partitions unless coalesce or repartition say so.
+
+    Appends are coalesced and never shuffled for the number of files. Format mainframe needs
+    a record as an option.
+    """
     if mode not in MODES:
         raise SchemaError(f"mode {mode!r} is none of {', '.join(sorted(MODES))}")
     if repartition and mode != "append":
