@@ -63,6 +63,8 @@ TEMPLATES = [
     ("CC-BY-4.0", "Creative Commons Attribution 4.0 International"),
     ("Unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
 ]
+# English words that say nothing about a licence; they are no terms.
+STOP = "a all an and any are as at be but by can do each for from had has have he her his how if in into is it its may more no nor not of on only or other our out shall she so some such than that the their them then there these they this those to under until up upon was way we were what when where which while who whom whose will with within without would you your".split()
 #: Names of licence files, before a dot or the end.
 LICENCE_FILE = r"(?i)(^|/)(licen[cs]e|copying|unlicense)(\.[^/]*)?$"
 #: A term: letters and digits, with further numbers after points, as in 4.0.
@@ -77,10 +79,27 @@ def _terms(c: Column) -> Column:
     return F.regexp_extract_all(F.lower(c), F.lit(TERM), F.lit(0))
 
 
+def _once(df: DataFrame, name: str, c: Column) -> DataFrame:
+    """df with a column that is worked out once for each row, not again wherever a projection names it."""
+    return df.select("*", F.explode(F.array(c)).alias(name))
+
+
 def _directory(path: Column) -> Column:
     return F.regexp_replace(path, r"/?[^/]*$", "")
 
 
+def _any_of(words: list[str]) -> str:
+    """A pattern for any of these words as a tree of their letters, so that few alternatives are tried at a place."""
+    below: dict[str, list[str]] = {}
+    for w in words:
+        if w:
+            below.setdefault(w[0], []).append(w[1:])
+    parts = [regex.escape(c) + _any_of(rest) for c, rest in sorted(below.items())]
+    if not parts:
+        return ""
+    return "(?:" + "|".join(parts) + ")" + ("?" if "" in words else "")
+
+
 class Weights:
     """What follows from the templates: the weight of each term in each, and what a unit needs to be near one.
 
@@ -89,21 +108,21 @@ class Weights:
     """
 
     def __init__(self, templates: list[tuple[str, str]], least: float):
-        counts = [Counter(regex.findall(TERM, text.lower())) for _, text in templates]
+        counts = [Counter(t for t in regex.findall(TERM, text.lower()) if t not in STOP) for _, text in templates]
         df = Counter(t for c in counts for t in c)
         self.idf = {t: 1 + log((1 + len(counts)) / (1 + n)) for t, n in df.items()}
         self.rare = 1 + log(1 + len(counts))
         self.vectors, self.needed, signs = [], [], set()
-        for c in counts:
+        bound = (least - 1e-6) ** 2
+        for c in sorted(counts, key=len):
             w = {t: (1 + log(n)) * self.idf[t] for t, n in c.items()}
             norm = sqrt(sum(x * x for x in w.values()))
             w = {t: x / norm for t, x in w.items()}
-            self.vectors.append(w)
             # A unit's cosine is at most the length of the part of the template that it shares:
-            # so it has one of the terms that are left when the most common ones, as long as
-            # they are too short together, are taken away, and at least so many terms in all.
-            bound, gone, left = (least - 1e-6) ** 2, 0.0, set(w)
-            for t in sorted(w, key=lambda t: (-df[t], t)):
+            # so it has one of the terms that are left when others, too short together, are
+            # taken away (signs of other templates last), and at least so many terms in all.
+            gone, left = 0.0, set(w)
+            for t in sorted(w, key=lambda t: (t in signs, -df[t], t)):
                 if gone + w[t] ** 2 >= bound:
                     break
                 gone += w[t] ** 2
@@ -115,20 +134,58 @@ class Weights:
                     break
                 total, n = total + x * x, n + 1
             self.needed.append((sorted(w), n))
+        for c in counts:
+            w = {t: (1 + log(n)) * self.idf[t] for t, n in c.items()}
+            norm = sqrt(sum(x * x for x in w.values()))
+            self.vectors.append({t: x / norm for t, x in w.items()})
         #: A unit without one of these is below `least` for every template.
-        self.signs = r"(?iu)(?<![\p{L}\p{N}])(?:" + "|".join(regex.escape(t) for t in sorted(signs)) + r")(?![\p{L}\p{N}])"
-
-    def possible(self, unit: Column) -> Column:
-        """Whether a unit can reach `least` at all."""
-        has = F.array_distinct(_terms(unit))
-        enough = F.array(*[F.struct(F.array(*map(F.lit, t)).alias("t"), F.lit(n).alias("n")) for t, n in self.needed])
-        return F.exists(enough, lambda x: F.size(F.array_intersect(has, x["t"])) >= x["n"])
+        self.signs = r"(?iu)(?<![\p{L}\p{N}])" + _any_of(sorted(signs)) + r"(?![\p{L}\p{N}])"
+        # Nor is its cosine more than the share that terms of templates have in its own length: of
+        # o occurrences of k such terms at most k * (1 + ln(o / k))^2 * top^2, and rare^2 for each other.
+        self.room = (max(self.idf.values()) / self.rare) ** 2 * (1 / bound - 1)
+
+    def _reaches(self, unknown: Column, k: Column, o: Column) -> Column:
+        return (k > 0) & (unknown <= k * F.pow(1 + F.log(o / F.greatest(k, F.lit(1))), F.lit(2.0)) * self.room + 1e-6)
+
+    def possible(self, units: DataFrame) -> DataFrame:
+        """Those of units(.., unit) that can reach `least`."""
+        terms = _once(units, "_t", _terms(F.col("unit")))
+        terms = _once(terms, "_known", F.array_intersect("_t", F.lit(sorted(self.idf))))
+        k, o = F.size("_known"), F.size(F.filter("_t", lambda x: F.array_contains(F.col("_known"), x)))
+        terms = _once(terms.where(k > 0), "_s", F.struct((F.size(F.array_except("_t", F.lit(STOP))) - k).alias("u"), k.alias("k"), o.alias("o")))
+        terms = terms.where(self._reaches(F.col("_s.u"), F.col("_s.k"), F.col("_s.o")))
+        enough = F.array(*[F.struct(F.lit(t).alias("t"), F.lit(n).alias("n")) for t, n in self.needed])
+        return terms.where(F.exists(enough, lambda x: F.size(F.array_intersect(F.col("_known"), x["t"])) >= x["n"])).select(*units.columns)
+
+    def runs(self, blocks: DataFrame) -> DataFrame:
+        """(a, b, unit): runs of 1 to LINES neighbouring lines of blocks(a, b, block), and whole blocks, that can reach `least`.
+
+        What a run has is told by its lines: it has as many terms of templates as these
+        together at most, and as many others as one of them at least.
+        """
+        df = _once(blocks.select("a", "b", F.split("block", "\n").alias("_l")), "_t", F.transform("_l", _terms))
+        df = _once(df, "_k", F.transform("_t", lambda t: F.array_intersect(t, F.lit(sorted(self.idf)))))
+        each = F.zip_with("_t", "_k", lambda t, k: F.struct((F.size(F.array_except(t, F.lit(STOP))) - F.size(k)).alias("u"), F.size(k).alias("k"), F.size(F.filter(t, lambda x: F.array_contains(k, x))).alias("o")))
+        df = _once(df, "_s", each)
+        n = F.size("_s")
+
+        def starts(length: int) -> Column:
+            some = F.when(n >= length, F.sequence(F.lit(1), n - length + 1)).otherwise(F.array().cast("array<int>"))
+            return F.transform(some, lambda i: F.struct(i.alias("i"), F.lit(length).alias("n")))
+
+        spans = F.concat(*[starts(k) for k in range(1, LINES + 1)], F.array(F.struct(F.lit(1).alias("i"), n.alias("n"))))
+        df = df.select("a", "b", "_l", "_s", F.explode(F.array_distinct(spans)).alias("_r"))
+        part = F.slice("_s", F.col("_r.i"), F.col("_r.n"))
+        total = lambda name: F.aggregate(part, F.lit(0), lambda x, y: x + y[name])
+        most = F.struct(F.array_max(F.transform(part, lambda x: x["u"])).alias("u"), F.least(total("k"), F.lit(len(self.idf))).alias("k"), total("o").alias("o"))
+        df = _once(df, "_m", most).where(self._reaches(F.col("_m.u"), F.col("_m.k"), F.greatest("_m.o", "_m.k")))
+        return self.possible(df.select("a", "b", F.array_join(F.slice("_l", F.col("_r.i"), F.col("_r.n")), "\n").alias("unit")))
 
 
 def unit_verdicts(units: DataFrame, templates: list[tuple[str, str]], weights: Weights, least: float) -> DataFrame:
     """(u, best: score and licence) for each of units(u, unit) whose best cosine is at least `least`."""
     spark = units.sparkSession
-    tf = units.select("u", F.explode(_terms(F.col("unit"))).alias("term")).groupBy("u", "term").agg(F.count(F.lit(1)).alias("tf"))
+    tf = units.select("u", F.explode(_terms(F.col("unit"))).alias("term")).where(~F.col("term").isin(STOP)).groupBy("u", "term").agg(F.count(F.lit(1)).alias("tf"))
     rows = [(t, x, {i: v[t] for i, v in enumerate(weights.vectors) if t in v}) for t, x in sorted(weights.idf.items())]
     wanted = spark.createDataFrame(rows, "wt string, idf double, ws map<int,double>")  # as many rows as the templates have words
     weighed = tf.join(F.broadcast(wanted), F.col("term") == F.col("wt"), "left").select("u", ((1 + F.log("tf")) * F.coalesce("idf", F.lit(weights.rare))).alias("w"), "ws")
@@ -140,17 +197,6 @@ def unit_verdicts(units: DataFrame, templates: list[tuple[str, str]], weights: W
     return sums.select("u", best.alias("best")).where(F.col("best.score") >= least).select("u", "best")
 
 
-def _runs(block: Column) -> Column:
-    """The runs of 1 to LINES neighbouring lines of a block, and the whole block."""
-    lines = F.split(block, "\n")
-
-    def of(k: Column) -> Column:
-        starts = F.when(F.size(lines) >= k, F.sequence(F.lit(1), F.size(lines) - k + 1)).otherwise(F.array().cast("array<int>"))
-        return F.transform(starts, lambda i: F.array_join(F.slice(lines, i, k), "\n"))
-
-    return F.concat(F.flatten(F.transform(F.sequence(F.lit(1), F.lit(LINES)), of)), F.array(block))
-
-
 def scan(files: DataFrame, path_col: str = "path", text_col: str = "text", templates: list[tuple[str, str]] = TEMPLATES, least: float = 0.6) -> DataFrame:
     """files without their text, with licence, licence_score, licence_via and licence_from.
 
@@ -171,11 +217,12 @@ def scan(files: DataFrame, path_col: str = "path", text_col: str = "text", templ
     rows = files.select(*[col(c) for c in own], F.xxhash64(text).alias(a), F.xxhash64(F.lit(7), text).alias(b), F.coalesce(path.rlike(LICENCE_FILE), F.lit(False)).alias(is_file), _directory(path).alias(folder))
     texts = files.where(text.isNotNull()).select(F.xxhash64(text).alias("a"), F.xxhash64(F.lit(7), text).alias("b"), text.alias("text"), F.coalesce(path.rlike(LICENCE_FILE), F.lit(False)).alias("whole"))
     sign = F.lit(weights.signs)
-    # Only texts and blocks that can have a licence in them are cut into runs of lines.
+    # Only texts and blocks with a sign are cut, into runs of lines, and only runs that can
+    # have a licence are cut into terms.
     signed = texts.where(F.rlike("text", sign))
-    blocks = signed.select("a", "b", F.explode(F.array_distinct(F.split("text", BETWEEN))).alias("block")).where(F.rlike("block", sign) & weights.possible(F.col("block")))
-    said = blocks.select("a", "b", F.explode(F.array_distinct(_runs(F.col("block")))).alias("unit")).where(F.rlike("unit", sign)).where(weights.possible(F.col("unit")))
-    said = said.select("a", "b", F.lit("header").alias("via"), "unit").unionByName(signed.where("whole").select("a", "b", F.lit("file").alias("via"), F.col("text").alias("unit")))
+    blocks = signed.select("a", "b", F.explode(F.array_distinct(F.split("text", BETWEEN))).alias("block")).where(F.rlike("block", sign))
+    whole = weights.possible(signed.where("whole").select("a", "b", F.col("text").alias("unit")))
+    said = weights.runs(blocks).select("a", "b", F.lit("header").alias("via"), "unit").unionByName(whole.select("a", "b", F.lit("file").alias("via"), "unit"))
     said = materialize(said.select("a", "b", "via", F.concat(F.hex(F.xxhash64("unit")), F.hex(F.xxhash64(F.lit(7), "unit"))).alias("u"), "unit"))
     units = said.groupBy("u").agg(F.first("unit").alias("unit"))
     found = unit_verdicts(units, templates, weights, least).select(F.concat(F.lit("u:"), "u").alias("ku"), "best")

@@ -96,6 +96,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (op1_warc, op2_quality_rules, op3_packing, op4_language_id, op5_decontamination, op6_url_filters, op7_quality_cnn, op8_line_dedup, op9_license_scan, op10_simhash)
 }
 
+_STOP = ", ".join(f"'{x}'" for x in license_scan.STOP)
 _TEMPLATES = ", ".join("({}, '{}', '{}')".format(i, name, text.replace("'", "''")) for i, (name, text) in enumerate(license_scan.TEMPLATES))
 
 ORACLE_SQL: dict[str, str] = {
@@ -179,9 +180,9 @@ ORACLE_SQL: dict[str, str] = {
         rn AS (SELECT text, array_to_string(list_slice(ls, i, i + k - 1), chr(10)) AS unit FROM (SELECT text, ls, k, unnest(range(1, len(ls) - k + 2)) AS i FROM ln, (SELECT unnest(range(1, {license_scan.LINES} + 1)) AS k) WHERE len(ls) >= k)),
         s AS (SELECT text, 'header' AS via, unit FROM rn UNION SELECT text, 'header', block FROM bl UNION SELECT text, 'file', text FROM d WHERE is_file AND text IS NOT NULL),
         u AS (SELECT DISTINCT unit FROM s),
-        tf AS (SELECT unit, term, 1 + ln(count(*)) AS tf FROM (SELECT unit, unnest(regexp_extract_all(lower(unit), '{license_scan.TERM}')) AS term FROM u) GROUP BY unit, term),
+        tf AS (SELECT unit, term, 1 + ln(count(*)) AS tf FROM (SELECT unit, unnest(regexp_extract_all(lower(unit), '{license_scan.TERM}')) AS term FROM u) WHERE term NOT IN ({_STOP}) GROUP BY unit, term),
         t(i, licence, body) AS (VALUES {_TEMPLATES}), n AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM t),
-        tt AS (SELECT i, term, 1 + ln(count(*)) AS w FROM (SELECT i, unnest(regexp_extract_all(lower(body), '{license_scan.TERM}')) AS term FROM t) GROUP BY i, term),
+        tt AS (SELECT i, term, 1 + ln(count(*)) AS w FROM (SELECT i, unnest(regexp_extract_all(lower(body), '{license_scan.TERM}')) AS term FROM t) WHERE term NOT IN ({_STOP}) GROUP BY i, term),
         idf AS (SELECT term, 1 + ln((1 + (SELECT n FROM n)) / (1 + count(*))) AS idf FROM tt GROUP BY term),
         tn AS (SELECT i, sqrt(sum(power(w * idf, 2))) AS norm FROM tt JOIN idf ON tt.term = idf.term GROUP BY i),
         un AS (SELECT unit, sqrt(sum(power(tf * coalesce(idf, 1 + ln(1 + (SELECT n FROM n))), 2))) AS norm FROM tf LEFT JOIN idf ON tf.term = idf.term GROUP BY unit),
