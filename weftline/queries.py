@@ -3,19 +3,21 @@
 from __future__ import annotations
 
 import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .expr import parse_blocks
+from .importers import import_cobol, import_hive, import_xml
 from .operators import core
 from .plans.engine import Engine
-from .plans.graph import downstream_frame, edges_frame, parse_graph
+from .plans.graph import Catalog, downstream_frame, parse_graph
 from .schema.dml import parse_dml
 from .schema.spec import struct_type
 from .sources import files, mainframe
+from .sources.shared import shared_dir
+from .streaming import streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -45,14 +47,6 @@ def casts(df: DataFrame, **kinds: str) -> DataFrame:
     return df.select(*[F.col(c).cast(kinds[c]).alias(c) if c in kinds else F.col(c) for c in df.columns])
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new path in the folder that all executors share, removed when the JVM ends."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="weftline-")
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{base.rstrip('/')}/query-{uuid.uuid4().hex}")
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
-    return path.toString()
-
-
 # -- rows
 
 
@@ -110,29 +104,29 @@ def filter_block(spark, sf):
     return core.filter_rows(T(spark, sf, "customer"), block.condition).select("c_custkey", "c_acctbal")
 
 
-@query("""WITH c AS (SELECT c_custkey, nullif(c_mktsegment, 'BUILDING') AS seg FROM customer)
-    SELECT c_custkey, seg FROM c WHERE NOT (seg = 'MACHINERY') OR seg IS NULL AND c_custkey % 2 = 0""")
+@query("""WITH c AS (SELECT c_custkey, c_acctbal, nullif(c_mktsegment, 'BUILDING') AS seg FROM customer)
+    SELECT c_custkey, seg FROM c WHERE NOT (seg = 'MACHINERY') OR seg IS NULL AND c_acctbal < 0""")
 def filter_not_null_logic(spark, sf):
-    df = T(spark, sf, "customer").select("c_custkey", F.nullif("c_mktsegment", F.lit("BUILDING")).alias("seg"))
-    return core.filter_rows(df, "not (seg = 'MACHINERY') or is_null(seg) and mod(c_custkey, 2) = 0")
+    df = T(spark, sf, "customer").select("c_custkey", "c_acctbal", F.nullif("c_mktsegment", F.lit("BUILDING")).alias("seg"))
+    return core.filter_rows(df, "not (seg = 'MACHINERY') or is_null(seg) and c_acctbal < 0").drop("c_acctbal")
 
 
-@query("SELECT c_custkey FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY') AND c_name LIKE '%1%' AND c_acctbal BETWEEN 0 AND 5000 AND c_custkey NOT IN (1, 2)")
+@query("SELECT c_custkey FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY') AND c_name LIKE '%1%' AND c_acctbal BETWEEN 0 AND 5000 AND c_nationkey NOT IN (1, 2)")
 def filter_in_like_between(spark, sf):
-    return core.filter_rows(T(spark, sf, "customer"), "c_mktsegment in ('BUILDING', 'MACHINERY') and c_name like '%1%' and c_acctbal between 0 and 5000 and c_custkey not in (1, 2)").select("c_custkey")
+    return core.filter_rows(T(spark, sf, "customer"), "c_mktsegment in ('BUILDING', 'MACHINERY') and c_name like '%1%' and c_acctbal between 0 and 5000 and c_nationkey not in (1, 2)").select("c_custkey")
 
 
 # -- joins
 
 def _orders_customers(spark, sf):
-    c = T(spark, sf, "customer", "c_custkey", "c_name").withColumnRenamed("c_custkey", "o_custkey").where("o_custkey % 3 <> 0")
-    o = T(spark, sf, "orders", "o_orderkey", "o_custkey").where("o_custkey % 5 <> 0")
+    """Orders that aren't pending, and customers without debts: some of each have no match."""
+    c = T(spark, sf, "customer", "c_custkey", "c_name", "c_acctbal").where("c_acctbal >= 0").drop("c_acctbal").withColumnRenamed("c_custkey", "o_custkey")
+    o = T(spark, sf, "orders", "o_orderkey", "o_custkey", "o_orderstatus").where("o_orderstatus <> 'P'").drop("o_orderstatus")
     return o, c
 
 
-_OC = "WITH c AS (SELECT c_custkey AS o_custkey, c_name FROM customer WHERE c_custkey % 3 <> 0), o AS (SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey % 5 <> 0) "
+_OC = "WITH c AS (SELECT c_custkey AS o_custkey, c_name FROM customer WHERE c_acctbal >= 0), o AS (SELECT o_orderkey, o_custkey FROM orders WHERE o_orderstatus <> 'P') "
 for _name, _how, _sql in (
-    ("join_inner", "inner", "SELECT o.o_custkey, o_orderkey, c_name FROM o JOIN c ON o.o_custkey = c.o_custkey"),
     ("join_left", "left", "SELECT o.o_custkey, o_orderkey, c_name FROM o LEFT JOIN c ON o.o_custkey = c.o_custkey"),
     ("join_right", "right_outer", "SELECT c.o_custkey, o_orderkey, c_name FROM o RIGHT JOIN c ON o.o_custkey = c.o_custkey"),
     ("join_full", "full_outer", "SELECT coalesce(o.o_custkey, c.o_custkey) AS o_custkey, o_orderkey, c_name FROM o FULL JOIN c ON o.o_custkey = c.o_custkey"),
@@ -143,6 +137,18 @@ for _name, _how, _sql in (
     ORACLE_SQL[_name] = _OC + _sql
 
 
+@query("SELECT o_custkey, o_orderkey, o_totalprice, c_name, c_acctbal FROM orders JOIN customer ON o_custkey = c_custkey")
+def join_inner(spark, sf):
+    c = T(spark, sf, "customer", "c_custkey", "c_name", "c_acctbal").withColumnRenamed("c_custkey", "o_custkey")
+    return core.join(T(spark, sf, "orders", "o_custkey", "o_orderkey", "o_totalprice"), c, "o_custkey")
+
+
+@query("SELECT o_orderkey, o_orderpriority FROM orders WHERE EXISTS (SELECT * FROM lineitem WHERE l_orderkey = o_orderkey AND l_quantity > 45 AND l_shipdate > o_orderdate)")
+def join_exists(spark, sf):
+    o = T(spark, sf, "orders", "o_orderkey", "o_orderpriority", "o_orderdate")
+    return core.join(o, T(spark, sf, "lineitem", "l_orderkey", "l_quantity", "l_shipdate"), how="semi", on="l_orderkey = o_orderkey and l_quantity > 45 and l_shipdate > o_orderdate").drop("o_orderdate")
+
+
 @query("SELECT s.l_partkey, s.l_suppkey, s.n, t.q FROM (SELECT l_partkey, l_suppkey, count(*) AS n FROM lineitem GROUP BY 1, 2) s JOIN (SELECT l_partkey, l_suppkey, max(l_quantity) AS q FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1, 2) t ON s.l_partkey = t.l_partkey AND s.l_suppkey = t.l_suppkey")
 def join_composite(spark, sf):
     li = T(spark, sf, "lineitem")
@@ -156,15 +162,16 @@ def join_cross(spark, sf):
     return core.join(T(spark, sf, "region"), T(spark, sf, "nation", "n_nationkey", "n_name"), how="cross")
 
 
-@query("SELECT s_suppkey, c_custkey FROM supplier JOIN customer ON s_nationkey = c_nationkey AND c_acctbal > s_acctbal AND c_custkey < 200")
+@query("SELECT o_orderkey, l_linenumber, l_partkey FROM orders JOIN lineitem ON o_orderkey = l_orderkey AND l_shipdate > o_orderdate AND l_extendedprice * 4 > o_totalprice")
 def join_theta(spark, sf):
-    c = T(spark, sf, "customer", "c_custkey", "c_nationkey", "c_acctbal").where("c_custkey < 200")
-    return core.join(T(spark, sf, "supplier", "s_suppkey", "s_nationkey", "s_acctbal"), c, on="s_nationkey = c_nationkey and c_acctbal > s_acctbal").select("s_suppkey", "c_custkey")
+    li = T(spark, sf, "lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_shipdate", "l_extendedprice")
+    out = core.join(T(spark, sf, "orders", "o_orderkey", "o_orderdate", "o_totalprice"), li, on="o_orderkey = l_orderkey and l_shipdate > o_orderdate and l_extendedprice * 4 > o_totalprice")
+    return out.select("o_orderkey", "l_linenumber", "l_partkey")
 
 
-@query("SELECT s_suppkey, n_name FROM supplier LEFT JOIN nation ON s_nationkey = n_nationkey AND n_nationkey % 2 = 0")
+@query("SELECT s_suppkey, n_name FROM supplier LEFT JOIN nation ON s_nationkey = n_nationkey AND n_regionkey <> 1")
 def lookup_broadcast(spark, sf):
-    n = T(spark, sf, "nation", "n_nationkey", "n_name").where("n_nationkey % 2 = 0").withColumnRenamed("n_nationkey", "s_nationkey")
+    n = T(spark, sf, "nation", "n_nationkey", "n_name", "n_regionkey").where("n_regionkey <> 1").drop("n_regionkey").withColumnRenamed("n_nationkey", "s_nationkey")
     return core.lookup(T(spark, sf, "supplier", "s_suppkey", "s_nationkey"), n, "s_nationkey").drop("s_nationkey")
 
 
@@ -232,6 +239,17 @@ def rollup_sets(spark, sf):
     return core.rollup(T(spark, sf, "lineitem"), "l_returnflag, l_linestatus", "count(*):n", sets="rollup")
 
 
+@query("SELECT l_returnflag, round(sum(l_quantity) FILTER (WHERE l_linestatus = 'O'), 2) AS O, round(sum(l_quantity) FILTER (WHERE l_linestatus = 'F'), 2) AS F FROM lineitem GROUP BY 1")
+def rollup_pivot(spark, sf):
+    out = core.rollup(T(spark, sf, "lineitem"), "l_returnflag", "sum(l_quantity):q", pivot="l_linestatus: O, F")
+    return out.withColumns({c: F.round(c, 2) for c in ("O", "F")})
+
+
+@query("SELECT o_orderpriority, count(*) FILTER (WHERE o_totalprice > 200000) AS dear, max(o_totalprice) FILTER (WHERE o_orderstatus = 'F') AS top_done, count(*) AS n FROM orders GROUP BY 1")
+def rollup_filter_clause(spark, sf):
+    return core.rollup(T(spark, sf, "orders"), "o_orderpriority", "count(*) filter (where o_totalprice > 200000):dear, max(o_totalprice) filter (where o_orderstatus = 'F'):top_done, count(*):n")
+
+
 @query("SELECT o_custkey, array_to_string(list(CAST(o_orderkey AS VARCHAR) ORDER BY o_orderkey), ',') AS keys FROM orders GROUP BY 1")
 def denormalize_sorted(spark, sf):
     out = core.denormalize(T(spark, sf, "orders"), "o_custkey", "o_orderkey", sort_by="o_orderkey")
@@ -325,9 +343,9 @@ def set_intersect(spark, sf):
     return core.set_operation(T(spark, sf, "customer").select(F.col("c_nationkey").alias("k")), T(spark, sf, "supplier", "s_nationkey"), "intersect", distinct=True)
 
 
-@query("SELECT n_nationkey AS k FROM nation EXCEPT SELECT s_nationkey FROM supplier WHERE s_suppkey % 4 = 0")
+@query("SELECT n_nationkey AS k FROM nation EXCEPT SELECT s_nationkey FROM supplier WHERE s_acctbal > 9000")
 def set_except(spark, sf):
-    return core.set_operation(T(spark, sf, "nation").select(F.col("n_nationkey").alias("k")), T(spark, sf, "supplier").where("s_suppkey % 4 = 0").select("s_nationkey"), "except", distinct=True)
+    return core.set_operation(T(spark, sf, "nation").select(F.col("n_nationkey").alias("k")), T(spark, sf, "supplier").where("s_acctbal > 9000").select("s_nationkey"), "except", distinct=True)
 
 
 _FAN = """<graph name="fan"><component id="a" type="InputFile"><property name="filename" value="${DIR}/orders.parquet"/><port name="out"/></component>
@@ -418,28 +436,47 @@ def fn_safe_and_passthrough(spark, sf):
     return assigned(T(spark, sf, "customer"), "out.c_custkey = in.c_custkey; out.zero = in.c_acctbal / 0; out.over = integer(99999999999); out.own = regexp_replace(in.c_name, '[0-9]+', 'N');")
 
 
+@query("SELECT o_orderkey, strftime(o_orderdate, '%I:%M:%S %p') AS shown, CAST(strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS VARCHAR) AS back, CAST(strftime(o_orderdate, '%d.%m.%y') AS VARCHAR) AS short FROM orders")
+def fn_date_twelve_hours(spark, sf):
+    return assigned(T(spark, sf, "orders", "o_orderkey", "o_orderdate"), """out.o_orderkey = in.o_orderkey; out.shown = date_format(in.o_orderdate, 'HH:MI:SS AM');
+        out.back = date_format(string_to_datetime(date_format(in.o_orderdate, 'DD/MM/YYYY HH12:MI:SS PM'), 'DD/MM/YYYY HH:MI:SS PM'), 'YYYY-MM-DD HH24:MI:SS'); out.short = date_format(in.o_orderdate, 'DD.MM.YY');""")
+
+
+@query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, md5(event_type) AS digest, reverse(event_type) AS turned FROM events")
+def fn_json_and_hash(spark, sf):
+    return assigned(T(spark, sf, "events"), "out.event_id = in.event_id; out.k = bigint(get_json_object(in.props, '$.k')); out.digest = md5(in.event_type); out.turned = reverse(in.event_type);")
+
+
 # -- files
 
 
-@query("SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority FROM orders")
+_STORED = """<graph name="stored"><component id="x" type="InputFile"><property name="filename" value="${DIR}/orders.parquet"/></component>
+<component id="kept" type="IntermediateFile"><property name="filename" value="${OUT}/between"/><property name="file_format" value="orc"/><port name="in" source="x.out"/></component>
+<component id="few" type="Reformat"><property name="transform_file" value="few.xfr"/><port name="in" source="kept.out"/></component>
+<component id="none" type="Trash"><port name="in" source="kept.out"/></component>
+<component id="end" type="OutputFile"><property name="filename" value="${OUT}/end"/><port name="in" source="few.out"/></component></graph>"""
+
+
+@query("SELECT o_orderkey, o_totalprice, o_orderpriority || '~' AS marked FROM orders")
 def checkpoint_roundtrip(spark, sf):
-    df = T(spark, sf, "orders", "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority")
-    graph = f"""<graph name="g"><component id="a" type="Replicate"><port name="in" source="x.out"/></component><component id="x" type="Replicate"/>
-        <component id="b" type="IntermediateFile"><property name="filename" value="{scratch(spark)}"/><port name="in" source="a.out"/></component></graph>"""
-    g = parse_graph(graph.replace('<component id="x" type="Replicate"/>', '<component id="x" type="InputFile"><property name="filename" value="-"/></component>'))
-    return Engine(g).bind(spark, {"x": df})["b"]
+    """A run with an intermediate file, a Trash, and a parameter in the transform."""
+    out = shared_dir(spark)
+    transform = "TRANSFORM few BEGIN out.o_orderkey = in.o_orderkey; out.o_totalprice = in.o_totalprice; out.marked = in.o_orderpriority + '${MARK}'; END"
+    report = Engine.from_text(_STORED, transforms=transform, params={"DIR": sf.rstrip("/"), "OUT": out, "MARK": "~"}).run(spark)
+    assert set(report.sinks) == {"none", "end"}
+    return spark.read.parquet(f"{out}/end")
 
 
 @query("SELECT o_orderkey, o_totalprice, o_orderstatus FROM orders WHERE o_orderstatus = 'F'")
 def partitioned_write_read(spark, sf):
-    path = scratch(spark)
+    path = shared_dir(spark)
     files.write(T(spark, sf, "orders", "o_orderkey", "o_totalprice", "o_orderstatus"), path, partition_by=["o_orderstatus"], coalesce=2)
     return spark.read.parquet(path).where("o_orderstatus = 'F'")
 
 
 @query("SELECT n_nationkey, n_name FROM nation UNION ALL SELECT n_nationkey, n_name FROM nation WHERE n_regionkey = 1")
 def append_write_read(spark, sf):
-    path, n = scratch(spark), T(spark, sf, "nation", "n_nationkey", "n_name", "n_regionkey")
+    path, n = shared_dir(spark), T(spark, sf, "nation", "n_nationkey", "n_name", "n_regionkey")
     files.write(n.drop("n_regionkey"), path, "orc")
     files.write(n.where("n_regionkey = 1").drop("n_regionkey"), path, "orc", mode="append", coalesce=1)
     return files.read(spark, path, "orc")
@@ -449,7 +486,7 @@ def append_write_read(spark, sf):
 def delimited_roundtrip(spark, sf):
     record = parse_dml(r"""DEFINE customer BEGIN c_custkey long; c_name string("\001"); c_mktsegment string("\001", null("NA")); c_acctbal decimal(12,2); END""")["customer"]
     df = T(spark, sf, "customer").select("c_custkey", "c_name", F.when(F.col("c_mktsegment") == "BUILDING", "NA").otherwise(F.col("c_mktsegment")).alias("c_mktsegment"), F.col("c_acctbal").cast("decimal(12,2)").alias("c_acctbal"))
-    path = scratch(spark)
+    path = shared_dir(spark)
     files.write(df, path, "delimited", delimiter=r"\001", header=True)
     return casts(files.read(spark, path, "delimited", record, r"\001", header=True), c_acctbal="double")
 
@@ -459,7 +496,7 @@ def fixed_width_roundtrip(spark, sf):
     record = parse_dml('DEFINE c BEGIN c_custkey decimal(12,0); c_name string(30); c_acctbal decimal(14,2); d date("YYYYMMDD"); END')["c"]
     day = F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), (F.col("c_custkey") % 365).cast("int")), "yyyyMMdd")
     lines = T(spark, sf, "customer").select(F.concat(F.lpad(F.col("c_custkey").cast("string"), 12, " "), F.rpad("c_name", 30, " "), F.lpad(F.col("c_acctbal").cast("decimal(10,2)").cast("string"), 14, " "), day).alias("value"))
-    path = scratch(spark)
+    path = shared_dir(spark)
     lines.write.text(path)
     return casts(files.read(spark, path, "fixed", record), c_custkey="bigint", c_acctbal="double", d="string")
 
@@ -468,7 +505,7 @@ def fixed_width_roundtrip(spark, sf):
 def mixed_delim_read(spark, sf):
     record = parse_dml(r"""DEFINE c BEGIN decimal("|") c_custkey; string(";") c_name; string(12) c_mktsegment; decimal("\n") c_nationkey; END""")["c"]
     lines = T(spark, sf, "customer").select(F.concat(F.col("c_custkey").cast("string"), F.lit("|"), "c_name", F.lit(";"), F.rpad("c_mktsegment", 12, " "), F.col("c_nationkey").cast("string")).alias("value"))
-    path = scratch(spark)
+    path = shared_dir(spark)
     lines.write.text(path)
     return casts(files.read(spark, path, "mixed", record), c_custkey="bigint", c_nationkey="int")
 
@@ -481,85 +518,220 @@ def packed_decimal_read(spark, sf):
     return df.select("c_custkey", mainframe.packed(F.col("b"), 2).cast("double").alias("v"))
 
 
+_CUSTOMER_BOOK = """01 CUSTOMER-CARD.
+ 03 C-CUSTKEY PIC 9(12) COMP.
+ 03 C-NAME PIC X(24).
+ 03 C-NATIONKEY PIC S9(3) SIGN TRAILING SEPARATE.
+ 03 FILLER PIC X(2).
+ 03 C-ACCTBAL PIC S9(9)V99 COMP-3.
+ 03 CENTS PIC S9(9) COMP.
+ 03 ZONED PIC S9(7)V99.
+ 03 C-MKTSEGMENT PIC N(12)."""
+
+
+@query("SELECT c_custkey, c_name, c_nationkey, CAST(CAST(c_acctbal AS DECIMAL(11,2)) AS DOUBLE) AS c_acctbal, CAST(round(c_acctbal * 100) AS BIGINT) AS cents, CAST(CAST(c_acctbal AS DECIMAL(11,2)) AS DOUBLE) AS zoned, c_mktsegment FROM customer")
+def mainframe_read(spark, sf):
+    """customer in EBCDIC records of a copybook, written and read again."""
+    record = import_cobol(_CUSTOMER_BOOK, encoding="ebcdic")[0]
+    c = T(spark, sf, "customer").withColumns({"cents": F.round(F.col("c_acctbal") * 100), "zoned": F.col("c_acctbal")})
+    path = shared_dir(spark)
+    mainframe.write_mainframe(c, path, record)
+    out = files.read(spark, path, "mainframe", record)
+    return casts(out, c_custkey="bigint", c_nationkey="int", c_acctbal="double", cents="bigint", zoned="double")
+
+
+@query("SELECT n_nationkey, substring(rpad(n_name, 12, ' '), 1, 4) AS head, rtrim(substring(rpad(n_name, 12, ' '), 5, 8)) AS tail FROM nation")
+def cobol_redefines_read(spark, sf):
+    """The second layout of redefined fields over ASCII records."""
+    whole, parts = import_cobol("01 N. 02 N-NATIONKEY PIC 9(3). 02 N-NAME PIC X(12). 02 HALVES REDEFINES N-NAME. 03 HEAD PIC X(4). 03 TAIL PIC X(8).", redefines=True, encoding="ascii")
+    path = shared_dir(spark)
+    mainframe.write_mainframe(T(spark, sf, "nation"), path, whole)
+    out = files.read(spark, path, "mainframe", parts).select(F.col("n_nationkey").cast("int").alias("n_nationkey"), "halves.*")
+    return out
+
+
+@query("SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_returnflag AS flag, CASE WHEN l_returnflag = 'R' THEN CAST(round(l_quantity) AS INTEGER) END AS returned, CASE WHEN l_returnflag <> 'R' THEN l_linestatus || l_returnflag END AS status FROM lineitem")
+def conditional_fields_read(spark, sf):
+    """Lines of fixed width with a field whose meaning depends on another one."""
+    record = parse_dml('DEFINE line BEGIN l_orderkey decimal(12,0); l_partkey decimal(12,0); l_suppkey decimal(12,0); l_linenumber decimal(3,0); flag string(1); if (flag == "R") then returned decimal(3,0); else status string(3); end; END')["line"]
+    one = next(f for f in record.fields if f.name == "returned")
+    assert one.offset is not None
+    pad = lambda c, n: F.lpad(F.col(c).cast("string"), n, " ")
+    quantity = F.lpad(F.round("l_quantity").cast("int").cast("string"), 3, " ")
+    both = F.concat(F.when(F.col("l_returnflag") == "R", quantity).otherwise("   "), F.rpad(F.concat("l_linestatus", "l_returnflag"), 3, " "))
+    path = shared_dir(spark)
+    T(spark, sf, "lineitem").select(F.concat(pad("l_orderkey", 12), pad("l_partkey", 12), pad("l_suppkey", 12), pad("l_linenumber", 3), F.col("l_returnflag"), both).alias("value")).write.text(path)
+    out = files.read(spark, path, "fixed", record)
+    return casts(out, l_orderkey="bigint", l_partkey="bigint", l_suppkey="bigint", l_linenumber="int", returned="int")
+
+
+@query("SELECT o_orderkey, l_partkey, l_linenumber, l_quantity FROM orders JOIN lineitem ON l_orderkey = o_orderkey")
+def nested_records_read(spark, sf):
+    """Orders with a vector of records, as JSON of a schema with a nested record, and flattened again."""
+    record = parse_dml("DEFINE ord BEGIN head record o_orderkey long; o_orderstatus string(1); end; lines record l_partkey long; l_linenumber integer; l_quantity double; end[]; END")["ord"]
+    li = T(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.collect_list(F.struct("l_partkey", "l_linenumber", "l_quantity")).alias("lines"))
+    o = T(spark, sf, "orders").join(li, F.col("o_orderkey") == F.col("l_orderkey")).select(F.struct("o_orderkey", "o_orderstatus").alias("head"), "lines")
+    path = shared_dir(spark)
+    files.write(o, path, "json")
+    back = files.read(spark, path, "json", record)
+    return core.normalize(back, "lines", "line", flatten=True).select(F.col("head.o_orderkey").alias("o_orderkey"), "l_partkey", "l_linenumber", "l_quantity")
+
+
+@query("SELECT n_nationkey AS no, n_name AS title, n_regionkey AS part FROM nation")
+def xml_read(spark, sf):
+    """nation as XML, read by the schema that a sample of it gives."""
+    record, mode = import_xml('<nation no="7"><title>Some Land</title><part>2</part></nation>')
+    path = shared_dir(spark)
+    n = T(spark, sf, "nation").select(F.col("n_nationkey").alias("_no"), F.col("n_name").alias("title"), F.col("n_regionkey").alias("part"))
+    n.write.format("xml").option("rowTag", "nation").save(path)
+    out = files.read(spark, path, "xml", record, options={"rowTag": "nation", "attributePrefix": ""})
+    assert mode == "sample"
+    return casts(out, no="int", part="int")
+
+
+@query("SELECT s_suppkey, s_nationkey, CAST(CAST(s_acctbal AS DECIMAL(10,2)) AS DOUBLE) AS s_acctbal FROM supplier")
+def xsd_read(spark, sf):
+    """supplier as XML, read by an XSD with a restricted decimal and an attribute."""
+    xsd = """<xs:schema xmlns:xs="http://www.w3.org/2001/XMLSchema"><xs:element name="supplier"><xs:complexType><xs:all><xs:element name="s_nationkey" type="xs:int"/><xs:element name="s_acctbal" type="Money"/></xs:all>
+        <xs:attribute name="s_suppkey" type="xs:long" use="required"/></xs:complexType></xs:element><xs:simpleType name="Money"><xs:restriction base="xs:decimal"><xs:totalDigits value="10"/><xs:fractionDigits value="2"/></xs:restriction></xs:simpleType></xs:schema>"""
+    record, mode = import_xml(xsd)
+    path = shared_dir(spark)
+    s = T(spark, sf, "supplier").select(F.col("s_suppkey").alias("_s_suppkey"), "s_nationkey", F.col("s_acctbal").cast("decimal(10,2)").alias("s_acctbal"))
+    s.write.format("xml").option("rowTag", "supplier").save(path)
+    assert mode == "xsd"
+    return casts(files.read(spark, path, "xml", record, options={"rowTag": "supplier", "attributePrefix": ""}), s_acctbal="double")
+
+
+@query("SELECT p_partkey, p_name, p_size, CAST(CAST(p_retailprice AS DECIMAL(9,2)) AS DOUBLE) AS p_retailprice FROM part")
+def hive_table_read(spark, sf):
+    """Text of a Hive table's delimiter, in the format that is advised for the imported record."""
+    table = import_hive(r"CREATE TABLE shop.parts (p_partkey BIGINT, p_name STRING, p_size INT, p_retailprice DECIMAL(9,2)) ROW FORMAT DELIMITED FIELDS TERMINATED BY '\037' STORED AS TEXTFILE")
+    p = T(spark, sf, "part").select("p_partkey", "p_name", "p_size", F.col("p_retailprice").cast("decimal(9,2)").alias("p_retailprice"))
+    path = shared_dir(spark)
+    files.write(p, path, files.recommend_format(table.record)[0], delimiter=table.delimiter)
+    return casts(files.reader_for(spark, table.record, path, delimiter=table.delimiter), p_retailprice="double")
+
+
+@query("SELECT c_custkey, c_name, TRY_CAST(c_mktsegment AS INTEGER) AS c_mktsegment, CAST(NULL AS VARCHAR) AS bad FROM customer UNION ALL SELECT NULL, NULL, NULL, r_name FROM region")
+def mixed_lines_that_do_not_fit(spark, sf):
+    """Lines that a mixed record doesn't fit stay as rows, with the line in a column of its own."""
+    record = parse_dml(r"""DEFINE c BEGIN decimal("|") c_custkey; string(";") c_name; decimal("\n") c_mktsegment; END""")["c"]
+    lines = T(spark, sf, "customer").select(F.concat(F.col("c_custkey").cast("string"), F.lit("|"), "c_name", F.lit(";"), "c_mktsegment").alias("value"))
+    path = shared_dir(spark)
+    lines.unionByName(T(spark, sf, "region").select(F.col("r_name").alias("value"))).write.text(path)
+    out = files.read(spark, path, "mixed", record, options={"columnNameOfCorruptRecord": "bad"})
+    return casts(out, c_custkey="bigint", c_mktsegment="int")
+
+
+@query("SELECT event_type, date_trunc('day', ts) AS day, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
+def stream_windows(spark, sf):
+    """Events as a stream of files, in tumbling windows of a day, written as they close and at the end."""
+    base, events = shared_dir(spark), T(spark, sf, "events", "event_id", "ts", "event_type", "value")
+    late = events.agg(F.max("ts").alias("ts")).select(F.lit(-1).cast("bigint").alias("event_id"), (F.col("ts") + F.expr("INTERVAL 900 DAYS")).alias("ts"), F.lit("end").alias("event_type"), F.lit(0.0).alias("value"))
+    events.repartition(2).write.parquet(f"{base}/in")
+    schema = spark.read.parquet(f"{base}/in").schema
+
+    def once():
+        stream = streams.read_stream(spark, f"{base}/in", schema=schema, watermark="ts", delay="400 days")
+        out = streams.windowed_rollup(stream, "ts", "1 day", "count(*):n, sum(value):total", "event_type")
+        streams.write_stream(out, f"{base}/out", f"{base}/state").awaitTermination()
+
+    once()
+    late.write.mode("append").parquet(f"{base}/in")  # moves the watermark past all windows
+    once()
+    out = spark.read.parquet(f"{base}/out").where("event_type <> 'end'")
+    return out.select("event_type", F.col("window_start").cast("timestamp_ntz").alias("day"), "n", F.round("total", 4).alias("total"))
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice > 150000")
+def catalog_roundtrip(spark, sf):
+    """A graph saved in a catalog and run from there, with a parameter in its condition."""
+    text = """<graph name="dear"><component id="a" type="InputFile"><property name="filename" value="${DIR}/orders.parquet"/></component>
+        <component id="b" type="Filter"><property name="condition" value="o_totalprice > ${LEAST}"/><port name="in" source="a.out"/></component></graph>"""
+    with tempfile.TemporaryDirectory() as folder:  # of the driver alone
+        catalog = Catalog(folder)
+        catalog.save("dear", parse_graph(text, {"DIR": sf.rstrip("/"), "LEAST": "150000"}))
+        graph = catalog.load("dear")
+    return Engine(graph).bind(spark)["b"].select("o_orderkey", "o_totalprice")
+
+
+@query()
+def sample_rows(spark, sf):
+    return core.sample(T(spark, sf, "orders", "o_orderkey", "o_totalprice"), 0.3, 7)
+
+
 # -- graphs
 
 
-_ENRICH = """<graph name="enrich"><parameters><param name="THRESHOLD" value="250000"/></parameters>
-<component id="c" name="Customers" type="InputFile"><property name="filename" value="-"/></component>
-<component id="o" name="Orders" type="InputFile"><property name="filename" value="-"/></component>
-<component id="n1" type="Reformat"><property name="transform_file" value="norm_customer.xfr"/><port name="in" source="c.out"/></component>
-<component id="n2" type="Reformat"><property name="transform_file" value="norm_order.xfr"/><port name="in" source="o.out"/></component>
-<component id="j" type="Join"><property name="join_key" value="customer_id"/><property name="join_type" value="inner"/><port name="in_left" source="n1.out"/><port name="in_right" source="n2.out"/></component>
-<component id="e" type="Reformat"><property name="transform_file" value="enrich.xfr"/><port name="in" source="j.out"/></component>
-<component id="h" type="Filter"><property name="condition" value="amount > ${THRESHOLD}"/><port name="in" source="e.out"/></component>
-<component id="s" type="Aggregate"><property name="group_by" value="country, tier"/><property name="aggregates" value="count(order_id):orders, sum(if(amount > 300000, 1, 0)):big"/><port name="in" source="h.out"/></component></graph>"""
-_ENRICH_XFR = """
-TRANSFORM norm_customer BEGIN out.customer_id = in.c_custkey; out.full_name = upper(trim(in.c_name)); out.points = integer(in.c_acctbal);
-  out.country = if (mod(in.c_custkey, 10) = 0) null else upper(substring(in.n_name, 1, 2)); END
-TRANSFORM norm_order BEGIN out.customer_id = in.o_custkey; out.order_id = in.o_orderkey; out.amount = if (mod(in.o_orderkey, 7) = 0) 0.0 else in.o_totalprice; END
-TRANSFORM enrich BEGIN out.order_id = in.order_id; out.country = in.country; out.amount = in.amount;
-  out.tier = if (in.points >= 5000) "GOLD" else if (in.points >= 1000) "SILVER" else "BRONZE"; END"""
-
-
-@query("""SELECT CASE WHEN c_custkey % 10 = 0 THEN NULL ELSE upper(substring(n_name, 1, 2)) END AS country,
-    CASE WHEN CAST(trunc(c_acctbal) AS INTEGER) >= 5000 THEN 'GOLD' WHEN CAST(trunc(c_acctbal) AS INTEGER) >= 1000 THEN 'SILVER' ELSE 'BRONZE' END AS tier,
-    count(*) AS orders, CAST(sum(CASE WHEN o_totalprice > 300000 THEN 1 ELSE 0 END) AS BIGINT) AS big
-    FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN orders ON o_custkey = c_custkey WHERE o_totalprice > 250000 AND o_orderkey % 7 <> 0 GROUP BY 1, 2""")
-def pipeline_order_enrichment(spark, sf):
-    c = core.join(T(spark, sf, "customer").withColumnRenamed("c_nationkey", "n_nationkey"), T(spark, sf, "nation"), "n_nationkey")
-    return Engine.from_text(_ENRICH, transforms=_ENRICH_XFR).bind(spark, {"Customers": c, "Orders": T(spark, sf, "orders")})["s"]
-
-
-_RISK = """<graph name="risk"><parameters><param name="HIGH" value="40"/></parameters>
-<component id="t" name="Transactions" type="InputFile"><property name="filename" value="-"/></component>
-<component id="r" name="Rules" type="InputFile"><property name="filename" value="-"/></component>
-<component id="n" type="Reformat"><property name="transform_file" value="norm"/><port name="in" source="t.out"/></component>
-<component id="j" type="Join"><property name="join_key" value="txn_type"/><property name="join_type" value="left"/><port name="in_left" source="n.out"/><port name="in_right" source="r.out"/></component>
-<component id="v" type="Reformat"><property name="transform_file" value="velocity"/><property name="window_partition" value="account_id"/><property name="window_order" value="txn_timestamp"/><property name="window_range" value="-24h"/><port name="in" source="j.out"/></component>
-<component id="s" type="Reformat"><property name="transform_file" value="score"/><port name="in" source="v.out"/></component>
-<component id="f" type="Filter"><property name="condition" value="risk_score >= ${HIGH}"/><port name="in" source="s.out"/></component></graph>"""
-_RISK_XFR = """
-TRANSFORM norm BEGIN out.txn_id = in.event_id; out.account_id = in.user_id; out.txn_timestamp = in.ts; out.txn_type = upper(in.event_type); out.amount = in.value * 100; END
-TRANSFORM velocity BEGIN out.txn_id = in.txn_id; out.account_id = in.account_id; out.amount = in.amount; out.base = in.base;
-  out.velocity = window_count(); END
-TRANSFORM score BEGIN out.txn_id = in.txn_id; out.velocity = in.velocity;
-  out.vs = if (in.velocity <= 2) 0 else if (in.velocity <= 5) 25 else if (in.velocity <= 10) 50 else if (in.velocity <= 20) 75 else 100;
-  out.am = if (in.amount < 1000.00) 0 else if (in.amount < 5000.00) 20 else if (in.amount < 10000.00) 40 else if (in.amount < 50000.00) 70 else 100;
-  out.risk_score = integer(round(min(100, max(0, (if (is_null(in.base)) 50 else in.base) * 0.4 + out.vs * 0.35 + out.am * 0.25)), 0));
-  out.band = if (out.risk_score >= 90) "CRITICAL" else if (out.risk_score >= 75) "HIGH" else if (out.risk_score >= 40) "MEDIUM" else "LOW"; END"""
-
-
-@query("""WITH t AS (SELECT event_id, user_id, ts, upper(event_type) AS k, value * 100 AS amount, CAST(count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 24 HOURS PRECEDING AND CURRENT ROW) AS BIGINT) AS velocity FROM events),
-    s AS (SELECT *, CASE WHEN velocity <= 2 THEN 0 WHEN velocity <= 5 THEN 25 WHEN velocity <= 10 THEN 50 WHEN velocity <= 20 THEN 75 ELSE 100 END AS vs,
-      CASE WHEN amount < 1000 THEN 0 WHEN amount < 5000 THEN 20 WHEN amount < 10000 THEN 40 WHEN amount < 50000 THEN 70 ELSE 100 END AS am,
-      CASE k WHEN 'PURCHASE' THEN 80 WHEN 'ERROR' THEN 20 WHEN 'CLICK' THEN 60 ELSE 50 END AS base FROM t),
-    z AS (SELECT event_id AS txn_id, velocity, vs, am, CAST(round(least(100, greatest(0, base * 0.4 + vs * 0.35 + am * 0.25)), 0) AS INTEGER) AS risk_score FROM s)
-    SELECT *, CASE WHEN risk_score >= 90 THEN 'CRITICAL' WHEN risk_score >= 75 THEN 'HIGH' WHEN risk_score >= 40 THEN 'MEDIUM' ELSE 'LOW' END AS band FROM z WHERE risk_score >= 40""")
-def pipeline_risk_scoring(spark, sf):
-    rules = spark.createDataFrame([("PURCHASE", 80), ("ERROR", 20), ("CLICK", 60)], "txn_type string, base int")
-    return Engine.from_text(_RISK, transforms=_RISK_XFR).bind(spark, {"Transactions": T(spark, sf, "events"), "Rules": rules})["f"]
-
-
-_CLOSURE = """WITH RECURSIVE e(s, t) AS (VALUES ('c','n1'),('o','n2'),('n1','j'),('n2','j'),('j','e'),('e','h'),('h','s')), r(origin, reached) AS (SELECT s, t FROM e UNION SELECT r.origin, e.t FROM r JOIN e ON r.reached = e.s) SELECT origin, reached FROM r"""
-
-
-@query(_CLOSURE)
+_FREIGHT = """<graph name="late_freight"><parameters><param name="FEW" value="20"/></parameters>
+<component id="lines" name="Lines" type="InputFile"><property name="filename" value="-"/></component>
+<component id="sent" type="Filter"><property name="condition" value="l_returnflag != 'N' or l_linestatus = 'F'"/><port name="in" source="lines.out"/></component>
+<component id="line" type="Reformat"><property name="transform_file" value="line.xfr"/><port name="in" source="sent.out"/></component>
+<component id="makers" name="Makers" type="LookupFile"><property name="filename" value="-"/></component>
+<component id="from" type="Lookup"><property name="key" value="maker"/><port name="in" source="line.out"/><port name="in_lookup" source="makers.out"/></component>
+<component id="lands" name="Lands" type="InputFile"><property name="filename" value="-"/></component>
+<component id="met" type="MatchSorted"><property name="key" value="land"/><port name="in_left" source="from.out"/><port name="in_right" source="lands.out"/></component>
+<component id="sums" type="Rollup"><property name="group_by" value="part, quarter"/><property name="aggregates" value="sum(net):net, count(*) filter (where winter):cold, max(weight):heaviest"/><property name="having" value="count(*) &gt; ${FEW}"/><port name="in" source="met.out"/></component>
+<component id="told" type="Reformat"><property name="transform_file" value="told"/><port name="in" source="sums.out"/></component></graph>"""
+_FREIGHT_XFR = """
+TRANSFORM line BEGIN out.maker = in.l_suppkey; out.net = in.l_extendedprice - in.l_extendedprice * in.l_discount; out.weight = in.l_quantity * 1.5;
+  out.quarter = bigint(floor((month(in.l_shipdate) + 2) / 3)); out.winter = month(in.l_shipdate) in (12, 1, 2); END
+TRANSFORM told BEGIN out.label = string(in.part) + "Q" + string(in.quarter); out.net = round(in.net, 1); out.cold = in.cold; out.heaviest = in.heaviest;
+  out.season = case in.quarter when 1 then "ice" when 3 then "sun" else "rain" end; END"""
+
+
+@query("""WITH m AS (SELECT n_regionkey AS part, CAST(floor((month(l_shipdate) + 2) / 3.0) AS BIGINT) AS quarter, l_extendedprice * (1 - l_discount) AS net, l_quantity * 1.5 AS weight, month(l_shipdate) IN (12, 1, 2) AS winter
+      FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey WHERE l_returnflag <> 'N' OR l_linestatus = 'F'),
+    s AS (SELECT part, quarter, sum(net) AS net, count(*) FILTER (WHERE winter) AS cold, max(weight) AS heaviest FROM m GROUP BY 1, 2 HAVING count(*) > 20)
+    SELECT part || 'Q' || quarter AS label, round(net, 1) AS net, cold, heaviest, CASE quarter WHEN 1 THEN 'ice' WHEN 3 THEN 'sun' ELSE 'rain' END AS season FROM s""")
+def pipeline_late_freight(spark, sf):
+    makers = T(spark, sf, "supplier").select(F.col("s_suppkey").alias("maker"), F.col("s_nationkey").alias("land"))
+    lands = T(spark, sf, "nation").select(F.col("n_nationkey").alias("land"), F.col("n_regionkey").alias("part"))
+    return Engine.from_text(_FREIGHT, transforms=_FREIGHT_XFR).bind(spark, {"Lines": T(spark, sf, "lineitem"), "Makers": makers, "Lands": lands})["told"]
+
+
+_PULSE = """<graph name="pulse"><parameters><param name="PAUSE" value="7"/></parameters>
+<component id="clicks" name="Clicks" type="InputFile"><property name="filename" value="-"/></component>
+<component id="hourly" type="Reformat"><property name="transform" value="hourly"/><port name="in" source="clicks.out"/></component>
+<component id="last" type="DedupSorted"><property name="key" value="who, kind, hour_"/><property name="which" value="last"/><property name="sort_by" value="at, no"/><port name="in" source="hourly.out"/></component>
+<component id="pace" type="Scan"><property name="key" value="who"/><property name="sort_by" value="at, no"/><property name="aggregates" value="lag(at, 1):before, count(*):nth, max(amount):record"/><port name="in" source="last.out"/></component>
+<component id="pause" type="Reformat"><property name="transform_file" value="pause"/><property name="window_partition" value="who"/><property name="window_order" value="at"/><property name="window_range" value="-36h"/><port name="in" source="pace.out"/></component>
+<component id="long" type="FilterByExpression"><property name="condition" value="rest &gt;= ${PAUSE} or rest is null"/><port name="in" source="pause.out"/></component></graph>"""
+_PULSE_XFR = """
+TRANSFORM hourly BEGIN out.no = in.event_id; out.who = in.user_id; out.kind = lower(substring(in.event_type, 1, 3)); out.at = in.ts; out.hour_ = date_format(in.ts, "YYYYMMDDHH24"); out.amount = in.value; END
+TRANSFORM pause BEGIN out.no = in.no; out.kind = in.kind; out.nth = in.nth; out.record = in.record; out.rest = date_diff(in.at, in.before, "hours"); out.recent = window_count(); END"""
+
+
+@query("""WITH d AS (SELECT *, row_number() OVER (PARTITION BY user_id, lower(substring(event_type, 1, 3)), date_trunc('hour', ts) ORDER BY ts DESC, event_id DESC) AS r FROM events),
+    p AS (SELECT event_id AS no, lower(substring(event_type, 1, 3)) AS kind, ts, user_id, lag(ts) OVER w AS before, count(*) OVER (w ROWS UNBOUNDED PRECEDING) AS nth, max(value) OVER (w ROWS UNBOUNDED PRECEDING) AS record FROM d WHERE r = 1 WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+    q AS (SELECT no, kind, nth, record, CAST(floor((epoch_us(ts) - epoch_us(before)) / 3600000000.0) AS BIGINT) AS rest, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 36 HOURS PRECEDING AND CURRENT ROW) AS recent FROM p)
+    SELECT * FROM q WHERE rest >= 7 OR rest IS NULL""")
+def pipeline_user_pulse(spark, sf):
+    return Engine.from_text(_PULSE, transforms=_PULSE_XFR).bind(spark, {"Clicks": T(spark, sf, "events")})["long"]
+
+
+@query("""WITH RECURSIVE e(s, t) AS (SELECT 'c' || c_custkey, 'n' || c_nationkey FROM customer UNION SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation UNION SELECT 'r' || r_regionkey, 'all' FROM region),
+    r(origin, reached) AS (SELECT s, t FROM e UNION SELECT r.origin, e.t FROM r JOIN e ON r.reached = e.s) SELECT origin, reached FROM r""")
 def lineage_downstream(spark, sf):
-    return downstream_frame(edges_frame(spark, parse_graph(_ENRICH)))
+    """The closure of a graph as large as the data: customer to nation, to region, to all."""
+    edge = lambda t, a, p, b, q: T(spark, sf, t).select(F.concat(F.lit(p), F.col(a).cast("string")).alias("source"), (F.concat(F.lit(q), F.col(b).cast("string")) if b else F.lit(q)).alias("target"))
+    edges = edge("customer", "c_custkey", "c", "c_nationkey", "n").unionByName(edge("nation", "n_nationkey", "n", "n_regionkey", "r")).unionByName(edge("region", "r_regionkey", "r", None, "all"))
+    return downstream_frame(edges)
 
 
-@query("SELECT * FROM (VALUES (0, 'c'), (1, 'n1'), (2, 'o'), (3, 'n2'), (4, 'j'), (5, 'e'), (6, 'h'), (7, 's')) AS v(position, node)")
+@query("SELECT * FROM (VALUES (0, 'lands'), (1, 'lines'), (2, 'makers'), (3, 'sent'), (4, 'line'), (5, 'from'), (6, 'met'), (7, 'sums'), (8, 'told')) AS v(position, node)")
 def topo_order(spark, sf):
-    return spark.createDataFrame(list(enumerate(parse_graph(_ENRICH).order())), "position int, node string")
+    return spark.createDataFrame(list(enumerate(parse_graph(_FREIGHT).order())), "position int, node string")
 
 
-@query("""SELECT * FROM (VALUES ('c','id','bigint',false), ('c','name','string',true), ('c','bal','decimal(10,2)',true), ('c','tags','array<string>',true), ('hive','trade_no','bigint',true),
-    ('hive','amount','decimal(10,2)',true), ('hive','items','struct<item:array<string>>',true), ('hive','year','int',true), ('emp','st_no','decimal(5,0)',true), ('emp','pay','decimal(9,2)',true)) AS v(record, field, type, nullable)""")
+@query("""SELECT * FROM (VALUES ('c','id','bigint',false), ('c','name','string',true), ('c','bal','decimal(10,2)',true), ('c','tags','array<string>',true), ('hive','berth_no','bigint',true),
+    ('hive','fee','decimal(12,3)',true), ('hive','crew','struct<item:array<string>>',true), ('hive','quay','string',true), ('cobol','gate','decimal(5,0)',true), ('cobol','toll','decimal(9,2)',true),
+    ('dml','at','struct<deg:double,side:string>',true), ('dml','legs','array<struct<knots:int>>',true), ('dml','built','date',true), ('dml','log','timestamp',true), ('xsd','depth','decimal(6,1)',true), ('xsd','marks','array<int>',false)) AS v(record, field, type, nullable)""")
 def schema_catalog(spark, sf):
-    from .importers import import_cobol, import_hive
-
     records = {"c": parse_dml('DEFINE c BEGIN id integer(8) NOT NULL; name string(20); bal decimal(10,2); string("|")[] tags; END')["c"]}
-    records["hive"] = import_hive("CREATE TABLE h (trade_no BIGINT, amount DECIMAL(10,2), items ARRAY<STRING>) PARTITIONED BY (year INT)").record
-    records["emp"] = import_cobol("01 STAFF.\n 05 ST-NO PIC 9(5).\n 05 PAY PIC S9(7)V99 COMP-3.")[0]
+    records["hive"] = import_hive("CREATE TABLE h (berth_no BIGINT, fee DECIMAL(12,3), crew ARRAY<STRING>) PARTITIONED BY (quay STRING)").record
+    records["cobol"] = import_cobol("01 GATES.\n 05 GATE PIC 9(5).\n 05 TOLL PIC S9(7)V99 COMP-3.")[0]
+    records["dml"] = parse_dml('DEFINE ship BEGIN at record deg double; side string(1); end; legs record knots integer; end[]; built date("DDMMYYYY"); log datetime; END')["ship"]
+    records["xsd"] = import_xml('<xs:schema xmlns:xs="http://www.w3.org/2001/XMLSchema"><xs:element name="cast"><xs:complexType><xs:sequence><xs:element name="depth" minOccurs="0"><xs:simpleType><xs:restriction base="xs:decimal"><xs:totalDigits value="6"/><xs:fractionDigits value="1"/></xs:restriction></xs:simpleType></xs:element><xs:element name="marks" type="xs:int" maxOccurs="unbounded"/></xs:sequence></xs:complexType></xs:element></xs:schema>')[0]
     rows = [(n, f.name, f.dataType.simpleString(), f.nullable) for n, r in records.items() for f in struct_type(r).fields]
     return spark.createDataFrame(rows, "record string, field string, type string, nullable boolean")
