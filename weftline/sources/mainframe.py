@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
 from dataclasses import replace
+from urllib.parse import urlsplit
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schema.spec import FieldSpec, RecordSpec, SchemaError, spark_type, width
-from .shared import file_system
 
 #: Latin-1 code points, and the characters of code page 37 in their place.
 LATIN1 = "".join(chr(i) for i in range(1, 256))
@@ -190,11 +189,17 @@ def write_mainframe(df: DataFrame, path: str, record: RecordSpec) -> int:
     parts = [F.repeat(blank.cast("string"), width(f) or 0).cast("binary") if _padding(f) else encoded(F.col(f"`{f.name}`"), f, record.encoding) for f in record.fields]
     rows = df.select(F.concat(*parts).alias("record"))
 
-    def put(batches):
+    local = urlsplit(path).scheme in ("", "file")
+    uri = "file://" + urlsplit(path).path if local else path
+
+    def put(batches):  # runs where this package may not be installed
+        import uuid
+
         import pyarrow as pa
+        from pyarrow.fs import FileSystem
         from pyspark import TaskContext
 
-        fs, top = file_system(path)
+        fs, top = FileSystem.from_uri(uri)
         fs.create_dir(top, recursive=True)
         task, n = TaskContext.get(), 0
         own, final = f"{top}/_{uuid.uuid4().hex}", f"{top}/part-{task.partitionId():05d}.dat"

@@ -1,10 +1,9 @@
-"""The folder that driver and executors share, and files that tasks write into it."""
+"""The folder that driver and executors share."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
-from urllib.parse import urlsplit
 
 from pyspark.sql import SparkSession
 
@@ -22,11 +21,3 @@ def shared_dir(spark: SparkSession) -> str:
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{base.rstrip('/')}/weftline-{uuid.uuid4().hex}")
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
     return path.toString()
-
-
-def file_system(uri: str):
-    """(file system, path) of pyarrow for a folder, as a task sees it."""
-    from pyarrow import fs
-
-    parts = urlsplit(uri)
-    return fs.FileSystem.from_uri("file://" + parts.path if parts.scheme in ("", "file") else uri)
