@@ -216,6 +216,33 @@ def test_decontamination(spark, sf, odd, block):
     assert any(x[4] for x in want)
 
 
+def test_decontamination_in_bounded_memory(spark):
+    """A block of benchmark text, a shard and the search of one stay small, however large the tables are."""
+    import tracemalloc
+
+    r = random.Random(3)
+    names = [f"w{r.randrange(30_000)}" for _ in range(40_000)]
+    items = [(str(i), " ".join(r.choices(names, k=2000))) for i in range(decontamination.BLOCK_CHARS // 12_000)]
+    shard = decontamination._Open()
+    for i in range(40):
+        shard.add(str(i), decontamination.words(items[i][1] if i % 3 == 0 else " ".join(r.choices(names, k=1600))), i, i)
+    tracemalloc.start()
+    query = decontamination.Query(items, 13)
+    query.ranked(np.ones(len(query.terms), np.int64))
+    held, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert len(query.windows) > 150_000 and held < 48 << 20 and peak < 160 << 20
+    batch = shard.closed("s")
+    assert batch.nbytes < 1 << 20
+    row = batch.to_pylist()[0]
+    tracemalloc.start()
+    doc, lo, hi, _, _ = decontamination.Shard(row["terms"], row["ends"], row["positions"], row["starts"]).hits(query, None)
+    assert tracemalloc.get_traced_memory()[1] < 64 << 20
+    tracemalloc.stop()
+    whole = {i for i in range(40) if i % 3 == 0}
+    assert whole <= set(doc.tolist()) and all(hi[k] - lo[k] == 2000 for k in range(len(doc)) if doc[k] in whole)
+
+
 def test_drop_contaminated(spark, sf, odd, none):
     items = spark.createDataFrame([(1, "12 34")], "item_id long, text string")
     kept = decontamination.drop_contaminated(odd, items)
@@ -847,6 +874,53 @@ def test_near_dedup_stage(spark, sf, odd, size):
     assert len(left) == 8 and sorted(x for x in left if x is not None) == [1, 2, 3, 5, 6, 8, 9]
 
 
+def near_brute(texts, least=0.8):
+    from weftline.llm.near_copies import shingles
+
+    sets, root = {k: shingles(v) for k, v in texts.items()}, {k: k for k in texts}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in texts:
+        for b in range(a):
+            if len(sets[a] & sets[b]) >= least * len(sets[a] | sets[b]):
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    return {find(k) for k in texts}
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_near_copies_of_one_text_in_every_way(spark, seed):
+    """Edits, deletions, insertions and cuts of one text and of copies of it: near and not so near ones."""
+    from weftline.llm import near_copies
+
+    r = random.Random(seed)
+    bases = [[f"w{r.randrange(10**6)}" for _ in range(r.choice([60, 90, 150]))]]
+    texts = {}
+    for i in range(260):
+        w = list(r.choice(bases))
+        for _ in range(r.choice([0, 1, 1, 2, 3, 4, 6])):
+            k = r.randrange(len(w))
+            how = r.random()
+            if how < 0.4:
+                w[k] = f"x{i}.{k}"
+            elif how < 0.7:
+                del w[k]
+            elif how < 0.85:
+                w.insert(k, f"z{i}")
+            else:
+                w = w[: len(w) - r.randrange(12)]
+        if r.random() < 0.08:
+            bases.append(w)  # copies of this copy share its edits
+        texts[i] = " ".join(w)
+    docs = spark.createDataFrame([(k, v) for k, v in texts.items()], "doc_id long, text string").repartition(3)
+    got = {x["doc_id"] for x in near_copies.one_of_each(docs).collect()}
+    assert got == near_brute(texts) and 1 < len(got) < 250
+
+
 def test_priors_from_small_hosts(spark):
     hosts = [(f"large{i}", 80) for i in range(2) for _ in range(1000)] + [(f"small{i}", 10) for i in range(200) for _ in range(9)]
     measured = spark.createDataFrame([(h, n, 5 * n, 0, 0, 0) for h, n in hosts], "host string, " + quality_rules.STATS)

@@ -29,6 +29,8 @@ TO_WORDS = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or
 SHARD_TOKENS = 1 << 16
 #: Code points of benchmark text that go to the executors at once.
 BLOCK_CHARS = 1 << 20
+#: Candidates that are looked at together.
+STEP = 1 << 17
 #: Row groups of the index are small, and so are the batches in which it is read.
 SMALL_GROUPS = {"parquet.block.size": str(8 << 20), "parquet.block.size.row.check.min": "8", "parquet.page.size.row.check.min": "1"}
 
@@ -180,13 +182,6 @@ class Shard:
     def doc_of(self, at: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.starts, at, side="right") - 1
 
-    def postings(self, term: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(which, position): all postings of each of the terms."""
-        n = self.ends[term] - self.begins[term]
-        which = np.repeat(np.arange(len(term)), n)
-        j = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
-        return which, self.positions[self.begins[term][which] + j].astype(np.int64)
-
     def least(self, term: np.ndarray, lo: np.ndarray) -> np.ndarray:
         """The first posting of each term at lo or after it, -1 if there is none, by bisection of its list."""
         a, end = self.begins[term].copy(), self.ends[term]
@@ -197,51 +192,60 @@ class Shard:
             a, b = np.where(right, m + 1, a), np.where(open_ & ~right, m, b)
         return np.where(a < end, self.positions[np.minimum(a, len(self.positions) - 1)].astype(np.int64), -1)
 
-    def leading(self, query: Query, here: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(window, position): the postings of the rarest term of each window, for windows whose rarest term is here."""
+    def leading(self, query: Query, here: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(window, position): the postings of the rarest term of each window, for windows whose rarest term is here; STEP at a time."""
         k = np.flatnonzero((here[:-1] >= 0) & (query.leads[1:] > query.leads[:-1]))
-        which, pos = self.postings(here[k])
-        n = (query.leads[k + 1] - query.leads[k])[which]
-        i = np.repeat(np.arange(len(pos)), n)
-        return query.led[query.leads[k][which][i] + np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)], pos[i]
+        windows = query.leads[k + 1] - query.leads[k]
+        both = (self.ends[here[k]] - self.begins[here[k]]) * windows
+        ends = np.cumsum(both)
+        for i in range(0, int(ends[-1]) if len(ends) else 0, STEP):
+            at = np.arange(i, min(i + STEP, int(ends[-1])))
+            which = np.searchsorted(ends, at, side="right")
+            posting, window = np.divmod(at - (ends - both)[which], windows[which])
+            yield query.led[query.leads[k][which] + window], self.positions[self.begins[here[k]][which] + posting].astype(np.int64)
 
     def phrases(self, query: Query) -> tuple[np.ndarray, np.ndarray]:
         """(window, start) of every occurrence of a window within one document."""
-        here = self.numbers(query)
-        w, pos = self.leading(query, here)
-        start = pos - query.order[w, 0]
-        end = start + query.length[w]
-        ok = (start >= 0) & (end <= self.n)
-        ok[ok] = self.doc_of(start[ok]) == self.doc_of(end[ok] - 1)
-        w, start = w[ok], start[ok]
-        for step in range(1, query.windows.shape[1]):
-            off = query.order[w, step].astype(np.int64)
-            term = query.windows[w, off]
-            m = np.flatnonzero(term >= 0)
-            ok = np.ones(len(w), bool)
-            t = here[term[m]]
-            ok[m] = t >= 0
-            m, t = m[t >= 0], t[t >= 0]
-            ok[m] = self.least(t, start[m] + off[m]) == start[m] + off[m]
+        here, found = self.numbers(query), []
+        for w, pos in self.leading(query, here):
+            start = pos - query.order[w, 0]
+            end = start + query.length[w]
+            ok = (start >= 0) & (end <= self.n)
+            ok[ok] = self.doc_of(start[ok]) == self.doc_of(end[ok] - 1)
             w, start = w[ok], start[ok]
-        return w, start
+            for step in range(1, query.windows.shape[1]):
+                off = query.order[w, step].astype(np.int64)
+                ok = self._kept(here, query.windows[w, off], lambda t, m, start=start, off=off: self.least(t, start[m] + off[m]) == start[m] + off[m])
+                w, start = w[ok], start[ok]
+            found.append((w, start))
+        return _joined(found)
 
     def near(self, query: Query, slack: int) -> tuple[np.ndarray, np.ndarray]:
         """(window, position of its rarest term) where each of its terms stands within `slack` words, in one document."""
-        here = self.numbers(query)
-        w, pos = self.leading(query, here)
-        for step in range(1, query.windows.shape[1]):
-            term = query.windows[w, query.order[w, step].astype(np.int64)]
-            m = np.flatnonzero(term >= 0)
-            ok = np.ones(len(w), bool)
-            t = here[term[m]]
-            ok[m] = t >= 0
-            m, t = m[t >= 0], t[t >= 0]
-            doc = self.doc_of(pos[m])
-            found = self.least(t, np.maximum(pos[m] - slack, self.starts[doc]))
-            ok[m] = (found >= 0) & (found <= np.minimum(pos[m] + slack, self.starts[doc + 1] - 1))
-            w, pos = w[ok], pos[ok]
-        return w, pos
+        here, found = self.numbers(query), []
+
+        def close(t: np.ndarray, at: np.ndarray) -> np.ndarray:
+            doc = self.doc_of(at)
+            first = self.least(t, np.maximum(at - slack, self.starts[doc]))
+            return (first >= 0) & (first <= np.minimum(at + slack, self.starts[doc + 1] - 1))
+
+        for w, pos in self.leading(query, here):
+            for step in range(1, query.windows.shape[1]):
+                term = query.windows[w, query.order[w, step].astype(np.int64)]
+                ok = self._kept(here, term, lambda t, m, pos=pos: close(t, pos[m]))
+                w, pos = w[ok], pos[ok]
+            found.append((w, pos))
+        return _joined(found)
+
+    @staticmethod
+    def _kept(here: np.ndarray, term: np.ndarray, test) -> np.ndarray:
+        """Where a window has no term (-1), or the term is here and test(its numbers, their places) holds."""
+        ok = term < 0
+        m = np.flatnonzero(~ok)
+        t = here[term[m]]
+        m, t = m[t >= 0], t[t >= 0]
+        ok[m] = test(t, m)
+        return ok
 
     def hits(self, query: Query, slack: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(document, from, to) of the stretches hit, and (document, item) of what hits."""
@@ -259,6 +263,11 @@ class Shard:
         return d, start[head] - self.starts[d], end[tail] - self.starts[d], pairs[0], pairs[1]
 
 
+def _joined(found: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    a, b = zip(*found, strict=True) if found else ([np.zeros(0, np.int64)],) * 2
+    return np.concatenate(a), np.concatenate(b)
+
+
 def _blocks(items: DataFrame, item_col: str, text_col: str, limit: int) -> Iterator[list[tuple[str, str | None]]]:
     block, size = [], 0
     for r in items.select(col(item_col).cast("string").alias("i"), col(text_col).alias("t")).where("i is not null").toLocalIterator():
