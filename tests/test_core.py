@@ -246,6 +246,20 @@ def test_operator_errors(spark):
     assert core.join(a, b, "k", suffix="_r").columns == ["k", "v", "v_r"]
 
 
+def test_orders_and_hints(spark):
+    rows = [(i % 3, (i * 37) % 11 if i % 5 else None) for i in range(40)]
+    df = spark.createDataFrame(rows, "g int, v int").repartition(4)
+    got = [tuple(r) for r in core.sort(df, "v, g", "desc").collect()]
+    assert got == sorted(rows, key=lambda r: (r[1] is not None, r[1] or 0, r[0]), reverse=True)
+    up = [tuple(r) for r in core.sort(df, "g, v desc").collect()]
+    assert [r[0] for r in up] == sorted(r[0] for r in rows) and all(up[i][1] is None or (up[i - 1][1] is not None and up[i - 1][1] >= up[i][1]) for i in range(1, 40) if up[i][0] == up[i - 1][0])
+    within = [[r["v"] for r in part] for part in core.sort_within_groups(df, "g", "v").rdd.glom().map(lambda p: [x for x in p if x["g"] == 1]).collect() if part]
+    assert len(within) == 1 and within[0] == sorted(within[0], key=lambda v: (v is not None, v or 0))
+    other = spark.range(100_000).select(F.col("id").cast("int").alias("g"), F.col("id").alias("w"))
+    plan = core.join(df, other, "g", broadcast="right")._jdf.queryExecution().optimizedPlan().toString()
+    assert "broadcast" in plan and core.limit(df, 2, "v desc").count() == 2 and 0 < core.sample(other, 0.1).count() < 20_000
+
+
 def test_null_keys_and_vectors(spark):
     df = spark.createDataFrame([(None, 1, [1, 2]), (None, 2, None), (1, 3, []), (2, 4, [5])], "k int, v int, xs array<int>")
     assert Counter(r["v"] for r in core.dedup(df, "k", "unique").collect()) == Counter([3, 4])
