@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import logging
+import re
 import shlex
 import subprocess
 import time
@@ -279,7 +280,8 @@ SETTINGS = {
 class Engine:
     """A graph with its schemas and transforms. bind() is lazy; run() runs the sinks.
 
-    strict: settings that an operator doesn't know are errors, else warnings of the report.
+    strict: settings that an operator doesn't know and parameters that aren't set are errors,
+    else warnings of the report.
     """
 
     def __init__(self, graph: Graph, schemas: dict[str, RecordSpec] | None = None, blocks: dict[str, Block] | None = None, clock: datetime | None = None, conform: bool = True, allow_programs: bool = False, strict: bool = True):
@@ -332,6 +334,10 @@ class Engine:
         known = SETTINGS.get(node.type.lower())
         return [f"{node.id}: {node.type} has no setting {k!r}" for k in node.props if known is not None and k not in known and not k.startswith("option.")]
 
+    def unset(self) -> list[str]:
+        """Parameters that nodes name and nobody sets."""
+        return [f"{n.id}: parameter {name} of {k!r} isn't set" for n in self.graph.nodes.values() for k, v in n.props.items() for name in re.findall(r"\$\{(\w+)\}", str(v))]
+
     def bind(self, spark: SparkSession, overrides: Mapping[str, DataFrame] | None = None, context: Context | None = None) -> dict[str, DataFrame]:
         """The DataFrame of each node, sinks excepted, without running anything.
 
@@ -342,7 +348,7 @@ class Engine:
 
     def _bound(self, overrides: Mapping[str, DataFrame] | None, c: Context, made: Callable[[str, DataFrame], DataFrame]) -> dict[str, DataFrame]:
         """bind() in which made(node, its DataFrame) is what the node's successors see."""
-        wrong = self.validate()
+        wrong = self.validate() + (self.unset() if self.strict else [])
         if wrong:
             raise GraphError("; ".join(wrong))
         out: dict[str, DataFrame] = {}
@@ -423,7 +429,7 @@ class Engine:
         bound = self._bound(overrides, c, made)
         report.passed_through = sorted(set(c.notes))
         report.warnings = [f"function {n} is Spark's own" for n in report.passed_through if n not in FUNCTIONS]
-        report.warnings += [x for n in self.graph.nodes.values() for x in self._unknown(n)]
+        report.warnings += [x for n in self.graph.nodes.values() for x in self._unknown(n)] + self.unset()
 
         def one(ident: str) -> None:
             node, began = self.graph.nodes[ident], time.monotonic()
