@@ -136,7 +136,8 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Of several rows with that id, repeated rows included, one stays, by the hash of its
     text and then its place in the written table. docs is written once to the shared
-    folder, where a row's file and index name it.
+    folder, where a row's file and index name it. Texts of any length are read as a whole; all
+    columns are kept, whatever their names; an empty table gives an empty table.
     """
     ship(docs.sparkSession)
     hidden = [c for c in docs.columns if c.lower() == "_metadata"]  # the name of what files tell of their rows
