@@ -921,6 +921,69 @@ def test_near_copies_of_one_text_in_every_way(spark, seed):
     assert got == near_brute(texts) and 1 < len(got) < 250
 
 
+def made(spark, what, after):
+    """Rows that nodes of this name made in executions after that one, by node; and the last execution."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    rows, last, runs = Counter(), after, store.executionsList()
+    for run in (runs.apply(i).executionId() for i in range(runs.size())):
+        last = max(last, run)
+        if run <= after:
+            continue
+        nodes, values = store.planGraph(run).allNodes(), store.executionMetrics(run)
+        for node in (nodes.apply(i) for i in range(nodes.size())):
+            metrics = node.metrics() if node.name() == what else None
+            for m in (metrics.apply(i) for i in range(metrics.size())) if metrics else ():
+                if m.name() == "number of output rows" and values.get(m.accumulatorId()).isDefined():
+                    rows[node.desc()] += int(values.get(m.accumulatorId()).get().replace(",", ""))
+    return rows, last
+
+
+def test_near_dedup_tells_apart_far_members_in_few_rows(spark):
+    """Copies with so many edits of their own that none is near another don't come as a row for each difference."""
+    from weftline.llm import near_copies
+
+    r, texts = random.Random(5), {}
+    base = [f"w{k}" for k in range(150)]
+    for i in range(150):  # a shorter text in the same groups, and many edits
+        w = base[: 150 if i % 3 else 90]
+        for k in r.sample(range(len(w)), 6 if i % 3 else 2):
+            w[k] = f"x{i}.{k}"
+        texts[i] = " ".join(w)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    before = made(spark, "Generate", -1)[1]
+    assert {x["doc_id"] for x in near_copies.one_of_each(docs).collect()} == near_brute(texts)
+    rows = made(spark, "Generate", before)[0]
+    most = max(n for what, n in rows.items() if "[a#" in what or "same#" in what and "keys" not in what)
+    assert 100 < most < 5000
+
+
+def test_near_dedup_links_by_simhash(spark, sf, monkeypatch):
+    """Without any MinHash band, what is within two bits and 0.8 alike is linked all the same, and nothing else."""
+    import corpus_pipeline
+    from weftline.llm import near_copies
+
+    r, texts = random.Random(3), {}
+    base = [f"w{r.randrange(10**6)}" for _ in range(4000)]
+    for i in range(30):
+        w = list(base)
+        for k in r.sample(range(4000), i // 2):
+            w[k] = f"x{i}.{k}"
+        texts[i] = " ".join(w)
+    texts |= {100 + i: f"tiny text{'s' * i}" for i in range(5)}
+    texts |= {200: "a b c d e f", 201: " ".join(["a b c d e f"] * 9)}
+    shingled = near_copies.signatures
+    monkeypatch.setattr(near_copies, "signatures", lambda c, words=5: shingled(c, words).withField("keys", F.array().cast("array<long>")))
+    docs = spark.createDataFrame([(k, v, "en", "a") for k, v in texts.items()], SCHEMA).repartition(3)
+    got = {x["doc_id"] for x in corpus_pipeline.near_dedup(spark, docs, sf).collect()}
+    sets, prints, root = {k: near_copies.shingles(v) for k, v in texts.items()}, {k: simhash.fingerprint(v, 5) for k, v in texts.items()}, {k: k for k in texts}
+    for a in sorted(texts):
+        for b in sorted(texts):
+            if a < b and (prints[a] ^ prints[b]).bit_count() <= 2 and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                x, y = sorted((root[a], root[b]))
+                root = {k: x if v == y else v for k, v in root.items()}
+    assert got == set(root.values()) and len(got) < len(texts) - 3
+
+
 def test_priors_from_small_hosts(spark):
     hosts = [(f"large{i}", 80) for i in range(2) for _ in range(1000)] + [(f"small{i}", 10) for i in range(200) for _ in range(9)]
     measured = spark.createDataFrame([(h, n, 5 * n, 0, 0, 0) for h, n in hosts], "host string, " + quality_rules.STATS)

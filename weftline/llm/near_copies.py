@@ -1,9 +1,12 @@
-"""Near copies by Jaccard similarity of word shingles: MinHash bands propose, whole texts decide.
-
-No group but the smallest is compared pair by pair. Its members are compared with one of
-them, the lead, and only those that this leaves apart are looked at again: how many of their
-differences to a third text two of them need in common to be near copies of each other is
-known, and only those that can have so many are compared.
+"""Near copies by Jaccard similarity of word shingles: SimHash and MinHash bands propose, whole texts decide.
+
+SimHash links the closest texts first. What it can't see, MinHash bands propose, for texts
+that are still apart. No group of a band but the smallest is compared pair by pair: larger
+ones are cut by size, for near copies have similar ones, and their members are compared with
+one of them, the lead. Only those that this leaves apart are looked at again. Who has too
+many shingles that no other one has is near to none; for the rest it is known how many of
+their differences to a third text two of them need in common to be near copies of each
+other, and only those that can have so many are compared.
 """
 
 from __future__ import annotations
@@ -20,6 +23,7 @@ from xxhash import xxh64_intdigest
 
 from ._common import col, fresh, materialize, ship
 from .components import connected_components
+from .simhash import close_pairs, fingerprint
 
 #: A pair of similarity s shares a band with 1 - (1 - s^4)^25: all but two in a million at 0.8.
 BANDS, ROWS = 25, 4
@@ -40,11 +44,11 @@ def shingles(text: str | None, words: int = 5) -> set[bytes]:
     return set(map(b" ".join, zip(*(w[k:] for k in range(words)), strict=False)))
 
 
-def signature(text: str | None, words: int = 5) -> tuple[int, list[int]]:
-    """(digest of the set of shingles, a key for each band); without words: zero and no keys."""
+def signature(text: str | None, words: int = 5) -> tuple[int, int, list[int]]:
+    """(digest of the set of shingles, its size, a key for each band); without words: zeros and no keys."""
     found = shingles(text, words)
     if not found:
-        return 0, []
+        return 0, 0, []
     h = np.sort(np.fromiter(map(xxh64_intdigest, found, repeat(42)), np.uint64, len(found)))
     least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
     for i in range(0, len(h), BLOCK):
@@ -54,14 +58,16 @@ def signature(text: str | None, words: int = 5) -> tuple[int, list[int]]:
     bands = least.reshape(BANDS, ROWS)
     digests = [xxh64_intdigest(h.tobytes()), *[xxh64_intdigest(bands[b].tobytes(), b) for b in range(BANDS)]]
     same, *keys = np.array(digests, np.uint64).view(np.int64).tolist()
-    return same, keys
+    return same, len(h), keys
 
 
 def signatures(c: Column, words: int = 5) -> Column:
-    @F.pandas_udf("same long, keys array<long>")
+    """What signature() gives, and the SimHash fingerprint: in one function, as each holds a worker of its own."""
+
+    @F.pandas_udf("same long, size long, keys array<long>, fp long")
     def of(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for s in parts:
-            yield pd.DataFrame([signature(x, words) for x in s], columns=["same", "keys"])
+            yield pd.DataFrame([(*signature(x, words), fingerprint(x, words)) for x in s], columns=["same", "size", "keys", "fp"])
 
     return of(c)
 
@@ -96,31 +102,57 @@ def differences(a: Column, b: Column, words: int = 5) -> Column:
     return of(a, b)
 
 
-def _with_leads(groups: DataFrame) -> DataFrame:
-    """groups(k, same) of two members and more with their lead and their centre.
+def _simhash_links(marks: DataFrame) -> DataFrame:
+    """(a, b) of marks(fp, same): sets of texts whose fingerprints are equal or differ in at most two bits.
+
+    A chain of these for each such two; not all of them.
+    """
+    first = materialize(marks.groupBy("fp").agg(F.min("same").alias("a")))
+    equal = marks.join(first.select(F.bitwise_not("fp").alias("nf"), "a"), F.bitwise_not("fp") == F.col("nf")).select("a", F.col("same").alias("b"))
+    of_fp = first.select("fp", F.col("a").alias("same"))
+    close = close_pairs(first.select("fp")).select(F.col("a").alias("fa"), F.col("b").alias("fb"))
+    close = close.join(of_fp.select("fp", F.col("same").alias("a")), F.col("fa") == F.col("fp")).drop("fp").join(of_fp.select("fp", F.col("same").alias("b")), F.col("fb") == F.col("fp"))
+    pairs = equal.unionByName(close.select("a", "b")).where("a <> b")
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _with_leads(groups: DataFrame, least: float) -> DataFrame:
+    """groups(k, same, size) of two members and more with their lead and their centre.
 
+    Groups above SMALL are cut into windows by size: each window is two levels wide and each
+    member is in two, so any two whose sizes may belong to near copies have one in common.
     The lead is the member that meets most others, by the sizes of its groups; the centre
-    the one of these among all leads of the members' groups, so that groups which overlap
-    have a centre in common.
+    the one of these among all leads of the members' groups of that window, so that groups
+    which overlap have a centre in common.
     """
-    sizes = groups.groupBy("k").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.bitwise_not("k").alias("nk"), "n")
-    sized = materialize(groups.join(sizes, F.bitwise_not("k") == F.col("nk")).select("k", "same", "n"))
+
+    def counted(rows: DataFrame) -> DataFrame:
+        """Those not alone in their group, with its number n."""
+        sizes = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.bitwise_not("k").alias("nk"), "n")
+        return rows.join(sizes, F.bitwise_not("k") == F.col("nk")).drop("nk")
+
+    found = materialize(counted(groups))
+    level = F.floor(F.log("size") / F.log(F.lit(1.01 / least)))  # levels of near copies differ by one at most
+    windows = found.where(F.col("n") > SMALL).select("k", "same", F.explode(F.array(level, level + 1)).alias("w")).select(F.xxhash64("k", "w").alias("k"), "same", "w")
+    sized = materialize(counted(windows).unionByName(found.where(F.col("n") <= SMALL).select("k", "same", F.lit(-1).cast("long").alias("w"), "n")))
     meets = sized.groupBy("same").agg(F.sum("n").alias("meets")).select(F.bitwise_not("same").alias("ns"), "meets")
-    sized = sized.join(meets, F.bitwise_not("same") == F.col("ns")).select("k", "same", "meets")
+    sized = sized.join(meets, F.bitwise_not("same") == F.col("ns")).select("k", "same", F.xxhash64("same", "w").alias("place"), "meets")
     most = F.max(F.struct("meets", "same")).alias("lead")
     leads = sized.groupBy("k").agg(most, F.count(F.lit(1)).alias("n")).select(F.bitwise_not("k").alias("nk"), "lead", "n")
-    led = materialize(sized.join(leads, F.bitwise_not("k") == F.col("nk")).select("k", "same", "lead", "n"))
-    best = led.groupBy("same").agg(F.max("lead").alias("best")).select(F.bitwise_not("same").alias("ns"), "best")
-    centres = led.join(best, F.bitwise_not("same") == F.col("ns")).groupBy("k").agg(F.max("best").alias("centre")).select(F.bitwise_not("k").alias("nk"), "centre")
+    led = materialize(sized.join(leads, F.bitwise_not("k") == F.col("nk")).select("k", "same", "place", "lead", "n"))
+    best = led.groupBy("place").agg(F.max("lead").alias("best")).select(F.bitwise_not("place").alias("np"), "best")
+    centres = led.join(best, F.bitwise_not("place") == F.col("np")).groupBy("k").agg(F.max("best").alias("centre")).select(F.bitwise_not("k").alias("nk"), "centre")
     return materialize(led.join(centres, F.bitwise_not("k") == F.col("nk")).select("k", "same", F.col("lead.same").alias("lead"), F.col("centre.same").alias("centre"), "n"))
 
 
-def _roots(nodes: DataFrame, rows: DataFrame, words: int, least: float) -> DataFrame:
-    """(same, best, root) for each of nodes(same, best, keys); rows(file, at, text) has the texts.
+def _roots(nodes: DataFrame, marks: DataFrame, rows: DataFrame, words: int, least: float) -> DataFrame:
+    """(same, best, root) for each of nodes(same, best, size, keys); marks(fp, same) has their fingerprints, rows(file, at, text) the texts.
 
-    Members of a group, first of a band, are compared with its lead. Let c be the group's
-    centre, or any text, x a member that isn't linked to it, y any other, and D what a member
-    has more (M) or fewer (F) than c. With
+    What SimHash proposes is compared first, then the members of a band's group with its
+    lead where they are still apart. Let c be the group's centre, x a member that isn't
+    linked to it, y any other, and D what a member has more (M) or fewer (F) than c. What y
+    has in common with x is in c or in M of both, and is at least |x| times least if they are
+    near copies: a member of which c and the M of all others have less has none. With
     t = least / (1 + least), x and y are near copies if and only if D of x and D of y have
     own(x) + (1 - t) |F of y| + t |M of y| in common or more, where own(x) = t (|x| + |c|) -
     |c| + |F of x|, which is above zero as x isn't linked to c. So one of the first elements of
@@ -128,10 +160,12 @@ def _roots(nodes: DataFrame, rows: DataFrame, words: int, least: float) -> DataF
     pairs meet by centre and element, and are compared if nothing else has linked them.
     """
     t = least / (1 + least)
-    groups = nodes.select("same", F.explode("keys").alias("k"))
+    groups = nodes.select("same", "size", F.explode("keys").alias("k"))
     rooted = nodes.select("same", F.col("same").alias("root"))
-    shared = _with_leads(groups)
-    asked = nodes.join(shared.select(F.col("same").alias("s")).distinct(), F.col("same") == F.col("s")).select("same", F.col("best.file").alias("f"), F.col("best.at").alias("i"))
+    closest = materialize(_simhash_links(marks))
+    shared = _with_leads(groups, least)
+    ends = shared.select(F.col("same").alias("s")).unionByName(closest.select(F.explode(F.array("a", "b")).alias("s"))).distinct()
+    asked = nodes.join(ends, F.col("same") == F.col("s")).select("same", F.col("best.file").alias("f"), F.col("best.at").alias("i"))
     texts = materialize(rows.join(asked, (F.col("file") == F.col("f")) & (F.col("at") == F.col("i"))).select("same", "text"))
 
     def with_texts(pairs: DataFrame) -> DataFrame:
@@ -148,7 +182,14 @@ def _roots(nodes: DataFrame, rows: DataFrame, words: int, least: float) -> DataF
         tops = connected_components(ends.select(F.col("ra").alias("a"), F.col("rb").alias("b"))).select("node", F.col("root").alias("top"))
         return materialize(rooted.join(tops, F.col("root") == F.col("node"), "left").select("same", F.coalesce("top", "root").alias("root")))
 
-    rooted = joined(alike(shared.where("same != lead").select(F.col("lead").alias("a"), F.col("same").alias("b")).distinct()))
+    def apart(pairs: DataFrame) -> DataFrame:
+        """Those of pairs(a, b) with different roots ra and rb."""
+        root_of = rooted.select(F.col("same").alias("s"), "root")
+        pairs = pairs.join(root_of.withColumnRenamed("root", "ra"), F.col("a") == F.col("s")).drop("s")
+        return pairs.join(root_of.withColumnRenamed("root", "rb"), F.col("b") == F.col("s")).drop("s").where("ra <> rb")
+
+    rooted = joined(alike(closest))
+    rooted = joined(alike(apart(shared.where("same != lead").select(F.col("lead").alias("a"), F.col("same").alias("b")).distinct())))
     root_of = rooted.select(F.col("same").alias("s"), "root")
     few = shared.where(F.col("n") <= SMALL).join(root_of, F.col("same") == F.col("s")).select("k", "same", "root")
     pairs = few.select("k", F.col("same").alias("a"), F.col("root").alias("ra")).join(few.select("k", F.col("same").alias("b"), F.col("root").alias("rb")), "k").where("a < b AND ra <> rb").select("a", "b").distinct()
@@ -166,18 +207,27 @@ def _roots(nodes: DataFrame, rows: DataFrame, words: int, least: float) -> DataF
     told = told.select("a", F.col("b").alias("same"), F.col("rb").alias("root"), differences(F.col("ta"), F.col("tb"), words).alias("d"))
     more, fewer, size = F.size("d.more"), F.size("d.fewer"), F.col("d.size")
     own = t * (2 * size - fewer + more) - size + fewer
-    told = materialize(told.select("a", "same", "root", own.alias("own"), ((1 - t) * fewer + t * more).alias("asks"), F.concat("d.more", "d.fewer").alias("hs")))
-
-    each = materialize(told.select("a", "same", F.explode("hs").alias("h")).select("same", F.xxhash64("a", "h").alias("k")))
-    often = each.groupBy("k").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select(F.bitwise_not("k").alias("nk"), "times")
-    ranked = each.join(often, F.bitwise_not("k") == F.col("nk")).select("k", "same", "times")  # those of one member alone come before all these
-    # By centre and member, of which a group has no more rows than the member's text has shingles.
-    ranked = told.select("a", "same", "root", "own", "asks", F.explode("hs").alias("h")).select("a", "same", "root", "own", "asks", F.xxhash64("a", "h").alias("kk")).join(
-        ranked.select("k", F.col("same").alias("s"), "times"), (F.col("kk") == F.col("k")) & (F.col("same") == F.col("s"))
-    )
-    ranked = ranked.groupBy("a", "same").agg(*[F.first(c).alias(c) for c in ("root", "own", "asks")], F.array_sort(F.collect_list(F.struct("times", "k"))).alias("ks"))
-    lows = told.groupBy("a").agg(F.min(F.when(F.col("own") > 1e-9, F.col("own"))).alias("least_own"), F.min("asks").alias("least_asks")).where("least_own IS NOT NULL").select(F.bitwise_not("a").alias("na"), "least_own", "least_asks")
-    ranked = ranked.join(lows, F.bitwise_not("a") == F.col("na"))
+    told = told.withColumns({"own": own, "asks": (1 - t) * fewer + t * more, "meant": size - fewer, "wanted": least * (size - fewer + more)})
+    told = materialize(told.select("a", "same", "root", "own", "asks", "meant", "wanted", "d.more", "d.fewer"))
+
+    def in_common(told: DataFrame, what: str) -> DataFrame:
+        """(na, ns, what): for a centre and member of told, how often and which of its elements others have too."""
+        each = materialize(told.select("a", "same", F.explode(what).alias("h")).select("a", "same", F.xxhash64("a", "h").alias("k")))
+        often = each.groupBy("k").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select(F.bitwise_not("k").alias("nk"), "times")
+        each = each.join(often, F.bitwise_not("k") == F.col("nk"))
+        # By centre and member, of which a group has no more rows than the member's text has shingles.
+        return each.groupBy(F.col("a").alias("na"), F.col("same").alias("ns")).agg(F.collect_list(F.struct("times", "k")).alias(what))
+
+    def with_common(told: DataFrame, what: str) -> DataFrame:
+        found = in_common(told, what)
+        none = F.array().cast(found.schema[what].dataType)
+        return told.drop(what).join(found, (F.col("a") == F.col("na")) & (F.col("same") == F.col("ns")), "left").drop("na", "ns").withColumn(what, F.coalesce(what, none))
+
+    ranked = with_common(told, "more").where(F.col("meant") + F.size("more") >= F.col("wanted") - 1e-6)
+    ranked = materialize(ranked)
+    lows = ranked.groupBy("a").agg(F.min(F.when(F.col("own") > 1e-9, F.col("own"))).alias("least_own"), F.min("asks").alias("least_asks")).where("least_own IS NOT NULL").select(F.bitwise_not("a").alias("na"), "least_own", "least_asks")
+    ranked = materialize(ranked.join(lows, F.bitwise_not("a") == F.col("na")).drop("na"))
+    ranked = with_common(ranked, "fewer").withColumn("ks", F.array_sort(F.concat("more", "fewer")))
     # So many of the elements that others have too, the rarest first, that one is in common with whatever is near.
     prefix = lambda need: F.size("ks") - F.ceil(need - 1e-6) + 1
     ranked = ranked.withColumns({"first_x": F.when(F.col("own") > 1e-9, prefix(F.col("own") + F.col("least_asks"))).otherwise(0), "first_y": prefix(F.col("asks") + F.col("least_own"))})
@@ -208,7 +258,8 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """docs, with one row of each group of near copies: that with the smallest id (null last).
 
     Near copies are texts whose sets of shingles of `words` words have a Jaccard
-    similarity of at least `least`; groups are what such pairs link. Texts without words,
+    similarity of at least `least`; groups are what such pairs link. SimHash fingerprints of
+    these shingles propose first, MinHash bands what is left. Texts without words,
     null ones included, are one group. Of several rows with the smallest id one stays, by
     the hash of its text and then its place in the written table. Repeated rows are one group,
     and texts of any length are compared as a whole. All columns are kept, whatever their
@@ -222,10 +273,10 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     sig, file, at, its_file, its_at = fresh(docs, "_sig", "_file", "_at", "_its_file", "_its_at")
     rows = materialize(docs.withColumn(sig, signatures(col(text_col), words)))
     rows = rows.select(*[col(c) for c in rows.columns], F.col("_metadata.file_name").alias(file), F.col("_metadata.row_index").alias(at))
-    slim = rows.select(col(id_col).alias("id"), F.col(f"{sig}.same").alias("same"), F.col(f"{sig}.keys").alias("keys"), F.xxhash64(col(text_col)).alias("h"), F.col(file).alias("file"), F.col(at).alias("at"))
-    # Equal sets fold first; the keys come last, for they follow from the set.
-    best = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "h", "file", "at", "keys"))
-    nodes = materialize(slim.groupBy("same").agg(best.alias("best")).select("same", F.col("best").dropFields("keys").alias("best"), "best.keys"))
-    rooted = _roots(nodes, rows.select(F.col(file).alias("file"), F.col(at).alias("at"), col(text_col).alias("text")), words, least)
+    slim = rows.select(col(id_col).alias("id"), F.col(f"{sig}.same").alias("same"), F.col(f"{sig}.size").alias("size"), F.col(f"{sig}.keys").alias("keys"), F.col(f"{sig}.fp").alias("fp"), F.xxhash64(col(text_col)).alias("h"), F.col(file).alias("file"), F.col(at).alias("at"))
+    # Equal sets fold first; size and keys come last, for they follow from the set.
+    best = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "h", "file", "at", "size", "keys"))
+    nodes = materialize(slim.groupBy("same").agg(best.alias("best")).select("same", F.col("best").dropFields("size", "keys").alias("best"), "best.size", "best.keys"))
+    rooted = _roots(nodes, slim.select("fp", "same").distinct(), rows.select(F.col(file).alias("file"), F.col(at).alias("at"), col(text_col).alias("text")), words, least)
     wanted = rooted.groupBy("root").agg(F.min("best").alias("best")).select(F.col("best.file").alias(its_file), F.col("best.at").alias(its_at))
     return rows.join(wanted, (F.col(file) == F.col(its_file)) & (F.col(at) == F.col(its_at)), "left_semi").select(*[col(c) for c in docs.columns])
