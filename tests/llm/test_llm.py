@@ -957,6 +957,30 @@ def test_near_dedup_tells_apart_far_members_in_few_rows(spark):
     assert 100 < most < 5000
 
 
+def test_near_dedup_needs_no_minhash(spark, sf, monkeypatch):
+    """By SimHash's blocks alone, copies that are 0.85 alike and more go, far beyond two of 64 bits, and far texts stay."""
+    import corpus_pipeline
+    from weftline.llm import near_copies
+
+    r, texts = random.Random(11), {}
+    for g in range(20):
+        base = [f"w{r.randrange(10**6)}" for _ in range(200)]
+        for i in range(4):
+            w = list(base)
+            for k in r.sample(range(200), (0, 2, 3, 60)[i]):  # the last one is far from the others
+                w[k] = f"x{g}.{i}.{k}"
+            texts[4 * g + i] = " ".join(w)
+    shingled = near_copies.signatures
+    # MinHash's keys are digests of 64 bits, those of SimHash a choice's number and three bytes.
+    monkeypatch.setattr(near_copies, "signatures", lambda c, words=5: (s := shingled(c, words)).withField("keys", F.filter(s["keys"], lambda k: k.between(0, (1 << 32) - 1))))
+    docs = spark.createDataFrame([(k, v, "en", "a") for k, v in texts.items()], SCHEMA).repartition(3)
+    got = {x["doc_id"] for x in corpus_pipeline.near_dedup(spark, docs, sf).collect()}
+    assert near_brute(texts) == {k for k in texts if k % 4 in (0, 3)} <= got
+    assert len(got) <= 42  # of 40 copies all but two at most
+    apart = [(simhash.fingerprint(texts[4 * g], 5) ^ simhash.fingerprint(texts[4 * g + i], 5)).bit_count() for g in range(20) for i in (1, 2)]
+    assert sum(x > 2 for x in apart) > 30
+
+
 def test_near_dedup_links_by_simhash(spark, sf, monkeypatch):
     """Without any MinHash band, what is within two bits and 0.8 alike is linked all the same, and nothing else."""
     import corpus_pipeline

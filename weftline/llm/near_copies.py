@@ -1,7 +1,11 @@
-"""Near copies by Jaccard similarity of word shingles: SimHash and MinHash bands propose, whole texts decide.
-
-SimHash links the closest texts first. What it can't see, MinHash bands propose, for texts
-that are still apart. No group of a band but the smallest is compared pair by pair: larger
+"""Near copies by Jaccard similarity of word shingles: SimHash proposes, whole texts decide.
+
+Fingerprints of 512 bits over the set of shingles are cut to blocks. Texts with the same
+choice of blocks are proposed, checked by the Hamming distance of the fingerprints and then
+by their whole shingles. 64 bits and a radius of two, as in simhash, see only the closest
+texts. No choice of blocks shows every pair for certain, so MinHash bands propose after
+that, for texts that are still apart. No group of a key but the smallest is compared pair
+by pair: larger
 ones are cut by size, for near copies have similar ones, and their members are compared with
 one of them, the lead. Only those that this leaves apart are looked at again. Who has too
 many shingles that no other one has is near to none; for the rest it is known how many of
@@ -35,6 +39,18 @@ _RNG = np.random.default_rng(42)
 _FLIP = _RNG.integers(0, 1 << 64, BANDS * ROWS, np.uint64)
 _TIMES = _RNG.integers(0, 1 << 64, BANDS * ROWS, np.uint64) | np.uint64(1)
 
+#: Words of 64 bits of a fingerprint, cut to blocks of a byte.
+WIDE = 8
+#: Orders of the blocks; each gives as many keys of KEPT blocks as it has room for.
+ORDERS, KEPT = 4, 3
+#: Bits in which fingerprints of near copies differ at most: at 0.8 it is 76 of 512 on average, 96 for the smallest sets; of others 256.
+RADIUS = 160
+_WIDE_FLIP = _RNG.integers(0, 1 << 64, WIDE, np.uint64)
+_WIDE_TIMES = _RNG.integers(0, 1 << 64, WIDE, np.uint64) | np.uint64(1)
+_CHOICES = np.concatenate([_RNG.permutation(8 * WIDE)[: 8 * WIDE // KEPT * KEPT].reshape(-1, KEPT) for _ in range(ORDERS)])
+#: Keys by SimHash, which come before those by MinHash.
+CHOICES = len(_CHOICES)
+
 
 def shingles(text: str | None, words: int = 5) -> set[bytes]:
     """The set of shingles of a whole text, words as in simhash.fingerprint; fewer words: all as one."""
@@ -44,30 +60,50 @@ def shingles(text: str | None, words: int = 5) -> set[bytes]:
     return set(map(b" ".join, zip(*(w[k:] for k in range(words)), strict=False)))
 
 
-def signature(text: str | None, words: int = 5) -> tuple[int, int, list[int]]:
-    """(digest of the set of shingles, its size, a key for each band); without words: zeros and no keys."""
+def wide_fingerprint(h: np.ndarray) -> np.ndarray:
+    """The SimHash fingerprint of hashes of shingles, as bytes: a bit is 1 if it is set in over half of them."""
+    counts = np.zeros(64 * WIDE, np.int64)
+    for i in range(0, len(h), BLOCK):
+        x = (h[i : i + BLOCK, None] ^ _WIDE_FLIP) * _WIDE_TIMES
+        x ^= x >> np.uint64(31)
+        x *= np.uint64(0x9E3779B97F4A7C15)  # so that low bits depend on all bits
+        x ^= x >> np.uint64(29)
+        counts += np.unpackbits(x.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * counts > len(h), bitorder="little")
+
+
+def signature(text: str | None, words: int = 5) -> tuple[int, int, list[int], list[int]]:
+    """(digest of the set of shingles, its size, keys, fingerprint); without words: zeros, and no keys.
+
+    A key for each choice of blocks of the fingerprint (its number and the blocks), then one
+    for each MinHash band.
+    """
     found = shingles(text, words)
     if not found:
-        return 0, 0, []
+        return 0, 0, [], [0] * WIDE
     h = np.sort(np.fromiter(map(xxh64_intdigest, found, repeat(42)), np.uint64, len(found)))
     least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
     for i in range(0, len(h), BLOCK):
         x = (h[i : i + BLOCK, None] ^ _FLIP) * _TIMES
         x ^= x >> np.uint64(31)
         np.minimum(least, x.min(axis=0), out=least)
+    wide = wide_fingerprint(h)
+    blocks = np.arange(CHOICES, dtype=np.int64)
+    for b in range(KEPT):
+        blocks = blocks << 8 | wide[_CHOICES[:, b]]
     bands = least.reshape(BANDS, ROWS)
     digests = [xxh64_intdigest(h.tobytes()), *[xxh64_intdigest(bands[b].tobytes(), b) for b in range(BANDS)]]
     same, *keys = np.array(digests, np.uint64).view(np.int64).tolist()
-    return same, len(h), keys
+    return same, len(h), blocks.tolist() + keys, wide.view(np.int64).tolist()
 
 
 def signatures(c: Column, words: int = 5) -> Column:
-    """What signature() gives, and the SimHash fingerprint: in one function, as each holds a worker of its own."""
+    """What signature() gives, and the fingerprint of simhash: in one function, as each holds a worker of its own."""
 
-    @F.pandas_udf("same long, size long, keys array<long>, fp long")
+    @F.pandas_udf("same long, size long, keys array<long>, wide array<long>, fp long")
     def of(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for s in parts:
-            yield pd.DataFrame([(*signature(x, words), fingerprint(x, words)) for x in s], columns=["same", "size", "keys", "fp"])
+            yield pd.DataFrame([(*signature(x, words), fingerprint(x, words)) for x in s], columns=["same", "size", "keys", "wide", "fp"])
 
     return of(c)
 
@@ -117,7 +153,7 @@ def _simhash_links(marks: DataFrame) -> DataFrame:
 
 
 def _with_leads(groups: DataFrame, least: float) -> DataFrame:
-    """groups(k, same, size) of two members and more with their lead and their centre.
+    """groups(k, same, size, own) of two members and more with their lead and their centre, and their number n.
 
     Groups above SMALL are cut into windows by size: each window is two levels wide and each
     member is in two, so any two whose sizes may belong to near copies have one in common.
@@ -133,23 +169,24 @@ def _with_leads(groups: DataFrame, least: float) -> DataFrame:
 
     found = materialize(counted(groups))
     level = F.floor(F.log("size") / F.log(F.lit(1.01 / least)))  # levels of near copies differ by one at most
-    windows = found.where(F.col("n") > SMALL).select("k", "same", F.explode(F.array(level, level + 1)).alias("w")).select(F.xxhash64("k", "w").alias("k"), "same", "w")
-    sized = materialize(counted(windows).unionByName(found.where(F.col("n") <= SMALL).select("k", "same", F.lit(-1).cast("long").alias("w"), "n")))
+    windows = found.where(F.col("n") > SMALL).select("k", "same", "own", F.explode(F.array(level, level + 1)).alias("w")).select(F.xxhash64("k", "w").alias("k"), "same", "own", "w")
+    sized = materialize(counted(windows).unionByName(found.where(F.col("n") <= SMALL).select("k", "same", "own", F.lit(-1).cast("long").alias("w"), "n")))
     meets = sized.groupBy("same").agg(F.sum("n").alias("meets")).select(F.bitwise_not("same").alias("ns"), "meets")
-    sized = sized.join(meets, F.bitwise_not("same") == F.col("ns")).select("k", "same", F.xxhash64("same", "w").alias("place"), "meets")
+    sized = sized.join(meets, F.bitwise_not("same") == F.col("ns")).select("k", "same", "own", F.xxhash64("same", "w").alias("place"), "meets")
     most = F.max(F.struct("meets", "same")).alias("lead")
     leads = sized.groupBy("k").agg(most, F.count(F.lit(1)).alias("n")).select(F.bitwise_not("k").alias("nk"), "lead", "n")
-    led = materialize(sized.join(leads, F.bitwise_not("k") == F.col("nk")).select("k", "same", "place", "lead", "n"))
+    led = materialize(sized.join(leads, F.bitwise_not("k") == F.col("nk")).select("k", "same", "own", "place", "lead", "n"))
     best = led.groupBy("place").agg(F.max("lead").alias("best")).select(F.bitwise_not("place").alias("np"), "best")
     centres = led.join(best, F.bitwise_not("place") == F.col("np")).groupBy("k").agg(F.max("best").alias("centre")).select(F.bitwise_not("k").alias("nk"), "centre")
-    return materialize(led.join(centres, F.bitwise_not("k") == F.col("nk")).select("k", "same", F.col("lead.same").alias("lead"), F.col("centre.same").alias("centre"), "n"))
+    return materialize(led.join(centres, F.bitwise_not("k") == F.col("nk")).select("k", "same", "own", F.col("lead.same").alias("lead"), F.col("centre.same").alias("centre"), "n"))
 
 
 def _roots(nodes: DataFrame, marks: DataFrame, rows: DataFrame, words: int, least: float) -> DataFrame:
-    """(same, best, root) for each of nodes(same, best, size, keys); marks(fp, same) has their fingerprints, rows(file, at, text) the texts.
+    """(same, best, root) for each of nodes(same, best, size, keys, wide); marks(fp, same) has their fingerprints of simhash, rows(file, at, text) the texts.
 
-    What SimHash proposes is compared first, then the members of a band's group with its
-    lead where they are still apart. Let c be the group's centre, x a member that isn't
+    The closest by simhash are compared first, then who shares a choice of blocks with a
+    centre or lead and is within the radius of it; then, still apart, members of a band's group
+    with its lead, and those of small groups with each other. Let c be the group's centre, x a member that isn't
     linked to it, y any other, and D what a member has more (M) or fewer (F) than c. What y
     has in common with x is in c or in M of both, and is at least |x| times least if they are
     near copies: a member of which c and the M of all others have less has none. With
@@ -160,11 +197,24 @@ def _roots(nodes: DataFrame, marks: DataFrame, rows: DataFrame, words: int, leas
     pairs meet by centre and element, and are compared if nothing else has linked them.
     """
     t = least / (1 + least)
-    groups = nodes.select("same", "size", F.explode("keys").alias("k"))
+    groups = nodes.select("same", "size", F.posexplode("keys").alias("pos", "k")).select("same", "size", "k", (F.col("pos") < CHOICES).alias("own"))
     rooted = nodes.select("same", F.col("same").alias("root"))
     closest = materialize(_simhash_links(marks))
     shared = _with_leads(groups, least)
-    ends = shared.select(F.col("same").alias("s")).unionByName(closest.select(F.explode(F.array("a", "b")).alias("s"))).distinct()
+
+    def within(pairs: DataFrame) -> DataFrame:
+        """Those of pairs(a, b) whose fingerprints are within the radius."""
+        pairs = pairs.join(nodes.select(F.col("same").alias("sa"), F.col("wide").alias("wa")), F.col("a") == F.col("sa"))
+        pairs = pairs.join(nodes.select(F.col("same").alias("sb"), F.col("wide").alias("wb")), F.col("b") == F.col("sb"))
+        bits = sum((F.bit_count(F.col("wa")[i].bitwiseXOR(F.col("wb")[i])) for i in range(WIDE)), F.lit(0))
+        return materialize(pairs.where(bits <= RADIUS).select("a", "b"))
+
+    def with_lead(of: DataFrame) -> DataFrame:
+        return of.where("same != lead").select(F.col("lead").alias("a"), F.col("same").alias("b")).distinct()
+
+    # Of two that share blocks, mostly by chance, those within the radius.
+    two = within(with_lead(shared.where("own AND n = 2")))
+    ends = shared.where("NOT own OR n > 2").select(F.explode(F.array("same", "lead", "centre")).alias("s")).unionByName(two.unionByName(closest).select(F.explode(F.array("a", "b")).alias("s"))).distinct()
     asked = nodes.join(ends, F.col("same") == F.col("s")).select("same", F.col("best.file").alias("f"), F.col("best.at").alias("i"))
     texts = materialize(rows.join(asked, (F.col("file") == F.col("f")) & (F.col("at") == F.col("i"))).select("same", "text"))
 
@@ -189,16 +239,23 @@ def _roots(nodes: DataFrame, marks: DataFrame, rows: DataFrame, words: int, leas
         return pairs.join(root_of.withColumnRenamed("root", "rb"), F.col("b") == F.col("s")).drop("s").where("ra <> rb")
 
     rooted = joined(alike(closest))
-    rooted = joined(alike(apart(shared.where("same != lead").select(F.col("lead").alias("a"), F.col("same").alias("b")).distinct())))
-    root_of = rooted.select(F.col("same").alias("s"), "root")
-    few = shared.where(F.col("n") <= SMALL).join(root_of, F.col("same") == F.col("s")).select("k", "same", "root")
-    pairs = few.select("k", F.col("same").alias("a"), F.col("root").alias("ra")).join(few.select("k", F.col("same").alias("b"), F.col("root").alias("rb")), "k").where("a < b AND ra <> rb").select("a", "b").distinct()
-    links = alike(pairs)
-    if links.limit(1).count():
-        rooted = joined(links)
+
+    def small_pairs(of: DataFrame) -> DataFrame:
+        """Pairs with different roots in the small groups; of two members, one is the lead."""
         root_of = rooted.select(F.col("same").alias("s"), "root")
+        few = of.where((F.col("n") > 2) & (F.col("n") <= SMALL)).join(root_of, F.col("same") == F.col("s")).select("k", "same", "root")
+        return few.select("k", F.col("same").alias("a"), F.col("root").alias("ra")).join(few.select("k", F.col("same").alias("b"), F.col("root").alias("rb")), "k").where("a < b AND ra <> rb").select("a", "b").distinct()
+
+    blocks, bands = shared.where("own AND n > 2"), shared.where("NOT own")
+    to_centre = blocks.where("same != centre").select(F.col("centre").alias("a"), F.col("same").alias("b")).distinct()
+    by_blocks = [lambda: two.unionByName(within(apart(to_centre))).distinct(), lambda: within(apart(with_lead(blocks)))]
+    for pairs in (*by_blocks, lambda: apart(with_lead(bands)), lambda: small_pairs(bands)):
+        links = alike(pairs())
+        if links.limit(1).count():
+            rooted = joined(links)
+    root_of = rooted.select(F.col("same").alias("s"), "root")
 
-    members = shared.where((F.col("n") > SMALL) & (F.col("same") != F.col("centre"))).select(F.col("centre").alias("a"), F.col("same").alias("b")).distinct()
+    members = bands.where((F.col("n") > SMALL) & (F.col("same") != F.col("centre"))).select(F.col("centre").alias("a"), F.col("same").alias("b")).distinct()
     members = members.join(root_of.withColumnRenamed("root", "ra"), F.col("a") == F.col("s")).drop("s").join(root_of.withColumnRenamed("root", "rb"), F.col("b") == F.col("s")).drop("s")
     # Centres with members apart from each other. By the complement, so that one with very many can be split.
     members = materialize(members)
@@ -259,7 +316,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Near copies are texts whose sets of shingles of `words` words have a Jaccard
     similarity of at least `least`; groups are what such pairs link. SimHash fingerprints of
-    these shingles propose first, MinHash bands what is left. Texts without words,
+    these shingles propose them, MinHash bands what these miss. Texts without words,
     null ones included, are one group. Of several rows with the smallest id one stays, by
     the hash of its text and then its place in the written table. Repeated rows are one group,
     and texts of any length are compared as a whole. All columns are kept, whatever their
@@ -273,10 +330,10 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     sig, file, at, its_file, its_at = fresh(docs, "_sig", "_file", "_at", "_its_file", "_its_at")
     rows = materialize(docs.withColumn(sig, signatures(col(text_col), words)))
     rows = rows.select(*[col(c) for c in rows.columns], F.col("_metadata.file_name").alias(file), F.col("_metadata.row_index").alias(at))
-    slim = rows.select(col(id_col).alias("id"), F.col(f"{sig}.same").alias("same"), F.col(f"{sig}.size").alias("size"), F.col(f"{sig}.keys").alias("keys"), F.col(f"{sig}.fp").alias("fp"), F.xxhash64(col(text_col)).alias("h"), F.col(file).alias("file"), F.col(at).alias("at"))
-    # Equal sets fold first; size and keys come last, for they follow from the set.
-    best = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "h", "file", "at", "size", "keys"))
-    nodes = materialize(slim.groupBy("same").agg(best.alias("best")).select("same", F.col("best").dropFields("size", "keys").alias("best"), "best.size", "best.keys"))
+    slim = rows.select(col(id_col).alias("id"), F.col(f"{sig}.same").alias("same"), F.col(f"{sig}.size").alias("size"), F.col(f"{sig}.keys").alias("keys"), F.col(f"{sig}.wide").alias("wide"), F.col(f"{sig}.fp").alias("fp"), F.xxhash64(col(text_col)).alias("h"), F.col(file).alias("file"), F.col(at).alias("at"))
+    # Equal sets fold first; size, keys and wide come last, for they follow from the set.
+    best = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "h", "file", "at", "size", "keys", "wide"))
+    nodes = materialize(slim.groupBy("same").agg(best.alias("best")).select("same", F.col("best").dropFields("size", "keys", "wide").alias("best"), "best.size", "best.keys", "best.wide"))
     rooted = _roots(nodes, slim.select("fp", "same").distinct(), rows.select(F.col(file).alias("file"), F.col(at).alias("at"), col(text_col).alias("text")), words, least)
     wanted = rooted.groupBy("root").agg(F.min("best").alias("best")).select(F.col("best.file").alias(its_file), F.col("best.at").alias(its_at))
     return rows.join(wanted, (F.col(file) == F.col(its_file)) & (F.col(at) == F.col(its_at)), "left_semi").select(*[col(c) for c in docs.columns])
