@@ -214,7 +214,8 @@ def _roots(nodes: DataFrame, marks: DataFrame, rows: DataFrame, words: int, leas
 
     # Of two that share blocks, mostly by chance, those within the radius.
     two = within(with_lead(shared.where("own AND n = 2")))
-    ends = shared.where("NOT own OR n > 2").select(F.explode(F.array("same", "lead", "centre")).alias("s")).unionByName(two.unionByName(closest).select(F.explode(F.array("a", "b")).alias("s"))).distinct()
+    asking = shared.where("NOT own OR n > 2")
+    ends = asking.select(F.col("same").alias("s")).unionByName(asking.select(F.col("lead").alias("s"))).unionByName(asking.select(F.col("centre").alias("s"))).unionByName(two.unionByName(closest).select(F.explode(F.array("a", "b")).alias("s"))).distinct()
     asked = nodes.join(ends, F.col("same") == F.col("s")).select("same", F.col("best.file").alias("f"), F.col("best.at").alias("i"))
     texts = materialize(rows.join(asked, (F.col("file") == F.col("f")) & (F.col("at") == F.col("i"))).select("same", "text"))
 
