@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 import xxhash
@@ -1008,6 +1009,55 @@ def test_near_dedup_links_by_simhash(spark, sf, monkeypatch):
     assert got == set(root.values()) and len(got) < len(texts) - 3
 
 
+def test_near_dedup_shares_keys_by_chance_in_proportion(spark, monkeypatch):
+    """What shares blocks of a fingerprint by chance doesn't grow with the square of the texts."""
+    from weftline.llm import near_copies
+
+    n, choices, kept = 1 << 17, near_copies._CHOICES.tolist(), near_copies.KEPT
+
+    def drawn(c, words=5):
+        @F.pandas_udf("same long, size long, keys array<long>, wide array<long>, fp long")
+        def of(s):
+            ids = s.astype("int64").to_numpy()
+            bits = np.random.default_rng(int(ids[0])).integers(0, 1 << 64, (len(ids), 9), np.uint64)
+            blocks = np.ascontiguousarray(bits[:, :8]).view(np.uint8)
+            keys = np.tile(np.arange(len(choices), dtype=np.int64), (len(ids), 1))
+            for b in range(kept):
+                keys = keys << 8 | blocks[:, [x[b] for x in choices]]
+            return pd.DataFrame({"same": ids + 1, "size": 100, "keys": list(keys), "wide": list(bits[:, :8].view(np.int64)), "fp": bits[:, 8].view(np.int64)})
+
+        return of(c)
+
+    monkeypatch.setattr(near_copies, "signatures", drawn)
+    docs = spark.range(0, n, 1, 4).select(F.col("id").alias("doc_id"), F.format_string("%d", "id").alias("text"))
+    before = made(spark, "SortMergeJoin", -1)[1]
+    assert near_copies.one_of_each(docs).count() == n
+    joins = Counter()
+    for what in ("SortMergeJoin", "ShuffledHashJoin", "BroadcastHashJoin"):
+        joins |= made(spark, what, before)[0]
+    rows = [v for k, v in joins.items() if "~k#" in k and "nk#" in k]
+    assert rows and n // 16 < max(rows) < n // 4  # 84 choices of 24 bits: 86,000 rows of 131,072 texts
+
+
+def test_near_dedup_with_longer_keys_loses_no_link(spark, monkeypatch):
+    """Keys as long as for very many texts leave more to the bands; the result is the same."""
+    from weftline.llm import near_copies
+
+    r, texts = random.Random(17), {}
+    for g in range(12):
+        base = [f"w{r.randrange(10**6)}" for _ in range(r.choice([60, 150, 400]))]
+        for i in range(12):
+            w = list(base)
+            for k in r.sample(range(len(w)), r.randrange(1 + len(w) // 40)):
+                w[k] = f"x{g}.{i}.{k}"
+            texts[12 * g + i] = " ".join(w)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    assert near_copies._further_bits(len(texts)) == 0 and near_copies._further_bits(15 * 10**6) == 9
+    for chance in (near_copies.CHANCE, 1e-6, 1e-30):
+        monkeypatch.setattr(near_copies, "CHANCE", chance)
+        assert {x["doc_id"] for x in near_copies.one_of_each(docs).collect()} == near_brute(texts)
+
+
 def test_priors_from_small_hosts(spark):
     hosts = [(f"large{i}", 80) for i in range(2) for _ in range(1000)] + [(f"small{i}", 10) for i in range(200) for _ in range(9)]
     measured = spark.createDataFrame([(h, n, 5 * n, 0, 0, 0) for h, n in hosts], "host string, " + quality_rules.STATS)

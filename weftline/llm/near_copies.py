@@ -1,7 +1,7 @@
 """Near copies by Jaccard similarity of word shingles: SimHash proposes, whole texts decide.
 
 Fingerprints of 512 bits over the set of shingles are cut to blocks. Texts with the same
-choice of blocks are proposed, checked by the Hamming distance of the fingerprints and then
+choice of blocks, and of further bits if there are many texts, are proposed, checked by the Hamming distance of the fingerprints and then
 by their whole shingles. 64 bits and a radius of two, as in simhash, see only the closest
 texts. No choice of blocks shows every pair for certain, so MinHash bands propose after
 that, for texts that are still apart. No group of a key but the smallest is compared pair
@@ -15,6 +15,7 @@ other, and only those that can have so many are compared.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import repeat
@@ -50,6 +51,10 @@ _WIDE_TIMES = _RNG.integers(0, 1 << 64, WIDE, np.uint64) | np.uint64(1)
 _CHOICES = np.concatenate([_RNG.permutation(8 * WIDE)[: 8 * WIDE // KEPT * KEPT].reshape(-1, KEPT) for _ in range(ORDERS)])
 #: Keys by SimHash, which come before those by MinHash.
 CHOICES = len(_CHOICES)
+#: Others, by choice and text, that may share a key of blocks by chance; keys get as many more bits as that takes.
+CHANCE = 0.25
+#: Where the further bits of each choice's keys are: a word of the fingerprint without its blocks, and the order of the bits.
+_FURTHER = [(int(_RNG.choice(np.setdiff1d(np.arange(WIDE), c // 8))), _RNG.permutation(64)) for c in _CHOICES]
 
 
 def shingles(text: str | None, words: int = 5) -> set[bytes]:
@@ -152,6 +157,28 @@ def _simhash_links(marks: DataFrame) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def _further_bits(texts: int) -> int:
+    """Bits beyond KEPT blocks with which a text shares keys with CHANCE of so many texts, by chance, or fewer."""
+    return min(64, max(0, math.ceil(math.log2(max(1, texts) * CHOICES / CHANCE) - 8 * KEPT)))
+
+
+def _groups(nodes: DataFrame) -> DataFrame:
+    """(k, same, size, own) for each key of nodes(same, size, keys, wide); own: of blocks of the fingerprint.
+
+    Of n texts, n^2 / 2^24 pairs share three bytes by chance. So keys of blocks get more bits
+    of the fingerprint the more texts there are, and what a text shares by chance stays the
+    same. Near copies that no longer share one are left to the bands.
+    """
+    own = F.col("pos") < CHOICES
+    keys = nodes.select("same", "size", "wide", F.posexplode("keys").alias("pos", "k"))
+    if bits := _further_bits(nodes.count()):
+        word = F.get(F.array(*[F.lit(w) for w, _ in _FURTHER]), F.col("pos"))
+        masks = np.array([np.bitwise_or.reduce(np.uint64(1) << order[:bits].astype(np.uint64)) for _, order in _FURTHER], np.uint64)
+        mask = F.get(F.array(*[F.lit(m).cast("long") for m in masks.view(np.int64).tolist()]), F.col("pos"))
+        keys = keys.withColumn("k", F.when(own, F.xxhash64("k", F.get("wide", word).bitwiseAND(mask))).otherwise(F.col("k")))
+    return keys.select("k", "same", "size", own.alias("own"))
+
+
 def _with_leads(groups: DataFrame, least: float) -> DataFrame:
     """groups(k, same, size, own) of two members and more with their lead and their centre, and their number n.
 
@@ -197,10 +224,9 @@ def _roots(nodes: DataFrame, marks: DataFrame, rows: DataFrame, words: int, leas
     pairs meet by centre and element, and are compared if nothing else has linked them.
     """
     t = least / (1 + least)
-    groups = nodes.select("same", "size", F.posexplode("keys").alias("pos", "k")).select("same", "size", "k", (F.col("pos") < CHOICES).alias("own"))
     rooted = nodes.select("same", F.col("same").alias("root"))
     closest = materialize(_simhash_links(marks))
-    shared = _with_leads(groups, least)
+    shared = _with_leads(_groups(nodes), least)
 
     def within(pairs: DataFrame) -> DataFrame:
         """Those of pairs(a, b) whose fingerprints are within the radius."""
